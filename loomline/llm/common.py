@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,11 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str, gr
     )
 
 
+def bounded(ids: DataFrame, rows: int = 500_000) -> DataFrame:
+    """ids (a written table of one or two numbers a row), to be broadcast if it has at most `rows` rows; else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,3 +69,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def let(value, body):
     """body(x) with x bound to value, which is then evaluated once a row."""
     return F.transform(F.array(value), body)[0]
+
+
+def keep_rows(df: DataFrame, column: str, make_test: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df whose `column` passes a test, in batches and without a shuffle.
+
+    make_test() runs once a task and returns the test of a list of values.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make_test()
+        for b in batches:
+            for k in range(0, b.num_rows, 300):
+                part = b.slice(k, 300)
+                yield part.filter(pa.array(test(part.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bitpack, bpe, line_frequency, media, sharding
+from loomline.llm import bitpack, bpe, jaccard, langid, line_frequency, media, packing, sharding, toxicity, warc
 from loomline.llm.common import documents
 
 #: Sizes and end marks of the public vocabularies used here.
@@ -24,23 +24,49 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_by_lines(documents(spark, sf_dir))
 
 
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.resolve_revisits(warc.parse_records(warc.records_of_pages(pages)))
+
+
 def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(documents(spark, sf_dir))
+
+
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), WORD_VOCABULARY, WORD_END_ID)
 
 
+def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(documents(spark, sf_dir))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_prefix_bpe": op2_prefix_bpe,
+    "op3_nnpu_toxicity": op3_nnpu_toxicity,
     "op4_line_frequency": op4_line_frequency,
+    "op5_revisit_resolution": op5_revisit_resolution,
     "op6_interleaved_media": op6_interleaved_media,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_bit_packed_ids": op8_bit_packed_ids,
+    "op9_kneser_ney_language": op9_kneser_ney_language,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_frequency": line_frequency.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_line_frequency": line_frequency.ORACLE, "op5_revisit_resolution": warc.ORACLE}
