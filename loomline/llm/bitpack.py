@@ -19,9 +19,13 @@ Extra columns are not carried.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -105,53 +109,99 @@ class WordEncoder:
     """Encodes through the tokenizers library, each distinct chunk between ASCII white space once.
 
     The tokenizer drops white space and none of its rules looks across it, so the
-    ids of a text are those of its chunks in turn. The store of known chunks is
-    emptied when full; results don't depend on it.
+    ids of a text are those of its chunks in turn. Most chunks are letters and
+    perhaps marks behind them, which the tokenizer splits there anyway; of those
+    the letters are lower-cased and go to the same model many at a time, without
+    the normalizer, which leaves them as they are; each word's last token bears
+    the end-of-word suffix. All other chunks go through the whole tokenizer. The
+    store of known chunks is emptied when full; results don't depend on it.
     """
 
+    #: letters that normalization only lower-cases, and marks that never join them
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"]["end_of_word_suffix"]
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.words_only = Tokenizer.from_str(json.dumps(spec))
+        vocabulary = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.limit = limit
 
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.words_only.encode_batch_fast(lines, add_special_tokens=False)])
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        plain: list[tuple[bytes, str, str]] = []
+        other: list[bytes] = []
+        for chunk in chunks:
+            found = self.PLAIN.fullmatch(chunk.decode())
+            if found:
+                plain.append((chunk, found[1].lower(), found[2]))
+            else:
+                other.append(chunk)
+        marks = list({m for _, _, m in plain}.difference(self.marks))
+        self.marks.update(zip(marks, self._whole(marks), strict=True))
+        letters = list({w for _, w, _ in plain})
+        by_word = dict(zip(letters, self._letters(letters), strict=True)) if letters else {}
+        for chunk, word, mark in plain:
+            self.known[chunk] = by_word[word] + self.marks[mark]
+        self.known.update(zip(other, self._whole([c.decode() for c in other]), strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words}
-        new -= self.known.keys()
+        all_chunks = set(chain.from_iterable(split))
+        new = all_chunks.difference(self.known)
         if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = {w for words in split for w in words}
-        listed = list(new)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False)
-        for w, e in zip(listed, found, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, new = {}, all_chunks
+        self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and ids (the end id last) of rows (key, raw text), in groups."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    encoder = WordEncoder(tokenizer_path)
+    end = np.array([end_id], "<u4").tobytes()
+    for b in batches:
+        for k in range(0, b.num_rows, 2000):
+            part = b.slice(k, 2000)
+            yield part.column(0).to_pylist(), [x + end for x in encoder.encode([x or b"" for x in part.column(1).to_pylist()])]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (uint32, the end id last), for every whole text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                ids = [x + end for x in encoder.encode([x or b"" for x in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for keys, ids in _encoded(batches, tokenizer_path, end_id):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
-def write_packed(encoded: DataFrame, vocabulary: int) -> DataFrame:
-    """Segments in ascending doc_id order: part, segment, doc_ids, n_ids, packed; written to the shared folder."""
+def write_packed(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int) -> DataFrame:
+    """Segments in ascending doc_id order: part, segment, doc_ids, n_ids, packed; written to the shared folder.
+
+    Texts are dealt out by ranges of doc_id before they are encoded: they are
+    smaller than their ids, and nothing is encoded twice.
+    """
     width = bits_for(vocabulary)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +213,8 @@ def write_packed(encoded: DataFrame, vocabulary: int) -> DataFrame:
             columns = [pa.array([segment], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([write_segment(held, width)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["segment", "doc_ids", "n_ids", "packed"])
 
-        for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for some, encoded in _encoded(batches, tokenizer_path, end_id):
+            for key, ids in zip(some, encoded, strict=True):
                 keys.append(key)
                 held.append(np.frombuffer(ids, "<u4"))
                 size += len(held[-1])
@@ -174,9 +224,9 @@ def write_packed(encoded: DataFrame, vocabulary: int) -> DataFrame:
         if keys:
             yield image()
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids")
-    packed = ordered.mapInArrow(gather, "segment long, doc_ids array<long>, n_ids long, packed binary")
-    return materialise(packed.withColumn("part", F.spark_partition_id()))
+    slim = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
+    return materialise(ordered.mapInArrow(gather, "segment long, doc_ids array<long>, n_ids long, packed binary").withColumn("part", F.spark_partition_id()))
 
 
 def read_packed(segments: DataFrame) -> DataFrame:
@@ -208,4 +258,4 @@ def read_packed(segments: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = 1) -> DataFrame:
     """Encode, write packed, read back."""
-    return read_packed(write_packed(encode_documents(docs, tokenizer_path, end_id), vocabulary))
+    return read_packed(write_packed(docs, tokenizer_path, vocabulary, end_id))

@@ -57,3 +57,12 @@ def test_small_word_store_changes_nothing():
 def test_ids_too_large_are_refused():
     with pytest.raises(ValueError):
         bitpack.write_segment([np.array([300], "<u4")], 8)
+
+
+def test_word_paths_equal_the_whole_tokenizer():
+    words = "Don't abc. ABC,, (x) l'été ÉCOLE!? naïve ß İstanbul été ΑΣ 12ab a1 a--b a-b. 's x's <|endoftext|> abc<|endoftext|> 漢字 ªº ÿ … a b \x01 _a_ ñ".split(" ")
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    e = bitpack.WordEncoder(PATH)
+    for text in [*words, " ".join(words), "  ".join(reversed(words))]:
+        assert np.frombuffer(e.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
