@@ -51,6 +51,19 @@ def test_random_pieces_equal_merging(engine):
         assert engine.encode_piece(piece) == expected
 
 
+def test_pairs_equal_merging(engine):
+    rnd = random.Random(7)
+    ids = list(engine.reachable.values())
+    common = [i for i in ids if i < 3000]
+    for k in range(20000):
+        a, b = rnd.choice(common if k % 2 else ids), rnd.choice(common if k % 3 else ids)
+        assert engine.follows(a, b) == (engine.merge(engine.tokens[a] + engine.tokens[b]) == [a, b]), (engine.tokens[a], engine.tokens[b])
+
+
+def test_reachable_tokens_encode_to_themselves(engine):
+    assert engine.reachable == {t: r for t, r in engine.ranks.items() if engine.merge(t) == [r]}
+
+
 def test_appends_and_edits_equal_encoding_anew(engine):
     rnd = random.Random(6)
     word = lambda n: "".join(rnd.choice("thenandi ") for _ in range(n)).encode()
