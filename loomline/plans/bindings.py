@@ -102,7 +102,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("label").cast("int").alias("batch"), (F.col("vec_id") % 17).cast("double").alias("significance_score"), "embedding")
+    return v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.floor(F.col("vec_id") / 256).cast("int").alias("batch"), (F.col("vec_id") % 17).cast("double").alias("significance_score"), "embedding")
 
 
 _CATEGORY = "CASE l_partkey % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END"
