@@ -13,6 +13,7 @@ from loomline.functions.columns import flag_is_true, local_date, token_estimate
 GAP_MINUTES = 25
 TOKEN_BUDGET = 150_000
 SESSION = ["project_dir", "session_id"]
+STRETCH = 4096
 
 
 def prepare_lines(lines: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -20,18 +21,32 @@ def prepare_lines(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     return lines.withColumn("date", local_date(F.col("ts"), tz)).withColumn("is_compact", flag_is_true(F.col("raw"), "isCompactSummary")).withColumn("chars", F.length("raw_text"))
 
 
+def before_compaction(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """Adds `_boundary`, whether the next line of the session is a compact summary.
+
+    Sessions are cut into stretches of line numbers, so that a session of any
+    length is many small windows; each stretch's last line looks at the first of
+    the next stretch, known from one row a stretch.
+    """
+    cut = lines.withColumn("_stretch", F.floor(F.col(line) / STRETCH))
+    heads = cut.groupBy(*keys, "_stretch").agg(F.min_by("is_compact", line).alias("_head"))
+    heads = heads.withColumn("_after", F.lead("_head", 1, False).over(Window.partitionBy(*keys).orderBy("_stretch"))).drop("_head")
+    inside = F.lead("is_compact").over(Window.partitionBy(*keys, "_stretch").orderBy(line))
+    return cut.withColumn("_inside", inside).join(heads, [*keys, "_stretch"]).withColumn("_boundary", F.coalesce("_inside", "_after")).drop("_stretch", "_inside", "_after")
+
+
 def sessionize(lines: DataFrame, gap_minutes: float = GAP_MINUTES, keys: list[str] | None = None, line: str = "line_number") -> DataFrame:
     """Adds `part`, the running episode number within (keys, date).
 
     A gap of more than gap_minutes starts a new episode, and so does a line whose
     predecessor of the day is a compaction boundary: the line before a compact
     summary, in session order. Days always split; negative gaps never do. Lines
-    without a timestamp have no day and are left out.
+    without a timestamp have no day and are left out. Windows hold one day of one
+    session.
     """
     keys = keys or SESSION
-    whole = Window.partitionBy(*keys).orderBy(line)
     day = Window.partitionBy(*keys, "date").orderBy(line)
-    marked = lines.filter("date IS NOT NULL").withColumn("_boundary", F.lead("is_compact", 1, False).over(whole))
+    marked = before_compaction(lines, keys, line).filter("date IS NOT NULL")
     micros = F.unix_micros("ts")
     gap = micros - F.lag(micros).over(day) > gap_minutes * 60_000_000
     new = F.coalesce(gap, F.lit(False)) | F.coalesce(F.lag("_boundary").over(day), F.lit(False))

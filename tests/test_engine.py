@@ -127,6 +127,13 @@ def test_gaps_and_compaction(spark):
     assert parts(spark, [(at(30), False), (at(0), False)]) == [0, 0]
 
 
+def test_long_sessions_are_cut_into_stretches(spark, monkeypatch):
+    rows = [(at(i), i % 3 == 0) for i in range(20)]
+    whole = parts(spark, rows)
+    monkeypatch.setattr(sessionize, "STRETCH", 4)
+    assert parts(spark, rows) == whole and whole[-1] == 6
+
+
 def test_budget_halving():
     chars = [1000] * 1000
     found = sessionize.budget_pieces(chars, 100_000)
