@@ -99,6 +99,7 @@ def parse_records(raw: DataFrame, column: str = "raw") -> DataFrame:
 def last_full_response(records: DataFrame) -> DataFrame:
     """records with `key` (canonical URL) and `source`: the latest full response before each record, or null."""
     full = (F.col("kind") == "response") & (F.col("http_status") == 200)
+    records = records.select(*[field.split()[0] for field in RECORD.split(", ")])
     keyed = records.withColumn("key", F.coalesce(canonical_url(F.col("url")), F.lit("")))
     own = F.when(full, F.struct("key", "record_id", "captured_at", "etag", "last_modified", "digest", "headers"))
     order = ["key", "captured_at", "record_id"]
