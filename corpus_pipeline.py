@@ -40,11 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = materialise(jaccard.link_components(docs))
     gone = materialise(linked.filter("n_shingles > 0 AND doc_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct())
     twice = materialise(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")))
-    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    among = lambda df, ids, how: df.join(bounded(ids), df["doc_id"] == ids["_id"], how)
+    kept = among(docs, gone, "left_anti")
     if twice.isEmpty():
         return kept
-    shared = kept.join(bounded(twice), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(bounded(twice), F.col("doc_id") == F.col("_id"), "left_anti").unionByName(shared)
+    shared = among(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    return among(kept, twice, "left_anti").unionByName(shared)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
