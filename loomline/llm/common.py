@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,6 +72,18 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+@contextmanager
+def record_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs send at most `rows` rows to Python at once: what long texts need in memory is bounded by few of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep_rows(df: DataFrame, column: str, make_test: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """The rows of df whose `column` passes a test, in batches and without a shuffle.
 

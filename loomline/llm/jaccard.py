@@ -6,15 +6,16 @@ of sizes x <= y reach the threshold, they differ in at most H = (x + y) / 7
 elements, so for any allocation p of 0, 1 or 2 to segments with a sum over H
 there is a segment where they differ in fewer than p elements: they agree there
 (p = 1) or one has one element more (p = 2). The smaller set is indexed: the
-hash of each non-empty segment's subset, and in the first quarter of the segments
+hash of each non-empty segment's subset, and in the first eighth of the segments
 also of each subset less one element. The larger set probes with the allocation
 of least cost, where the cost of a segment is how often its rarest shingle occurs
 (frequent shingles are counted beforehand; the counts steer costs only).
 
-Members of a bucket are candidates. Sets that already belong together need no
-more comparison, so buckets are worked off in rounds of stars (every member
-against one hub, another hub each round) and, last, all pairs that still lie in
-different components. No pair of a bucket is left unconnected and unverified.
+A probing member of a bucket makes candidates with all others. Sets that already
+belong together need no more comparison, so buckets are worked off in rounds of
+stars (every member against one that probes, another one each round) and, last,
+all pairs of a probing and an indexed member that still lie in different
+components. No such pair is left unconnected and unverified.
 
 Equal sets are one node. In a chunk of a task a crowded bucket sends on one member
 only, and its other rows are spread, so that no bucket meets in one task.
@@ -35,14 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded, materialise
+from loomline.llm.common import bounded, materialise, record_batches
 
 SHINGLE = 5
 CHUNK_BYTES = 1_000_000
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 500_000
 HOT_IN_CHUNK = 16
+#: Rows of whole texts that go to Python at once.
+BATCH_ROWS = 500
 MAX_HOT = 500_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: One segment in so many also indexes its one-deletion neighbourhood.
+OPEN_SHARE = 8
+#: Roles: bit 1 indexed, bit 2 probing.
+PROBES = "(role & 2) > 0"
 
 U = np.uint64
 _RANDOM = np.random.default_rng(20240229)
@@ -52,19 +59,24 @@ INVERSE = U(pow(int(BASE), -1, 2**64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Size bands: (least, greatest) size; a band and the one below hold all partners that are not larger.
+#: Size bands: (least, greatest) size; a band and at most the one below hold all partners that are not larger.
 BANDS: list[tuple[int, int]] = []
 _low = 1
 while _low < 2**31:
-    BANDS.append((_low, max(_low, _low * 4 // 3)))
+    BANDS.append((_low, 2 * _low - 1))
     _low = BANDS[-1][1] + 1
 BAND_STARTS = np.array([b[0] for b in BANDS])
 
 
 def segments_of(band: int) -> int:
-    """Segments of a band: about 1.25, 2 or 3 elements each, by the size of its sets."""
+    """Segments of a band.
+
+    Enough of them must be non-empty to carry an allocation. Small sets get so
+    many that next to every element has its own; the largest sets of other bands
+    have 2.5 or 3 elements a segment.
+    """
     top = BANDS[band][1]
-    return max(4, round(top / (1.25 if top <= 128 else 2 if top <= 512 else 3)))
+    return 512 if top <= 127 else round(top / (2.5 if top <= 511 else 3))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -177,7 +189,7 @@ class Signatures:
             place = mix(name.astype(U) + U(band << 32) + BASE)
             exact = mix(sums ^ place)
             cost = np.minimum.reduceat(weight, starts)
-            open_ = (name < m // 4) & (number >= 2)  # segments whose one-deletion neighbourhood is indexed
+            open_ = (name < m // OPEN_SHARE) & (number >= 2)  # segments whose one-deletion neighbourhood is indexed
             need = (size + min(BANDS[band][1], size)) // 7 + 1
             units = np.concatenate([cost - 1e-3 * np.minimum(number, 500), (cost * (number + 1) + np.maximum.reduceat(weight, starts))[open_]])
             if len(units) < need:
@@ -198,11 +210,11 @@ class Signatures:
             group = np.repeat(np.arange(len(starts)), number)
             if band == own and open_.any():
                 mine = open_[group]
-                keys.append(_less(exact_less(sums, value, place, group)[mine]))
+                keys.append(_less(exact_less(sums, value[mine], place, group[mine])))
                 roles.append(1)
             if twice.any():
                 mine = twice[group]
-                keys += [exact_less(sums, value, place, group)[mine], _less(exact[twice])]
+                keys += [exact_less(sums, value[mine], place, group[mine]), _less(exact[twice])]
                 roles += [2, 2]
         return keys, roles, uncovered
 
@@ -237,7 +249,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int32)), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=names)
                 held += sets
                 size += sum(map(len, sets))
-                if size > 4 * CHUNK_ROWS:
+                if size > 6 * CHUNK_ROWS:
                     yield frequent()
                     held, size = [], 0
         if held:
@@ -263,14 +275,16 @@ def _buckets(docs: DataFrame, hot: DataFrame) -> DataFrame:
 
         def chunk() -> pa.RecordBatch:
             key, node, role = np.concatenate(held[0]).view(np.int64), np.concatenate(held[1]), np.concatenate(held[2])
-            order = np.lexsort((node, key))
-            key, node, role = key[order], node[order], role[order]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            order = np.argsort(key)
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
             number = np.diff(np.append(starts, len(key)))
-            crowded = np.repeat(number >= 4, number) | (role == 4)
-            salt = np.where(crowded, 1 + (node & 0x7FFF), 0).astype(np.int32)
-            first = starts[number >= 4]  # of a crowded bucket one member goes on to meet those of other chunks
-            columns = [np.append(key, key[first]), np.append(node, node[first]), np.append(role, role[first]), np.append(salt, np.zeros(len(first), np.int32))]
+            crowded = np.empty(len(key), bool)
+            crowded[order] = np.repeat(number >= 4, number)
+            salt = np.where(crowded | (role == 4), 1 + (node & 0x7FFF), 0).astype(np.int32)
+            first = order[starts[number >= 4]]  # of a crowded bucket one member, with all its roles, goes on to meet those of other chunks
+            all_roles = np.bitwise_or.reduceat(role[order], starts)[number >= 4]
+            columns = [np.append(key, key[first]), np.append(node, node[first]), np.append(role, all_roles), np.append(salt, np.zeros(len(first), np.int32))]
+            # rows stay in the order of their texts, so that a shuffle block repeats each node and packs well
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "role", "salt"])
 
         for b in batches:
@@ -294,8 +308,14 @@ def _buckets(docs: DataFrame, hot: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("text").cast("binary").alias("raw")).mapInArrow(run, "key long, node long, role byte, salt int")
     bucket = Window.partitionBy("key", "salt")
-    rows = rows.withColumn("_low", F.min("node").over(bucket)).withColumn("_high", F.max("node").over(bucket))
-    return materialise(rows.filter((F.col("salt") > 0) | (F.col("_low") < F.col("_high"))).select("key", "node", "role"))
+    rows = rows.withColumn("_low", F.min("node").over(bucket)).withColumn("_high", F.max("node").over(bucket)).withColumn("_probed", F.max(F.expr(PROBES)).over(bucket))
+    return materialise(rows.filter((F.col("salt") > 0) | ((F.col("_low") < F.col("_high")) & F.col("_probed"))).select("key", "node", "role"))
+
+
+def _open(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two or more components and a probing member."""
+    wanted = buckets.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max(F.expr(PROBES)).alias("_probed"))
+    return materialise(buckets.join(materialise(wanted.filter("_low < _high AND _probed").select("key")), "key"))
 
 
 class _Verifier:
@@ -354,45 +374,43 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    with record_batches(docs.sparkSession, BATCH_ROWS):
+        return _link_components(docs)
+
+
+def _link_components(docs: DataFrame) -> DataFrame:
     table = shingle_table(docs)
     own = table.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "node")
     nodes = materialise(own.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")))
     hot = table.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
     members = _buckets(docs, hot)
     verifier = _Verifier(docs, nodes)
-    buckets = members.filter("role < 4").groupBy("key", "node").agg(F.bit_or("role").alias("role"))
-    edges = None
-    labels = None
-    buckets = materialise(buckets)
+    buckets = materialise(members.filter("role < 4").groupBy("key", "node").agg(F.bit_or("role").alias("role")).withColumn("component", F.col("node")))
+    edges = labels = None
+
+    def take(pairs: DataFrame) -> None:
+        nonlocal edges, labels
+        found = materialise(verifier.links(pairs))
+        edges = found if edges is None else edges.unionByName(found)
+        labels = connected_components(edges)
+
     for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:  # only buckets that still hold nodes of two or more components go on
-            now = buckets.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = now.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
-            now = materialise(now)
-            buckets = materialise(now.join(materialise(open_), "key"))
-        else:
-            buckets = buckets.withColumn("component", F.col("node"))
+        if labels is not None:
+            buckets = materialise(buckets.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        buckets = _open(buckets)
         if buckets.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            by = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component") if turn else F.struct("node", "component")
+        if turn < STAR_ROUNDS:  # every member against one that probes, another one each round
+            by = F.struct(~F.expr(PROBES), F.xxhash64("node", F.lit(turn)), "node", "component")
             hubs = materialise(buckets.groupBy("key").agg(F.min(by).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")))
-            pairs = buckets.join(hubs, "key").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        else:
-            left = buckets.select("key", F.col("node").alias("a"), F.col("role").alias("ra"), F.col("component").alias("ca"))
-            right = buckets.select("key", F.col("node").alias("b"), F.col("role").alias("rb"), F.col("component").alias("cb"))
-            meets = F.expr("ca < cb AND ((ra & 1) * (rb & 2) + (ra & 2) * (rb & 1)) > 0")
-            pairs = left.join(right, "key").filter(meets).select("a", "b")
-            pairs = pairs.unionByName(_uncovered(members, nodes))
-        found = materialise(verifier.links(pairs.distinct()))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = connected_components(edges)
-    if edges is None or turn < STAR_ROUNDS:
-        rest = materialise(_uncovered(members, nodes))
-        if not rest.isEmpty():
-            found = materialise(verifier.links(rest))
-            edges = found if edges is None else edges.unionByName(found)
-            labels = connected_components(edges)
+            take(buckets.join(hubs, "key").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        else:  # what probes against what is indexed, where they still lie in different components
+            left = buckets.filter(PROBES).select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+            right = materialise(buckets.filter("(role & 1) > 0").select("key", F.col("node").alias("b"), F.col("component").alias("cb")))
+            take(left.join(right, "key").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = materialise(_uncovered(members, nodes))
+    if not rest.isEmpty():
+        take(rest)
     return _named(own, nodes, labels)
 
 
@@ -415,3 +433,19 @@ def _named(own: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFr
     named = materialise(joined.join(least, "component").select("node", "component_id"))
     full = own.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+#: DuckDB SQL of link_components: all pairs that share a shingle, and the closure of their links.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_ >= 75 * (p.n + q.n - both_)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS least_ FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least_, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id
+"""

@@ -36,7 +36,7 @@ from loomline.llm.common import keep_rows, materialise
 
 ORDER = 4
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 PAD = " " * (ORDER - 1)
 
 
@@ -150,7 +150,7 @@ class KneserNey:
 
     def calibrate(self, texts: list[str], truth: list[str]) -> None:
         """Limits by language from held-back texts in their own language."""
-        h, n = self.entropies(texts), np.array([len(t) + 1 for t in texts])
+        h, n = np.concatenate([self.entropies(part) for part in _by_size(texts)]), np.array([len(t) + 1 for t in texts])
         own = np.array([self.languages.index(t) for t in truth])
         self.limits = np.zeros((len(self.languages), 3))
         for k in range(len(self.languages)):
@@ -202,7 +202,7 @@ def _by_size(texts: list[str]) -> Iterator[list[str]]:
 
 def _sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
     """lang, text and whether it calibrates: up to per_language texts a language, by hash of the id; equal texts once."""
-    usable = docs.filter(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = docs.select("doc_id", "lang", "text").filter(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").count()
     # a share of the hash range that holds about twice the texts wanted leaves a bounded rest to rank
     rank = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(2**53))

@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kneser_ney_language": op9_kneser_ney_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_frequency": line_frequency.ORACLE, "op5_revisit_resolution": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_line_frequency": line_frequency.ORACLE, "op5_revisit_resolution": warc.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE}
