@@ -208,12 +208,12 @@ def t1(spark, sf):
     i AS (SELECT project_dir, session_id, id, text FROM placed WHERE lower(text) LIKE '%5%' ORDER BY significance_score DESC, id LIMIT 7),
     a AS (SELECT 0 AS branch, 'project' AS kind, project_dir, NULL AS session_id, NULL::BIGINT AS insight_id, NULL AS text FROM p
       UNION ALL SELECT 1, 'session', project_dir, session_id, NULL, NULL FROM s UNION ALL SELECT 2, 'insight', project_dir, session_id, id, text FROM i)
-    SELECT * FROM a ORDER BY branch, project_dir, session_id, insight_id LIMIT 20""",
+    SELECT * REPLACE (insight_id::VARCHAR AS insight_id) FROM (SELECT * FROM a ORDER BY branch, project_dir, session_id, insight_id LIMIT 20)""",
         "placed",
     ),
 )
 def t2(spark, sf):
-    return search.search(*_both(spark, sf), " 5 ", 20)
+    return search.search(*_both(spark, sf), " 5 ", 20).withColumn("insight_id", F.col("insight_id").cast("string"))
 
 
 @register("t2_search_text", sql("SELECT doc_id, lang, source FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%rights re_erved%'").replace("WITH \n", ""))
