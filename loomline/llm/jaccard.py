@@ -11,11 +11,14 @@ also of each subset less one element. The larger set probes with the allocation
 of least cost, where the cost of a segment is how often its rarest shingle occurs
 (frequent shingles are counted beforehand; the counts steer costs only).
 
-A probing member of a bucket makes candidates with all others. Sets that already
-belong together need no more comparison, so buckets are worked off in rounds of
-stars (every member against one that probes, another one each round) and, last,
-all pairs of a probing and an indexed member that still lie in different
-components. No such pair is left unconnected and unverified.
+A probing member of a bucket makes candidates with all others, but for those that
+a sketch rules out: 256 parities of the set, by ranges of the universe, which
+differ in no more places than the sets do in elements. Sets that already belong
+together need no more comparison, so buckets are worked off in rounds of stars
+(every set against one member that probes, in the largest bucket it lies in,
+another one each round) and, last, all pairs of a probing and an indexed member
+that still lie in different components. No pair that may be linked is left
+unconnected and unverified.
 
 Equal sets are one node. In a chunk of a task a crowded bucket sends on one member
 only, and its other rows are spread, so that no bucket meets in one task.
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import bounded, materialise, record_batches
@@ -46,6 +49,8 @@ HOT_IN_CHUNK = 16
 BATCH_ROWS = 500
 MAX_HOT = 500_000
 STAR_ROUNDS = 2
+#: Longs of a set's sketch, 64 parities each.
+SKETCH = [f"s{i}" for i in range(4)]
 #: One segment in so many also indexes its one-deletion neighbourhood.
 OPEN_SHARE = 8
 #: Roles: bit 1 indexed, bit 2 probing.
@@ -152,6 +157,20 @@ def fingerprint(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's number of elements in each of equal ranges of the universe, as signed 64-bit numbers."""
+    bits = 64 * len(SKETCH)
+    odd = np.bincount((s >> U(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes and sketches of two sets, in columns of these prefixes, leave room for a link: they then differ in at most (x + y) / 7 elements."""
+    x, y = F.col(a + "n"), F.col(b + "n")
+    apart = sum(F.bit_count(F.col(a + k).bitwiseXOR(F.col(b + k))) for k in SKETCH)
+    return (4 * F.least(x, y) >= 3 * F.greatest(x, y)) & (7 * apart <= x + y)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test of two sets."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -230,7 +249,7 @@ def _less(keys: np.ndarray) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, set size and fingerprint of every document; kind 1: shingles frequent in a chunk, with counts."""
+    """kind 0: doc_id, set size, fingerprint and sketch of every document; kind 1: shingles frequent in a chunk, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -240,13 +259,14 @@ def shingle_table(docs: DataFrame) -> DataFrame:
         def frequent() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             h, n = h[n >= HOT_IN_CHUNK].view(np.int64), n[n >= HOT_IN_CHUNK]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h), pa.array(n.astype(np.int64)), pa.nulls(len(h), pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h), pa.array(n.astype(np.int64)), *[pa.nulls(len(h), pa.int64())] * (1 + len(SKETCH))], names=names)
 
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 sets = shingler.sets(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int32)), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=names)
+                parities = np.array([sketch(s) for s in sets]).reshape(-1, len(SKETCH)).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int32)), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), *map(pa.array, parities)], names=names)
                 held += sets
                 size += sum(map(len, sets))
                 if size > 6 * CHUNK_ROWS:
@@ -255,8 +275,8 @@ def shingle_table(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    names = ["kind", "a", "n", "node"]
-    return materialise(docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "kind int, a long, n long, node long"))
+    names = ["kind", "a", "n", "node", *SKETCH]
+    return materialise(docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "kind int, " + ", ".join(f"{name} long" for name in names[1:])))
 
 
 def _buckets(docs: DataFrame, hot: DataFrame) -> DataFrame:
@@ -325,11 +345,9 @@ class _Verifier:
         self.docs, self.nodes = docs, nodes
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes that are linked."""
-        sizes = self.nodes.select(F.col("node"), "n", "doc_id")
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        wanted = materialise(sized.filter(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b"))
-        ids = bounded(materialise(wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes, "node").select("node", F.col("doc_id").alias("_id"))))
+        """Those of the distinct pairs (a, b) of nodes that are linked."""
+        wanted = materialise(pairs)
+        ids = bounded(materialise(wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", F.col("doc_id").alias("_id")), "node")))
         texts = self.docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "raw")
         both = wanted.join(texts.select(F.col("node").alias("b"), F.col("raw").alias("raw_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("raw").alias("raw_a")), "a")
 
@@ -380,8 +398,8 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 def _link_components(docs: DataFrame) -> DataFrame:
     table = shingle_table(docs)
-    own = table.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "node")
-    nodes = materialise(own.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")))
+    own = table.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "node", *SKETCH)
+    nodes = materialise(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]))
     hot = table.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
     members = _buckets(docs, hot)
     verifier = _Verifier(docs, nodes)
@@ -394,20 +412,26 @@ def _link_components(docs: DataFrame) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges)
 
+    marks = ["n", *SKETCH]
+    named = lambda prefix: [F.col(c).alias(prefix + c) for c in ("node", "component", *marks)]
     for turn in range(STAR_ROUNDS + 1):
         if labels is not None:
             buckets = materialise(buckets.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
         buckets = _open(buckets)
         if buckets.isEmpty():
             break
-        if turn < STAR_ROUNDS:  # every member against one that probes, another one each round
-            by = F.struct(~F.expr(PROBES), F.xxhash64("node", F.lit(turn)), "node", "component")
-            hubs = materialise(buckets.groupBy("key").agg(F.min(by).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")))
-            take(buckets.join(hubs, "key").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        if not turn:
+            buckets = materialise(buckets.join(nodes.select("node", *marks), "node"))
+        if turn < STAR_ROUNDS:  # every set against one member that probes of its largest bucket, another one each round
+            by = F.struct(~F.expr(PROBES), F.xxhash64("node", F.lit(turn)), "node", "component", *marks)
+            hubs = materialise(buckets.groupBy("key").agg(F.min(by).alias("_hub"), F.count("*").alias("_size")).select("key", "_size", *[F.col("_hub")[c].alias("h_" + c) for c in ("node", "component", *marks)]))
+            met = buckets.select("key", *named("m_")).join(hubs, "key").filter((F.col("m_component") != F.col("h_component")) & may_link("m_", "h_"))
+            take(met.groupBy(F.col("m_node").alias("b")).agg(F.max_by("h_node", F.struct("_size", "key")).alias("a")).select("a", "b"))
         else:  # what probes against what is indexed, where they still lie in different components
-            left = buckets.filter(PROBES).select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            right = materialise(buckets.filter("(role & 1) > 0").select("key", F.col("node").alias("b"), F.col("component").alias("cb")))
-            take(left.join(right, "key").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            left = buckets.filter(PROBES).select("key", *named("p_"))
+            right = materialise(buckets.filter("(role & 1) > 0").select("key", *named("i_")))
+            met = left.join(right, (left["key"] == right["key"]) & (F.col("p_component") != F.col("i_component")) & may_link("p_", "i_"))
+            take(met.select(F.least("p_node", "i_node").alias("a"), F.greatest("p_node", "i_node").alias("b")).distinct())
     rest = materialise(_uncovered(members, nodes))
     if not rest.isEmpty():
         take(rest)
@@ -415,10 +439,13 @@ def _link_components(docs: DataFrame) -> DataFrame:
 
 
 def _uncovered(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of each node whose probes could not cover a band with all nodes of that band (next to none, but exact)."""
+    """Pairs of each node whose probes could not cover a band with all nodes of that band that it may be linked with (next to none, but exact)."""
     starts = F.array(*[F.lit(int(b)) for b in BAND_STARTS])
     banded = nodes.withColumn("key", (F.size(F.filter(starts, lambda b: b <= F.col("n"))) - 1).cast("long"))
-    return members.filter("role = 4").select("key", F.col("node").alias("a")).distinct().join(banded.select("key", F.col("node").alias("b")), "key").filter("a <> b").select("a", "b").distinct()
+    marks = ["node", "n", *SKETCH]
+    open_ = members.filter("role = 4").select("key", "node").distinct().join(nodes, "node").select("key", *[F.col(c).alias("a_" + c) for c in marks])
+    met = open_.join(banded.select("key", *[F.col(c).alias("b_" + c) for c in marks]), "key").filter((F.col("a_node") != F.col("b_node")) & may_link("a_", "b_"))
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def _named(own: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:

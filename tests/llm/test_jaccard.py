@@ -75,7 +75,7 @@ def test_sets_without_cover_are_compared_with_their_band(spark, monkeypatch):
     _, _, uncovered = jaccard.Signatures(some[:0], np.zeros(0)).of(some)
     own = int(np.searchsorted(jaccard.BAND_STARTS, 20, "right")) - 1
     assert own in uncovered
-    nodes = spark.createDataFrame([(1, 20, 1), (2, 20, 2), (3, 21, 3), (4, 900, 4)], "node long, n long, doc_id long")
+    nodes = spark.createDataFrame([(1, 20, 1, 0, 0, 0, 7), (2, 20, 2, 0, 0, 0, 0), (3, 21, 3, 0, 0, 0, 6), (4, 900, 4, 0, 0, 0, 7), (5, 20, 5, -1, 0, 0, 7)], "node long, n long, doc_id long, s0 long, s1 long, s2 long, s3 long")
     members = spark.createDataFrame([(own, 1, 4)], "key long, node long, role byte")
     assert sorted(tuple(r) for r in jaccard._uncovered(members, nodes).collect()) == [(1, 2), (1, 3)]
 
@@ -110,3 +110,12 @@ def test_hashes_follow_words_not_spacing():
     assert jaccard.fingerprint(one) == jaccard.fingerprint(two) != jaccard.fingerprint(short)
     many = [b"word%d " % i * 3 for i in range(50)]
     assert all((x == y).all() for x, y in zip(s.sets(many), [jaccard.Shingler().sets([m])[0] for m in many], strict=True))
+
+
+def test_sketches_never_differ_more_than_sets():
+    rnd = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rnd.integers(0, 2**64, int(rnd.integers(1, 300)), np.uint64))
+        b = np.union1d(a[int(rnd.integers(0, len(a))) :], rnd.integers(0, 2**64, int(rnd.integers(0, 60)), np.uint64))
+        apart = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and (jaccard.sketch(a[::-1]) == jaccard.sketch(a)).all()
