@@ -38,6 +38,8 @@ ORDER = 4
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BATCH_CHARS = 500_000
 PAD = " " * (ORDER - 1)
+#: Calibration texts that a limit needs.
+ENOUGH = 20
 
 
 def letters_only(text: str | None) -> str:
@@ -92,6 +94,7 @@ class KneserNey:
             np.add.at(tally, back.ravel(), (c > 0).astype(float))
             by_order[n] = (rows, tally)
         alphabet = len(by_order[1][0]) + 1
+        model.limits = np.tile([np.log(alphabet), 0.0, 0.0], (len(languages), 1))  # until calibrated
         for n in range(1, ORDER + 1):
             rows, c = by_order[n]
             ones, twos = (c == 1).sum(0), (c == 2).sum(0)
@@ -150,18 +153,23 @@ class KneserNey:
 
     def calibrate(self, texts: list[str], truth: list[str]) -> None:
         """Limits by language from held-back texts in their own language."""
+        if not texts:
+            return
         h, n = np.concatenate([self.entropies(part) for part in _by_size(texts)]), np.array([len(t) + 1 for t in texts])
         own = np.array([self.languages.index(t) for t in truth])
-        self.limits = np.zeros((len(self.languages), 3))
-        for k in range(len(self.languages)):
-            pick = own == k
-            x = h[pick, k]
-            if len(x) < 20:  # too few to calibrate by: nothing of this language is rejected
-                self.limits[k] = (np.inf, 0, 0)
-                continue
-            mean = np.average(x, weights=np.minimum(n[pick], 500))
-            spread = np.quantile(np.abs(x - mean)[n[pick] >= np.median(n[pick])], 0.99)
-            self.limits[k] = (mean, 5 * spread, 4 * np.quantile((np.abs(x - mean) * np.sqrt(n[pick])), 0.9))
+        counts = np.bincount(own, minlength=len(self.languages))
+        x = h[np.arange(len(h)), own]
+        if len(x) < ENOUGH:
+            return
+        means = np.array([np.average(x[own == k], weights=np.minimum(n[own == k], 500)) if counts[k] else 0 for k in range(len(self.languages))])
+
+        def limit(pick: np.ndarray, mean: float) -> tuple[float, float, float]:
+            off, size = np.abs(x - means[own])[pick], n[pick]
+            spread = np.quantile(off[size >= np.median(size)], 0.99)
+            return mean, 5 * spread, 4 * np.quantile(off * np.sqrt(size), 0.9)
+
+        pooled = limit(np.ones(len(x), bool), np.average(x, weights=np.minimum(n, 500)))
+        self.limits = np.array([limit(own == k, means[k]) if counts[k] >= ENOUGH else pooled for k in range(len(self.languages))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and whether rejected, for each text."""
@@ -178,11 +186,8 @@ class KneserNey:
         gap = -(h - low[:, None]) * np.minimum(n, 50)[:, None]
         score[some] = 1 / np.exp(gap).sum(1)
         entropy[some] = low
-        if self.limits is not None:
-            mean, spread, share = self.limits[best].T
-            rejected[some] = low > mean + spread + share / np.sqrt(n)
-        else:
-            rejected[some] = False
+        mean, spread, share = self.limits[best].T
+        rejected[some] = low > mean + spread + share / np.sqrt(n)
         for i, k in zip(some, best, strict=True):
             lang[i] = self.languages[k]
         return lang, score, entropy, rejected
@@ -243,8 +248,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = 1500) -> KneserNey
     model = KneserNey.fit(listed, counts, [str(x) for x in languages])
     checked = [(letters_only(r["text"]), r["lang"]) for r in held if r["lang"] in model.languages]
     checked = [x for x in checked if x[0]]
-    if checked:
-        model.calibrate([t for t, _ in checked], [lang for _, lang in checked])
+    model.calibrate([t for t, _ in checked], [lang for _, lang in checked])
     return model
 
 

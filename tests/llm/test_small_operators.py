@@ -296,3 +296,15 @@ def test_nonsense_is_rejected(spark):
     model = langid.train(docs, docs.doc_id % 5 != 0)
     lang, score, entropy, rejected = model.predict(["zxqj vkwq qzzx jjkq xqzv " * 20, "123 456 ...", None])
     assert rejected.all() and lang[1:] == ["und", "und"] and score[1] == 0
+
+
+def test_rare_languages_and_small_tables_reject_nonsense(spark):
+    nonsense = ["asdkjh qwe lkjasd zmxnc poi qwlekj " * 10, "zxqj vkwq qzzx jjkq xqzv " * 20]
+    rare = [(-1, "hej och välkommen till den svenska texten som är kort", "sv"), (-2, "det här är en annan text på svenska", "sv")]
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    small = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    for docs in (big.unionByName(spark.createDataFrame(rare, big.schema)), small, small.limit(12)):
+        model = langid.train(docs, docs.doc_id.isNotNull())
+        assert model.predict(nonsense)[3].all() and np.isfinite(model.limits).all()
+        own = model.predict([r["text"] for r in docs.collect() if r["lang"] != "sv"])[3]
+        assert own.mean() < 0.05
