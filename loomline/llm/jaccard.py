@@ -18,7 +18,9 @@ together need no more comparison, so buckets are worked off in rounds of stars
 (every set against one member that probes, in the largest bucket it lies in,
 another one each round) and, last, all pairs of a probing and an indexed member
 that still lie in different components. No pair that may be linked is left
-unconnected and unverified.
+unconnected and unverified. That gives link_components, which computes no more than
+connectivity; link_pairs and count_links verify all candidates, also those within a
+component, and give every link.
 
 Equal sets are one node. In a chunk of a task a crowded bucket sends on one member
 only, and its other rows are spread, so that no bucket meets in one task.
@@ -396,12 +398,51 @@ def link_components(docs: DataFrame) -> DataFrame:
         return _link_components(docs)
 
 
-def _link_components(docs: DataFrame) -> DataFrame:
+def link_pairs(docs: DataFrame) -> DataFrame:
+    """a, b, doc_a, doc_b, copies_a, copies_b of every two linked sets, a < b, each with its least doc_id and number of rows."""
+    with record_batches(docs.sparkSession, BATCH_ROWS):
+        _, nodes, members = _prepared(docs)
+        return _pairs(docs, nodes, members)
+
+
+def count_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and n_links of every document: how many other rows it is linked with, copies included."""
+    with record_batches(docs.sparkSession, BATCH_ROWS):
+        own, nodes, members = _prepared(docs)
+        pairs = _pairs(docs, nodes, members)
+    ends = pairs.select(F.col("a").alias("node"), F.col("copies_b").alias("n_links")).unionByName(pairs.select(F.col("b").alias("node"), F.col("copies_a").alias("n_links")))
+    others = nodes.join(ends.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")
+    counted = materialise(others.select("node", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    full = own.filter("n > 0").join(counted, "node").select("doc_id", F.col("n").alias("n_shingles"), "n_links")
+    return full.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links")))
+
+
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all documents, the nodes and the members of buckets."""
     table = shingle_table(docs)
     own = table.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "node", *SKETCH)
-    nodes = materialise(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]))
+    nodes = materialise(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]))
     hot = table.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
-    members = _buckets(docs, hot)
+    return own, nodes, _buckets(docs, hot)
+
+
+def _pairs(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """link_pairs: all that probe against all that are indexed in their buckets, verified."""
+    marks = ["node", "n", *SKETCH]
+    buckets = materialise(members.filter("role < 4").groupBy("key", "node").agg(F.bit_or("role").alias("role")).join(nodes.select(*marks), "node"))
+    side = lambda prefix: [F.col(c).alias(prefix + c) for c in marks]
+    left = buckets.filter(PROBES).select("key", *side("p_"))
+    right = materialise(buckets.filter("(role & 1) > 0").select("key", *side("i_")))
+    met = left.join(right, "key").filter((F.col("p_node") != F.col("i_node")) & may_link("p_", "i_")).select("p_node", "i_node")
+    rest = _uncovered(members, nodes).select(F.col("a").alias("p_node"), F.col("b").alias("i_node"))
+    wanted = met.unionByName(rest).select(F.least("p_node", "i_node").alias("a"), F.greatest("p_node", "i_node").alias("b")).distinct()
+    found = _Verifier(docs, nodes).links(wanted)
+    named = lambda end: nodes.select(F.col("node").alias(end), F.col("doc_id").alias("doc_" + end), F.col("copies").alias("copies_" + end))
+    return materialise(found.join(named("a"), "a").join(named("b"), "b").select("a", "b", "doc_a", "doc_b", "copies_a", "copies_b"))
+
+
+def _link_components(docs: DataFrame) -> DataFrame:
+    own, nodes, members = _prepared(docs)
     verifier = _Verifier(docs, nodes)
     buckets = materialise(members.filter("role < 4").groupBy("key", "node").agg(F.bit_or("role").alias("role")).withColumn("component", F.col("node")))
     edges = labels = None

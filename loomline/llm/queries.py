@@ -45,6 +45,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.count_links(documents(spark, sf_dir))
+
+
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), WORD_VOCABULARY, WORD_END_ID)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_revisit_resolution": op5_revisit_resolution,
     "op6_interleaved_media": op6_interleaved_media,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op7_ngram_jaccard_links": op7_ngram_jaccard_links,
     "op8_bit_packed_ids": op8_bit_packed_ids,
     "op9_kneser_ney_language": op9_kneser_ney_language,
     "op10_best_fit_packing": op10_best_fit_packing,

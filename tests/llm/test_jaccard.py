@@ -119,3 +119,34 @@ def test_sketches_never_differ_more_than_sets():
         b = np.union1d(a[int(rnd.integers(0, len(a))) :], rnd.integers(0, 2**64, int(rnd.integers(0, 60)), np.uint64))
         apart = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
         assert apart <= len(np.setxor1d(a, b)) and (jaccard.sketch(a[::-1]) == jaccard.sketch(a)).all()
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
+
+
+def test_links_equal_brute_force(spark, odd_docs, no_docs):
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    near = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in rnd.sample(range(80), 40)]  # a group in which most pairs already lie in one component
+    texts = noisy_texts(3, 300) + near + near[:7]
+    rows = [(i * 7 % 503, t) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for _, t in rows]
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted((key, len(x), sum(linked(x, y) for y in sets) - bool(x)) for (key, _), x in zip(rows, sets, strict=True))
+    assert sorted(map(tuple, jaccard.count_links(df).collect())) == expected
+
+    by_set = {}
+    for (key, _), x in zip(rows, sets, strict=True):
+        by_set.setdefault(x, []).append(key)
+    classes = [(min(ids), len(ids), x) for x, ids in by_set.items() if x]
+    wanted = {frozenset({(a, m), (b, n)}) for i, (a, m, x) in enumerate(classes) for b, n, y in classes[:i] if linked(x, y)}
+    got_pairs = jaccard.link_pairs(df).collect()
+    assert {frozenset({(r["doc_a"], r["copies_a"]), (r["doc_b"], r["copies_b"])}) for r in got_pairs} == wanted and len(got_pairs) == len(wanted)
+
+    odd = [shingle_set(r["text"]) for r in odd_docs.collect()]
+    counts = sorted(sum(linked(x, y) for y in odd) - bool(x) for x in odd)
+    assert sorted(r["n_links"] for r in jaccard.count_links(odd_docs).collect()) == counts
+    assert jaccard.count_links(no_docs).collect() == [] and jaccard.link_pairs(no_docs).collect() == []
