@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.common import bounded, materialise, record_batches
 
@@ -441,7 +442,38 @@ def _pairs(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     return materialise(found.join(named("a"), "a").join(named("b"), "b").select("a", "b", "doc_a", "doc_b", "copies_a", "copies_b"))
 
 
+def with_clusters(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the column `name`: a number for each component of linked documents, null where the set is empty."""
+    with record_batches(docs.sparkSession, BATCH_ROWS):
+        _, nodes, labels = _components(docs)
+    named = with_sets(docs, "_set")
+    if labels is None:
+        return named.withColumnRenamed("_set", name)
+    ids = bounded(labels.select(F.col("node").alias("_node"), F.col("component").alias("_component")))
+    return named.join(ids, named["_set"] == ids["_node"], "left").withColumn(name, F.coalesce("_component", "_set")).drop(*{"_set", "_node", "_component"} - {name})
+
+
+def with_sets(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the column `name`: the fingerprint of the set of `text`, null where it is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for b in batches:
+            for k in range(0, b.num_rows, BATCH_ROWS):
+                part = b.slice(k, BATCH_ROWS)
+                sets = shingler.sets(part.column("text").cast(pa.binary()).to_pylist())
+                found = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def _link_components(docs: DataFrame) -> DataFrame:
+    return _named(*_components(docs))
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The sets of all documents, the nodes, and the components of nodes that are linked with others."""
     own, nodes, members = _prepared(docs)
     verifier = _Verifier(docs, nodes)
     buckets = materialise(members.filter("role < 4").groupBy("key", "node").agg(F.bit_or("role").alias("role")).withColumn("component", F.col("node")))
@@ -476,7 +508,7 @@ def _link_components(docs: DataFrame) -> DataFrame:
     rest = materialise(_uncovered(members, nodes))
     if not rest.isEmpty():
         take(rest)
-    return _named(own, nodes, labels)
+    return own, nodes, labels
 
 
 def _uncovered(members: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ into groups by hash, so that a source or cluster that holds a third of all rows
 is spread evenly; bins never cross groups, and the number of groups follows the
 number of pieces, so a group has about `group_size` pieces at any scale.
 
+Duplicate clusters are a column that the caller names (op10 gives the components
+of op7's links); where it is null, or none is named, texts of equal lower-cased
+words are one cluster.
+
 Defined results: null or empty text is a piece of length 0 that is packed like
 any other; a null source conflicts with nothing; repeated rows are packed once
 each, in different bins as they share a cluster; an empty table gives an empty
@@ -58,19 +62,20 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
     return bins, offsets
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, source, cluster, piece and length; lengths count words, clusters are texts of equal lower-cased words."""
+def pieces(docs: DataFrame, capacity: int, cluster: str | None = None) -> DataFrame:
+    """doc_id, source, cluster, piece and length; lengths count words, clusters are those of the column or texts of equal lower-cased words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.trim(F.regexp_replace(F.lower(text), f"[{SPACES}]+", " "))
-    measured = docs.select("doc_id", "source", F.xxhash64(plain).alias("cluster"), F.regexp_count(text, F.lit(f"[^{SPACES}]+")).alias("n"))
+    equal = F.xxhash64(plain)
+    measured = docs.select("doc_id", "source", (F.coalesce(cluster, equal) if cluster else equal).alias("cluster"), F.regexp_count(text, F.lit(f"[^{SPACES}]+")).alias("n"))
     count = F.greatest(F.ceil(F.col("n") / capacity).cast("int"), F.lit(1))
     cut = measured.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
     return cut.select("doc_id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE) -> DataFrame:
-    """doc_id, piece, length, bin (global), start (offset in the bin) and residual (of the closed bin)."""
-    cut = materialise(pieces(docs, capacity))
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, cluster: str | None = None) -> DataFrame:
+    """doc_id, piece, length, source, cluster, bin (global), start (offset in the bin) and residual (of the closed bin)."""
+    cut = materialise(pieces(docs, capacity, cluster))
     groups = max(1, -(-cut.count() // group_size))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source"), F.lit(groups)))
 

@@ -58,7 +58,8 @@ def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return packing.pack_documents(jaccard.with_clusters(docs, "_cluster"), cluster="_cluster")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomline.llm import langid, line_frequency, media, packing, queries, sharding, toxicity, warc
+from loomline.llm import jaccard, langid, line_frequency, media, packing, queries, sharding, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -217,6 +217,21 @@ def test_packing_places_everything_without_conflict(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs).collect() == []
 
 
+def test_near_copies_share_no_bin(spark, odd_docs, no_docs, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    near = [(k, " ".join(words[:k] + ["other"] + words[k + 1 :]), f"s{k}") for k in range(30)]
+    alone = [(100 + k, " ".join(f"x{k}y{i}" for i in range(60)), f"t{k}") for k in range(30)]
+    folder = str(tmp_path)
+    spark.createDataFrame(near + alone + [(7, "other words", "z"), (8, "", "q"), (9, None, None)], "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    rows = queries.op10_best_fit_packing(spark, folder).collect()
+    bins, clusters = {r["doc_id"]: r["bin"] for r in rows if r["source"] and r["source"][0] == "s"}, {r["cluster"] for r in rows if r["source"] and r["source"][0] == "s"}
+    assert len(bins) == 30 == len(set(bins.values())) and len(clusters) == 1
+    assert len({r["cluster"] for r in rows if r["doc_id"] >= 100}) == 30 and len(rows) == 63
+    for docs in (odd_docs, no_docs):
+        packed = packing.pack_documents(jaccard.with_clusters(docs, "_cluster"), cluster="_cluster")
+        assert packed.filter("piece = 0").count() == docs.count()
+
+
 # toxicity
 
 
