@@ -92,16 +92,19 @@ def greedy_dedupe(items: DataFrame, batch: str, threshold: float = DEDUPE_AT, po
     return items.groupBy(batch).applyInPandas(run, schema)
 
 
-def nearest_earlier(new: DataFrame, past: DataFrame, threshold: float = RECUR_AT) -> DataFrame:
+def nearest_earlier(new: DataFrame, past: DataFrame, threshold: float = RECUR_AT, batch: str | None = None) -> DataFrame:
     """new_id, past_id and similarity of each new item's most similar past one at or over the threshold.
 
+    With `batch`, a numeric column of both, only items of lesser batches are past.
+
     Past items (past_id, created_at, embedding) are compared in blocks of a
     matrix product. New items are the small side: they are dealt over all blocks
     by an explicit block number, so no task holds more than one block of each.
     Ties go to the latest past item; similarities of zero or less never count.
     """
-    new = new.select(F.col("new_id"), F.col("embedding").alias("v"))
-    past = past.select("past_id", "created_at", F.col("embedding").alias("w"))
+    number = F.col(batch) if batch else F.lit(0)
+    new = new.select(F.col("new_id"), F.col("embedding").alias("v"), number.cast("long").alias("_batch"))
+    past = past.select("past_id", "created_at", F.col("embedding").alias("w"), number.cast("long").alias("_batch"))
     count = lambda df: max(1, -(-df.count() // BLOCK))
     n, p = count(new), count(past)
     left = new.withColumn("_i", F.pmod(F.xxhash64("new_id"), F.lit(n)).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
@@ -118,6 +121,8 @@ def nearest_earlier(new: DataFrame, past: DataFrame, threshold: float = RECUR_AT
             y = np.stack([np.asarray(w, float)[: int(size)] for w in fits["w"]])
             norms = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
             s = np.divide(x @ y.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+            if batch:  # a similarity of zero never counts
+                s[~(fits["_batch"].to_numpy()[None, :] < group["_batch"].to_numpy()[:, None])] = 0
             best = s.argmax(1)
             for i, k in enumerate(best):
                 if s[i, k] >= threshold and s[i, k] > 0:
@@ -129,10 +134,13 @@ def nearest_earlier(new: DataFrame, past: DataFrame, threshold: float = RECUR_AT
     return found.groupBy("new_id").agg(best.alias("b")).select("new_id", "b.past_id", "b.similarity")
 
 
-def apply_recurrence(items: DataFrame, past: DataFrame, batch: str, dedupe_at: float = DEDUPE_AT, recur_at: float = RECUR_AT, enabled: bool = True) -> DataFrame:
-    """De-duplicate a batch, then link each survivor (`id`) to its nearest earlier item; off, items pass through."""
+def apply_recurrence(items: DataFrame, past: DataFrame, batch: str, dedupe_at: float = DEDUPE_AT, recur_at: float = RECUR_AT, enabled: bool = True, earlier_batches: bool = False) -> DataFrame:
+    """De-duplicate a batch, then link each survivor (`id`) to its nearest earlier item; off, items pass through.
+
+    With earlier_batches only those of the past items (with a column `batch`) count that lie in an earlier batch.
+    """
     if not enabled:
         return items.withColumn("recurrence_of", F.lit(None).cast("long"))
     kept = greedy_dedupe(items, batch, dedupe_at)
-    links = nearest_earlier(kept.select(F.col("id").alias("new_id"), "embedding"), past, recur_at)
+    links = nearest_earlier(kept.select(F.col("id").alias("new_id"), batch, "embedding"), past, recur_at, batch if earlier_batches else None)
     return kept.join(links.select(F.col("new_id").alias("id"), F.col("past_id").alias("recurrence_of")), "id", "left")

@@ -375,6 +375,18 @@ def j8(spark, sf):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@register(
+    "j8_nearest_earlier_batches",
+    f"""WITH s AS (SELECT a.vec_id AS new_id, b.vec_id AS past_id, {_COS} AS sim FROM embeddings a JOIN embeddings b ON b.vec_id // 256 < a.vec_id // 256)
+    SELECT new_id, past_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(sim, 12) DESC, past_id) AS k FROM s WHERE sim >= 0.35) WHERE k = 1""",
+)
+def j8_batches(spark, sf):
+    v = b.vectors(spark, sf)
+    past = v.select(F.col("id").alias("past_id"), F.lit("2024").alias("created_at"), "batch", "embedding")
+    found = similarity.nearest_earlier(v.select(F.col("id").alias("new_id"), "batch", "embedding"), past, 0.35, "batch")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @register("e3_greedy_dedupe")
 def e3(spark, sf):
     return similarity.greedy_dedupe(b.vectors(spark, sf), "batch", 0.35).select("id", "batch", "significance_score", "place")
@@ -383,8 +395,8 @@ def e3(spark, sf):
 @register("e4_recurrence")
 def e4(spark, sf):
     v = b.vectors(spark, sf)
-    past = v.filter("id % 5 <> 0").select(F.col("id").alias("past_id"), F.lit("2024").alias("created_at"), "embedding")
-    return similarity.apply_recurrence(v.filter("id % 5 = 0"), past, "batch", 0.35, 0.35).select("id", "batch", "place", "recurrence_of")
+    past = v.select(F.col("id").alias("past_id"), F.lit("2024").alias("created_at"), "batch", "embedding")
+    return similarity.apply_recurrence(v, past, "batch", 0.35, 0.35, earlier_batches=True).select("id", "batch", "place", "recurrence_of")
 
 
 _WALK = """, walk AS (SELECT id AS start, id AS cur, [id] AS path, false AS looped FROM placed WHERE date >= strftime(DATE '2001-08-01' - INTERVAL 730 DAY, '%Y-%m-%d') AND project_dir = 'p3'

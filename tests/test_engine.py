@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timezone
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,3 +403,18 @@ def test_streamed_sessions_equal_the_batch(spark, tmp_path):
     q.awaitTermination()
     key = ["project_dir", "session_id", "line_number", "part"]
     assert sorted(map(tuple, spark.table("parts").select(key).collect())) == sorted(map(tuple, sessionize.sessionize(df).select(key).collect()))
+
+
+def test_recurrence_covers_all_vectors(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    unit = np.array([r["embedding"] for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    ids, similar = np.array([r["vec_id"] for r in rows]), unit @ unit.T
+    kept = {r["id"]: r["place"] for r in library.QUERIES["e3_greedy_dedupe"](spark, SF).collect()}
+    got = {r["id"]: (r["place"], r["recurrence_of"]) for r in library.QUERIES["e4_recurrence"](spark, SF).collect()}
+    assert {k: place for k, (place, _) in got.items()} == kept
+    for i, key in enumerate(ids):
+        if key in kept:
+            s = np.where(ids // 256 < key // 256, similar[i], 0)
+            assert got[key][1] == (ids[s.argmax()] if s.max() >= 0.35 else None)
+    assert any(link is not None and link % 5 == 0 for _, link in got.values())
