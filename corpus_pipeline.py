@@ -35,17 +35,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the one with the least doc_id.
 
     Rows without an id can't be told apart by one and stay; of rows that share
-    an id, those of equal text stay once.
+    an id, those of equal text stay once, and only the linked ones go.
     """
-    linked = materialise(jaccard.link_components(docs))
-    gone = materialise(linked.filter("n_shingles > 0 AND doc_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct())
+    linked = materialise(jaccard.link_components(docs, "_set"))
+    gone_sets = materialise(linked.filter("n_shingles > 0 AND doc_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("_set").alias("_gone")).distinct())
     twice = materialise(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")))
     among = lambda df, ids, how: df.join(bounded(ids), df["doc_id"] == ids["_id"], how)
-    kept = among(docs, gone, "left_anti")
     if twice.isEmpty():
-        return kept
-    shared = among(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"])
-    return among(kept, twice, "left_anti").unionByName(shared)
+        return among(docs, gone_sets, "left_anti")
+    # ids of several rows: an id and a set name the rows to drop; here alone the sets are computed again
+    shared = jaccard.with_sets(among(docs, twice, "left_semi"), "_set")
+    gone = bounded(gone_sets)
+    shared = shared.join(gone, (shared["doc_id"] == gone["_id"]) & (shared["_set"] == gone["_gone"]), "left_anti").drop("_set").dropDuplicates(["doc_id", "text"])
+    return among(among(docs, twice, "left_anti"), gone_sets, "left_anti").unionByName(shared)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -393,10 +393,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def link_components(docs: DataFrame, set_name: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document and, if named, the fingerprint of its set."""
     with record_batches(docs.sparkSession, BATCH_ROWS):
-        return _link_components(docs)
+        named = _named(*_components(docs))
+    return named.withColumnRenamed("node", set_name) if set_name else named.drop("node")
 
 
 def link_pairs(docs: DataFrame) -> DataFrame:
@@ -468,10 +469,6 @@ def with_sets(docs: DataFrame, name: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def _link_components(docs: DataFrame) -> DataFrame:
-    return _named(*_components(docs))
-
-
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The sets of all documents, the nodes, and the components of nodes that are linked with others."""
     own, nodes, members = _prepared(docs)
@@ -522,7 +519,7 @@ def _uncovered(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _named(own: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Every document with the least doc_id of its component."""
+    """Every document with the least doc_id of its component, and its set."""
     joined = nodes.select("node", "doc_id")
     if labels is not None:
         joined = joined.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -531,8 +528,8 @@ def _named(own: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFr
     joined = materialise(joined)
     least = materialise(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = materialise(joined.join(least, "component").select("node", "component_id"))
-    full = own.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = own.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
+    return full.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node"))
 
 
 #: DuckDB SQL of link_components: all pairs that share a shingle, and the closure of their links.

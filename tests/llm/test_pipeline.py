@@ -51,3 +51,9 @@ def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "6", "None"]
     twice = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (7, "other words in this one here"), (None, "x y")], "doc_id long, text string")
     assert cp.near_duplicates(spark, twice, SF).count() == 3
+
+
+def test_an_id_of_two_texts_loses_only_the_linked_one(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "clean text of its own here"), (2, "clean text of its own here"), (3, "a b c d e f g")]
+    kept = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert keys(kept) == [rows[0], rows[2]]
