@@ -14,13 +14,17 @@ of least cost, where the cost of a segment is how often its rarest shingle occur
 A probing member of a bucket makes candidates with all others, but for those that
 a sketch rules out: 256 parities of the set, by ranges of the universe, which
 differ in no more places than the sets do in elements. Sets that already belong
-together need no more comparison, so buckets are worked off in rounds of stars
-(every set against one member that probes, in the largest bucket it lies in,
-another one each round) and, last, all pairs of a probing and an indexed member
-that still lie in different components. No pair that may be linked is left
-unconnected and unverified. That gives link_components, which computes no more than
-connectivity; link_pairs and count_links verify all candidates, also those within a
-component, and give every link.
+together need no more comparison, so buckets are worked off in rounds of stars:
+every set against one member that probes, in the largest bucket it lies in. In the
+first round that member is the one whose buckets hold most rows in all. In a group
+of near copies it lies in the middle, so that nearly all of the group are linked
+with it at once, and what is left grows as the group does and not as its square;
+the next round takes another member. Last come all pairs of a probing and an
+indexed member that still lie in different components, where a sketch of 1,024
+parities rules out holders of a common passage whose rests differ. No pair that may
+be linked is left unconnected and unverified. That gives link_components, which
+computes no more than connectivity; link_pairs and count_links verify all
+candidates, also those within a component, and give every link.
 
 Equal sets are one node. In a chunk of a task a crowded bucket sends on one member
 only, and its other rows are spread, so that no bucket meets in one task.
@@ -52,8 +56,9 @@ HOT_IN_CHUNK = 16
 BATCH_ROWS = 500
 MAX_HOT = 500_000
 STAR_ROUNDS = 2
-#: Longs of a set's sketch, 64 parities each.
+#: Longs of a set's sketch, 64 parities each, and of the finer one for the last round.
 SKETCH = [f"s{i}" for i in range(4)]
+FINE = [f"f{i}" for i in range(16)]
 #: One segment in so many also indexes its one-deletion neighbourhood.
 OPEN_SHARE = 8
 #: Roles: bit 1 indexed, bit 2 probing.
@@ -160,17 +165,17 @@ def fingerprint(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray, longs: int = len(SKETCH)) -> np.ndarray:
     """The parity of a set's number of elements in each of equal ranges of the universe, as signed 64-bit numbers."""
-    bits = 64 * len(SKETCH)
+    bits = 64 * longs
     odd = np.bincount((s >> U(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def may_link(a: str, b: str) -> Column:
+def may_link(a: str, b: str, parts: list[str] = SKETCH) -> Column:
     """Whether sizes and sketches of two sets, in columns of these prefixes, leave room for a link: they then differ in at most (x + y) / 7 elements."""
     x, y = F.col(a + "n"), F.col(b + "n")
-    apart = sum(F.bit_count(F.col(a + k).bitwiseXOR(F.col(b + k))) for k in SKETCH)
+    apart = sum(F.bit_count(F.col(a + k).bitwiseXOR(F.col(b + k))) for k in parts)
     return (4 * F.least(x, y) >= 3 * F.greatest(x, y)) & (7 * apart <= x + y)
 
 
@@ -252,7 +257,7 @@ def _less(keys: np.ndarray) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, set size, fingerprint and sketch of every document; kind 1: shingles frequent in a chunk, with counts."""
+    """kind 0: doc_id, set size, fingerprint, hash of the text and sketches of every document; kind 1: shingles frequent in a chunk, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -262,14 +267,14 @@ def shingle_table(docs: DataFrame) -> DataFrame:
         def frequent() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             h, n = h[n >= HOT_IN_CHUNK].view(np.int64), n[n >= HOT_IN_CHUNK]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h), pa.array(n.astype(np.int64)), *[pa.nulls(len(h), pa.int64())] * (1 + len(SKETCH))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h), pa.array(n.astype(np.int64)), *[pa.nulls(len(h), pa.int64())] * (2 + len(SKETCH + FINE))], names=names)
 
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 sets = shingler.sets(part.column(1).to_pylist())
-                parities = np.array([sketch(s) for s in sets]).reshape(-1, len(SKETCH)).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int32)), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), *map(pa.array, parities)], names=names)
+                parities = np.array([np.concatenate([sketch(s), sketch(s, len(FINE))]) for s in sets]).reshape(-1, len(SKETCH + FINE)).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int32)), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), part.column(2), *map(pa.array, parities)], names=names)
                 held += sets
                 size += sum(map(len, sets))
                 if size > 6 * CHUNK_ROWS:
@@ -278,8 +283,8 @@ def shingle_table(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    names = ["kind", "a", "n", "node", *SKETCH]
-    return materialise(docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "kind int, " + ", ".join(f"{name} long" for name in names[1:])))
+    names = ["kind", "a", "n", "node", "text_key", *SKETCH, *FINE]
+    return materialise(docs.select("doc_id", F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("key")).mapInArrow(run, "kind int, " + ", ".join(f"{name} long" for name in names[1:])))
 
 
 def _buckets(docs: DataFrame, hot: DataFrame) -> DataFrame:
@@ -336,9 +341,9 @@ def _buckets(docs: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def _open(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets that hold two or more components and a probing member."""
-    wanted = buckets.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max(F.expr(PROBES)).alias("_probed"))
-    return materialise(buckets.join(materialise(wanted.filter("_low < _high AND _probed").select("key")), "key"))
+    """The rows of buckets that hold two or more components and a probing member, with the number of rows of the bucket as `size`."""
+    wanted = buckets.drop("size").groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max(F.expr(PROBES)).alias("_probed"), F.count("*").alias("size"))
+    return materialise(buckets.drop("size").join(materialise(wanted.filter("_low < _high AND _probed").select("key", "size")), "key"))
 
 
 class _Verifier:
@@ -350,8 +355,11 @@ class _Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) of nodes that are linked."""
         wanted = materialise(pairs)
-        ids = bounded(materialise(wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", F.col("doc_id").alias("_id")), "node")))
-        texts = self.docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "raw")
+        ends = wanted.select(F.col("a").alias("node")).distinct().unionByName(wanted.select(F.col("b").alias("node")).distinct()).distinct()
+        ids = bounded(materialise(ends.join(self.nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "node")))
+        rows = self.docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("raw"))
+        # one row a node, also where ids or whole rows repeat; written, so that Spark can split the pairs of a hub
+        texts = materialise(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "raw").dropDuplicates(["node"]))
         both = wanted.join(texts.select(F.col("node").alias("b"), F.col("raw").alias("raw_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("raw").alias("raw_a")), "a")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +375,7 @@ class _Verifier:
                     for i in range(len(a)):
                         if hub[0] != a[i] or hub[1] != raws[i]:
                             hub = (a[i], raws[i], shingler.sets([raws[i]])[0])
-                        # an id may be borne by other texts too: the names must be right
+                        # the hash of a text may be that of another: the names must be right
                         good.append(linked(hub[2], right[i]) and fingerprint(right[i]) == b[i] and fingerprint(hub[2]) == a[i])
                     yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -422,8 +430,9 @@ def count_links(docs: DataFrame) -> DataFrame:
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets of all documents, the nodes and the members of buckets."""
     table = shingle_table(docs)
-    own = table.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "node", *SKETCH)
-    nodes = materialise(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]))
+    own = table.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "node", "text_key", *SKETCH, *FINE)
+    row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))  # the row that stands for the node: one with an id, if there is any
+    nodes = materialise(own.filter("n > 0").groupBy("node").agg(row.alias("row"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *SKETCH, *FINE)]).select("node", "row.doc_id", "row.text_key", "copies", "n", *SKETCH, *FINE))
     hot = table.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
     return own, nodes, _buckets(docs, hot)
 
@@ -482,7 +491,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges)
 
-    marks = ["n", *SKETCH]
+    marks = ["n", "central", *SKETCH]
     named = lambda prefix: [F.col(c).alias(prefix + c) for c in ("node", "component", *marks)]
     for turn in range(STAR_ROUNDS + 1):
         if labels is not None:
@@ -491,16 +500,22 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None
         if buckets.isEmpty():
             break
         if not turn:
-            buckets = materialise(buckets.join(nodes.select("node", *marks), "node"))
-        if turn < STAR_ROUNDS:  # every set against one member that probes of its largest bucket, another one each round
-            by = F.struct(~F.expr(PROBES), F.xxhash64("node", F.lit(turn)), "node", "component", *marks)
-            hubs = materialise(buckets.groupBy("key").agg(F.min(by).alias("_hub"), F.count("*").alias("_size")).select("key", "_size", *[F.col("_hub")[c].alias("h_" + c) for c in ("node", "component", *marks)]))
+            # the more rows the buckets of a set hold in all, the nearer it lies to the middle of its group
+            central = materialise(buckets.groupBy("node").agg(F.sum("size").alias("central")))
+            buckets = materialise(buckets.join(nodes.join(central, "node").select("node", *marks), "node"))
+        if turn < STAR_ROUNDS:  # every set against one member that probes of its largest bucket: first the one most in the middle, then another
+            first = -F.col("central") if not turn else F.lit(0)
+            by = F.struct(~F.expr(PROBES), first, F.xxhash64("node", F.lit(turn)), "node", "component", *marks)
+            hubs = materialise(buckets.groupBy("key").agg(F.min(by).alias("_hub"), F.first("size").alias("_size")).select("key", "_size", *[F.col("_hub")[c].alias("h_" + c) for c in ("node", "component", *marks)]))
             met = buckets.select("key", *named("m_")).join(hubs, "key").filter((F.col("m_component") != F.col("h_component")) & may_link("m_", "h_"))
             take(met.groupBy(F.col("m_node").alias("b")).agg(F.max_by("h_node", F.struct("_size", "key")).alias("a")).select("a", "b"))
         else:  # what probes against what is indexed, where they still lie in different components
-            left = buckets.filter(PROBES).select("key", *named("p_"))
-            right = materialise(buckets.filter("(role & 1) > 0").select("key", *named("i_")))
-            met = left.join(right, (left["key"] == right["key"]) & (F.col("p_component") != F.col("i_component")) & may_link("p_", "i_"))
+            fine = nodes.select("node", "n", *FINE)
+            slim = buckets.select("key", "node", "component", "role")
+            side = lambda prefix: [F.col(c).alias(prefix + c) for c in ("node", "component", "n", *FINE)]
+            left = slim.filter(PROBES).join(fine, "node").select("key", *side("p_"))
+            right = materialise(slim.filter("(role & 1) > 0").join(fine, "node").select("key", *side("i_")))
+            met = left.join(right, (left["key"] == right["key"]) & (F.col("p_component") != F.col("i_component")) & may_link("p_", "i_", FINE))
             take(met.select(F.least("p_node", "i_node").alias("a"), F.greatest("p_node", "i_node").alias("b")).distinct())
     rest = materialise(_uncovered(members, nodes))
     if not rest.isEmpty():

@@ -150,3 +150,38 @@ def test_links_equal_brute_force(spark, odd_docs, no_docs):
     counts = sorted(sum(linked(x, y) for y in odd) - bool(x) for x in odd)
     assert sorted(r["n_links"] for r in jaccard.count_links(odd_docs).collect()) == counts
     assert jaccard.count_links(no_docs).collect() == [] and jaccard.link_pairs(no_docs).collect() == []
+
+
+def candidates_of(spark, monkeypatch, texts):
+    """Pairs that link_components verifies."""
+    seen = []
+    links = jaccard._Verifier.links
+
+    def counted(self, pairs):
+        pairs = jaccard.materialise(pairs)
+        seen.append(pairs.count())
+        return links(self, pairs)
+
+    with monkeypatch.context() as m:
+        m.setattr(jaccard._Verifier, "links", counted)
+        rows = [(i, t) for i, t in enumerate(texts)]
+        assert got(jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
+    return sum(seen)
+
+
+def test_candidates_follow_the_size_of_hot_groups(spark, monkeypatch):
+    """A group of near copies at all distances around the limit, and holders of a long common passage."""
+    rnd = random.Random(8)
+    base, passage = [f"w{i}" for i in range(150)], [f"p{i}" for i in range(120)]
+
+    def group(n):
+        near = [" ".join(f"x{i}_{k}" if k in edits else w for k, w in enumerate(base)) for i in range(n) for edits in [set(rnd.sample(range(150), rnd.randint(1, 7)))]]
+        return near + [" ".join(passage + [f"h{i}_{k}" for k in range(rnd.randint(30, 60))]) for i in range(n)]
+
+    few, many = candidates_of(spark, monkeypatch, group(60)), candidates_of(spark, monkeypatch, group(240))
+    assert many <= 6 * few + 200 and many < 240 * 12
+
+
+def test_rows_without_ids_meet_their_own_texts_only(spark):
+    rows = [(None, t) for t in noisy_texts(6, 60)] + [(7, t) for t in noisy_texts(7, 60)]
+    assert got(jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
