@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -11,32 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.sources.scratch import written as materialise
+
 #: ASCII white space, the only separators of words in every contract here.
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomline-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table into the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor costs no recomputation of what came
-    before; a later join also sees no partitioning and lets Spark split skew.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running_total(df: DataFrame, order: Sequence[str], value: str, name: str, group: Sequence[str] = ()) -> DataFrame:
     """Adds `name`: the sum of `value` over all rows before this one, within `group`, in `order`.
 
