@@ -70,7 +70,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """One row per document, host and normalised line with a word: its hash and the words in all its occurrences."""
+    """One row per document, host and normalised line with a word: its hash and the words in all its occurrences, over all rows of the document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     exploded = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_key"), F.explode(F.split(text, "\n")).alias("_line"))
     exploded = exploded.withColumn("line", F.trim(F.lower(F.regexp_replace("_line", f"[{SPACES}]+", " ")))).filter("line <> ''")
@@ -78,6 +78,13 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return hashed.groupBy("doc_id", "host", "text_key", "line_key").agg(F.sum("w").alias("line_words"))
 
 
+def repeated_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, host, text_key and number of rows of the rows that occur more than once."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    same = docs.groupBy("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_key")).agg(F.count("*").alias("rows"))
+    return same.filter("rows > 1")
+
+
 def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
     """host, line_key of the lines in more than max_documents distinct documents of the host."""
     once = lines.select("host", "line_key", "text_key").distinct()
@@ -91,6 +98,12 @@ def quality_by_lines(docs: DataFrame, max_documents: int = 20, min_kept: float =
     frequent = materialise(frequent_lines(lines, max_documents).select(F.col("host").alias("f_host"), F.col("line_key").alias("f_key")))
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line_key") == F.col("f_key")))
     lost = hit.groupBy(F.col("doc_id").alias("l_doc"), F.col("text_key").alias("l_text"), F.col("host").alias("l_host")).agg(F.sum("line_words").alias("removed"))
+    # lines of repeated rows (equal id, host and text) are summed together: each row has its share of them
+    again = materialise(repeated_rows(docs))
+    if not again.isEmpty():
+        each = again.select(*[F.col(c).alias("a_" + c) for c in ("doc_id", "host", "text_key", "rows")])
+        one = F.col("l_doc").eqNullSafe(F.col("a_doc_id")) & F.col("l_host").eqNullSafe(F.col("a_host")) & (F.col("l_text") == F.col("a_text_key"))
+        lost = lost.join(each, one, "left").select("l_doc", "l_text", "l_host", (F.col("removed") / F.coalesce("a_rows", F.lit(1))).cast("long").alias("removed"))
     same = F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("text_key") == F.col("l_text")) & F.col("host").eqNullSafe(F.col("l_host"))
     joined = base_rules(docs).join(lost, same, "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
     left = (F.col("n_words") - F.col("removed_words")) >= F.lit(min_kept) * F.col("n_words")
