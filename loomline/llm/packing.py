@@ -16,7 +16,7 @@ of op7's links); where it is null, or none is named, texts of equal lower-cased
 words are one cluster.
 
 Defined results: null or empty text is a piece of length 0 that is packed like
-any other; a null source conflicts with nothing; repeated rows are packed once
+any other; a null id is kept, a null source conflicts with nothing; repeated rows are packed once
 each, in different bins as they share a cluster; an empty table gives an empty
 table. Extra columns are not carried.
 """
@@ -25,7 +25,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +80,15 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_size: int =
     groups = max(1, -(-cut.count() // group_size))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source"), F.lit(groups)))
 
-    def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["length", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
-        sources = [None if pd.isna(x) else x for x in items["source"]]
-        bins, starts = best_fit(items["length"].tolist(), sources, items["cluster"].tolist(), capacity)
-        filled = pd.Series(items["length"].to_numpy()).groupby(bins).transform("sum").to_numpy()
-        return pd.DataFrame(
-            {"doc_id": items["doc_id"].to_numpy(), "piece": items["piece"].to_numpy(), "length": items["length"].to_numpy(), "source": items["source"].to_numpy(), "cluster": items["cluster"].to_numpy(), "bin": [(int(key[0]) << 32) + b for b in bins], "start": starts, "residual": capacity - filled}
-        )
-
-    return dealt.groupBy("group").applyInPandas(pack, "doc_id long, piece int, length int, source string, cluster long, bin long, start int, residual int")
+    def pack(items: pa.Table) -> pa.Table:
+        group = items.column("group")[0].as_py()
+        items = items.select(["doc_id", "piece", "length", "source", "cluster"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
+        lengths, sources, clusters = (items.column(c).to_pylist() for c in ("length", "source", "cluster"))
+        bins, starts = best_fit(lengths, sources, clusters, capacity)
+        filled = np.bincount(bins, lengths).astype(np.int64)[bins]
+        for name, values, kind in (("bin", [(group << 32) + b for b in bins], pa.int64()), ("start", starts, pa.int32()), ("residual", capacity - filled, pa.int32())):
+            items = items.append_column(name, pa.array(values, kind))
+        return items
+
+    # Arrow columns, as pandas would turn the ids of a group with a null id into doubles
+    return dealt.groupBy("group").applyInArrow(pack, "doc_id long, piece int, length int, source string, cluster long, bin long, start int, residual int")
