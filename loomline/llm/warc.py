@@ -9,7 +9,8 @@ that hold the payload. A revisit resolves if its validators agree (ETags where
 both have one, else Last-Modified), and its headers then override the stored
 ones where a not-modified response may do so.
 
-Defined results: a record without a URL or time is `unaddressed`; a revisit with
+Defined results: a record without a URL or a time that can be read is
+`unaddressed`, and such a response resolves nothing; a revisit with
 no full response before it is `no-earlier-response`; one without any common
 validator is `no-validator`; records of equal time are ordered by id; repeated
 rows repeat; an empty table gives an empty table. Extra columns are not carried.
@@ -98,7 +99,7 @@ def parse_records(raw: DataFrame, column: str = "raw") -> DataFrame:
 
 def last_full_response(records: DataFrame) -> DataFrame:
     """records with `key` (canonical URL) and `source`: the latest full response before each record, or null."""
-    full = (F.col("kind") == "response") & (F.col("http_status") == 200)
+    full = (F.col("kind") == "response") & (F.col("http_status") == 200) & F.col("captured_at").isNotNull() & F.col("url").isNotNull()
     records = records.select(*[field.split()[0] for field in RECORD.split(", ")])
     keyed = records.withColumn("key", F.coalesce(canonical_url(F.col("url")), F.lit("")))
     own = F.when(full, F.struct("key", "record_id", "captured_at", "etag", "last_modified", "digest", "headers"))
