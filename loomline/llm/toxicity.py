@@ -131,7 +131,7 @@ def _sample(docs: DataFrame, confirmed: DataFrame, learn: Column, max_positive:
     """kind (1 confirmed, 0 unlabelled) and text of the texts to fit; equal texts of a kind once."""
     by_hash = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = by_hash(confirmed.select("doc_id").distinct(), max_positive).withColumn("kind", F.lit(1))
-    ids = ids.unionByName(by_hash(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id"), max_unlabelled).withColumn("kind", F.lit(0)))
+    ids = ids.unionByName(by_hash(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct(), max_unlabelled).withColumn("kind", F.lit(0)))
     # ids has at most max_positive + max_unlabelled rows
     return materialise(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", "text").dropDuplicates())
 
