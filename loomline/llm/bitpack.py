@@ -41,6 +41,13 @@ SEGMENT_IDS = 1 << 20
 CACHE_WORDS = 1_000_000
 
 
+def vocabulary_size(tokenizer_path: str) -> int:
+    """One more than the largest id of a tokenizer file, added tokens included."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+
+
 def bits_for(vocabulary: int) -> int:
     """Bits of the largest id of a vocabulary of that size; at least 1."""
     return max(1, int(vocabulary - 1).bit_length())
@@ -256,6 +263,21 @@ def read_packed(segments: DataFrame) -> DataFrame:
     return joined.select("doc_id", (F.col("segment_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "part", "segment")
 
 
+def read_documents(segments: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (uint32) of some documents: the segments that hold none of them are left out, and of the others only those documents' blocks are unpacked."""
+    wanted = sorted(set(doc_ids))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                s = Segment(raw)
+                found = [k for k, key in enumerate(keys) if key in set(wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.int64()), pa.array([s.document(k).tobytes() for k in found], pa.binary())], names=["doc_id", "ids"])
+
+    holding = segments.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(i)).cast("long") for i in wanted])))
+    return holding.select("doc_ids", "packed").mapInArrow(read, "doc_id long, ids binary")
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = 1) -> DataFrame:
     """Encode, write packed, read back."""
     return read_packed(write_packed(docs, tokenizer_path, vocabulary, end_id))

@@ -66,3 +66,16 @@ def test_word_paths_equal_the_whole_tokenizer():
     e = bitpack.WordEncoder(PATH)
     for text in [*words, " ".join(words), "  ".join(reversed(words))]:
         assert np.frombuffer(e.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_documents_are_read_from_storage_by_id(spark, odd_docs):
+    assert bitpack.vocabulary_size(PATH) == 49408
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stored = bitpack.write_packed(docs, PATH, bitpack.vocabulary_size(PATH), 1)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    some = sorted(texts)[3:60:7]
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bitpack.read_documents(stored, [*some, -5]).collect()}
+    assert got == {k: [*t.encode(texts[k] or "", add_special_tokens=False).ids, 1] for k in some}
+    assert bitpack.read_documents(bitpack.write_packed(odd_docs, PATH, 49408, 1), [5]).count() == 2
