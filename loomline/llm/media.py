@@ -7,7 +7,7 @@ stored as 8-bit grey samples in binary PGM, 64 samples a row, and read back.
 The join moves digests and features only; payloads are never shuffled.
 
 Defined results: null text is an empty payload of 64 zero bytes; null or empty
-HTML gives an empty sequence; an unknown digest keeps its place with a null
+HTML gives an empty sequence, and malformed HTML what can be read of it; an unknown digest keeps its place with a null
 payload; repeated rows and equal payloads get equal values; an empty table gives
 an empty table. Extra columns are not carried.
 """
@@ -30,6 +30,7 @@ from loomline.llm.common import materialise
 WIDTH = 64
 MEDIA_TAGS = {"img", "video", "audio", "source"}
 VOID_TAGS = {"script", "style"}
+BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "tr", "article", "table", "section"}
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 
 
@@ -59,7 +60,11 @@ def features(samples: np.ndarray) -> str:
 
 
 class _Interleaver(HTMLParser):
-    """Text runs and media references in document order; a figcaption belongs to its figure's media."""
+    """Text runs and media references in document order; a figcaption belongs to all media of its figure, before and after it.
+
+    A caption ends at its end tag, at the end of its figure, at another figure or
+    caption, at a block that begins after some of its text, or with the document.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -67,6 +72,7 @@ class _Interleaver(HTMLParser):
         self.text: list[str] = []
         self.caption: list[str] | None = None
         self.figure: list[dict] | None = None
+        self.words: str | None = None
         self.hidden = 0
 
     def flush(self) -> None:
@@ -75,34 +81,55 @@ class _Interleaver(HTMLParser):
         if run:
             self.items.append({"position": len(self.items), "kind": "text", "text": run, "digest": None, "caption": None})
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section of unknown kind is passed over, as browsers do."""
+        return self.parse_bogus_comment(i)
+
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            self.words = " ".join("".join(self.caption).split()) or self.words
+            self.caption = None
+            for item in self.figure or []:
+                item["caption"] = self.words or item["caption"]
+
+    def begin_figure(self, figure: list[dict] | None) -> None:
+        self.end_caption()
+        self.flush()
+        self.figure, self.words = figure, None
+
+    def close(self) -> None:
+        super().close()
+        self.end_caption()
+        self.flush()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         named = dict(attrs)
+        if tag in BLOCKS and self.caption is not None and "".join(self.caption).strip():
+            self.end_caption()
         if tag in VOID_TAGS:
             self.hidden += 1
         elif tag == "figure":
-            self.figure = []
+            self.begin_figure([])
         elif tag == "figcaption" and self.figure is not None:
+            self.end_caption()
             self.caption = []
         elif tag in MEDIA_TAGS and named.get("src"):
             self.flush()
             source = named["src"]
-            item = {"position": len(self.items), "kind": "media", "text": None, "digest": source.removeprefix("sha256:"), "caption": named.get("alt")}
+            item = {"position": len(self.items), "kind": "media", "text": None, "digest": source.removeprefix("sha256:"), "caption": self.words or named.get("alt")}
             self.items.append(item)
             if self.figure is not None:
                 self.figure.append(item)
-        elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "tr"):
+        elif tag in BLOCKS or tag == "br":
             self.text.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID_TAGS:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            found = " ".join("".join(self.caption).split())
-            for item in self.figure or []:
-                item["caption"] = found or item["caption"]
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
-            self.figure = None
+            self.begin_figure(None)
         elif tag in ("p", "div", "article"):
             self.flush()
 
@@ -116,7 +143,6 @@ def interleave(html: str | None) -> list[dict]:
     parser = _Interleaver()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
     return parser.items
 
 
@@ -193,3 +219,17 @@ def document_media(docs: DataFrame) -> DataFrame:
     return out.select(
         F.col("page_key").alias("doc_id"), F.regexp_extract("caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
     )
+
+
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """What the html of every page holds: page_id, n_text and n_media items, words of its text and a digest of the whole sequence.
+
+    The digest is the SHA-256 of the items in order, as lines of kind, text or
+    media name, and caption. A null page is an empty sequence.
+    """
+    of = lambda kind: F.filter("sequence", lambda x: x["kind"] == kind)
+    lines = F.transform("sequence", lambda x: F.concat_ws("|", x["kind"], F.coalesce(x["text"], x["digest"], F.lit("")), F.coalesce(x["caption"], F.lit(""))))
+    words = F.aggregate(of("text"), F.lit(0).cast("long"), lambda n, x: n + F.size(F.split(x["text"], " ")))
+    return parse_pages(pages, "page_id", "html").select(
+        F.col("page_key").alias("page_id"), F.size(of("text")).cast("long").alias("n_text"), F.size(of("media")).cast("long").alias("n_media"), words.alias("n_words"), F.sha2(F.array_join(lines, "\n"), 256).alias("sequence_sha256")
+    )

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomline.llm import bitpack, bpe, jaccard, langid, line_frequency, media, packing, sharding, toxicity, warc
 from loomline.llm.common import documents
 
-#: Sizes and end marks of the public vocabularies used here.
-WORD_VOCABULARY = 49_408
+#: The end mark of the word vocabulary.
 WORD_END_ID = 1
 
 
@@ -41,6 +40,10 @@ def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
 
+def op6_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_sequences(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(documents(spark, sf_dir))
 
@@ -50,7 +53,8 @@ def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitpack.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), WORD_VOCABULARY, WORD_END_ID)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bitpack.pack_documents(documents(spark, sf_dir), path, bitpack.vocabulary_size(path), WORD_END_ID)
 
 
 def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_frequency": op4_line_frequency,
     "op5_revisit_resolution": op5_revisit_resolution,
     "op6_interleaved_media": op6_interleaved_media,
+    "op6_page_sequences": op6_page_sequences,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op7_ngram_jaccard_links": op7_ngram_jaccard_links,
     "op8_bit_packed_ids": op8_bit_packed_ids,

@@ -1,11 +1,14 @@
 """Sharding, line frequency, WARC, media, packing, toxicity and language ID on small inputs."""
 
 import hashlib
+import math
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from loomline.llm import jaccard, langid, line_frequency, media, packing, queries, sharding, toxicity, warc
 
@@ -67,6 +70,26 @@ def test_sharding_edge_rows(odd_docs, no_docs):
         sharding.Topology({"a": {"b": {0: 0.0}}})
 
 
+def test_descent_equals_brute_force(spark):
+    tree = sharding.Topology({"a": {"a0": {0: 1.0, 1: 3.0}, "a1": {2: 0.5}}, "b": {"b0": {3: 2.0}}})
+
+    def draw(node, key, weight):
+        seed = xxhash.xxh64_intdigest(node.encode(), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), seed) if key is not None else seed
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    def shard(key):
+        total = lambda racks: sum(sum(x.values()) for x in racks.values())
+        region = min(tree.regions, key=lambda r: draw(r, key, total(tree.regions[r])))
+        racks = tree.regions[region]
+        rack = min(racks, key=lambda k: draw(k, key, sum(racks[k].values())))
+        return min(racks[rack], key=lambda x: draw(str(x), key, racks[rack][x]))
+
+    keys = [None, -1, 0, *range(1, 2000, 3), 2**60 + 1]
+    rows = sharding.place(spark.createDataFrame([(k,) for k in keys], "doc_id long"), "doc_id", tree, "shard").collect()
+    assert {r["doc_id"]: r["shard"] for r in rows} == {k: shard(k) for k in keys}
+
+
 # line frequency
 
 
@@ -89,6 +112,20 @@ def test_frequent_lines_are_removed_by_host(spark):
     assert rows[0]["kept"] and rows[12]["kept"] and not rows[11]["kept"]
 
 
+@pytest.mark.parametrize("name", ["op4_line_frequency"])
+def test_oracle_with_repeated_rows(spark, name):
+    """Copies of a row that share id, host and text get what the row gets alone."""
+    text = "shared line of the host\none two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, text + "\nShared line of the host", "h")] * 3 + [(1, text, "h")] * 4 + [(2, text, "h"), (3, text, None), (3, text, None), (None, text, "h"), (None, text, "h")] + [(10 + i, f"shared line of the host\nown{i} " + "w " * 12, "h") for i in range(25)] + [(4, None, "h")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    show = lambda found: sorted(found, key=str)
+    got = [tuple(r) for r in line_frequency.quality_by_lines(df).collect()]
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    assert show(got) == show(con.execute(line_frequency.ORACLE).fetchall())
+    assert {(r[8], r[7]) for r in got if r[0] in (1, 2)} == {(5, True)} and {r[8] for r in got if r[0] == 5} == {10} and len(got) == len(rows)
+
+
 # WARC
 
 
@@ -120,6 +157,14 @@ def test_revisits_find_the_latest_earlier_response(spark):
     assert warc.resolve_revisits(warc.parse_records(df.limit(0))).collect() == []
 
 
+def test_responses_without_a_time_or_url_resolve_nothing(spark):
+    ok, again = "HTTP/1.1 200 OK\r\nETag: 1\r\n\r\nbody", "HTTP/1.1 304 Not Modified\r\nETag: 1\r\n\r\n"
+    rows = [raw("response", "a", "http://h/x", "never", ok), raw("revisit", "b", "http://h/x", "2024-01-03T00:00:00Z", again), b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: c\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n\r\n" + ok.encode()]
+    rows.append(b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: d\r\nWARC-Date: 2024-01-04T00:00:00Z\r\n\r\n" + again.encode())
+    got = warc.resolve_revisits(warc.parse_records(spark.createDataFrame([(r,) for r in rows], "raw binary"))).collect()
+    assert {r["record_id"]: r["status"] for r in got} == {"b": "no-earlier-response", "d": "unaddressed"}
+
+
 def test_hot_url_over_many_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -163,6 +208,30 @@ def test_pages_interleave_text_and_media():
     assert media.interleave(None) == [] == media.interleave("")
 
 
+def test_malformed_html():
+    shown = lambda html: [(i["kind"], i["text"] or i["digest"], i["caption"]) for i in media.interleave(html)]
+    for odd in ("<![foo[x]]>", "<![ ", "<!", "</", "<img src=", "<![CDATA[x", "&#xZZ;", "<figcaption>", "</figure></figcaption>"):
+        media.interleave(odd)
+        assert ("text", "after", None) in shown(f"{odd}>\"'><p></p>after") or "after" in str(shown(f"{odd}>\"'><p></p>after"))
+    assert shown('<figure><figcaption>Cap</figcaption><img src="a"><img src="b" alt="x"></figure>z') == [("media", "a", "Cap"), ("media", "b", "Cap"), ("text", "z", None)]
+    assert shown('<figure><img src="a"><figcaption>Cap</figure>tail') == [("media", "a", "Cap"), ("text", "tail", None)]
+    assert shown('<figure><img src="a"><figcaption>Cap <p>tail</p>more') == [("media", "a", "Cap"), ("text", "tail", None), ("text", "more", None)]
+    assert shown('<figure><img src="a"><figcaption><p>Cap</p></figcaption></figure>t') == [("media", "a", "Cap"), ("text", "t", None)]
+
+
+def test_page_sequences_equal_the_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = {r["page_id"]: r for r in queries.op6_page_sequences(spark, SF).collect()}
+    for p in pages.collect():
+        items = media.interleave(p["html"])
+        words = sum(len(i["text"].split(" ")) for i in items if i["kind"] == "text")
+        lines = "\n".join("|".join((i["kind"], i["text"] or i["digest"] or "", i["caption"] or "")) for i in items)
+        r = rows[p["page_id"]]
+        assert (r["n_text"] + r["n_media"], r["n_words"], r["sequence_sha256"]) == (len(items), words, hashlib.sha256(lines.encode()).hexdigest())
+    odd = spark.createDataFrame([(None, "<p>x"), (1, None), (2, ""), (2, "")], "page_id long, html string")
+    assert sorted((r["n_text"], r["n_words"]) for r in media.page_sequences(odd).collect()) == [(0, 0)] * 3 + [(1, 1)]
+
+
 def test_unknown_digests_keep_their_place(spark):
     pages = spark.createDataFrame([(1, '<img src="x"><p>a</p><img src="y">'), (2, None)], "id long, html string")
     store = spark.createDataFrame([("y", "Y")], "digest string, body string")
@@ -217,6 +286,12 @@ def test_packing_places_everything_without_conflict(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs).collect() == []
 
 
+def test_ids_beside_a_null_id_stay_whole(spark):
+    rows = [(2**60 + 1, "a b", "s"), (None, "c d", "t"), (2**60 + 3, "e", None)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in packed} == {r[0] for r in rows} and {r["bin"] for r in packed} == {0}
+
+
 def test_near_copies_share_no_bin(spark, odd_docs, no_docs, tmp_path):
     words = [f"w{i}" for i in range(60)]
     near = [(k, " ".join(words[:k] + ["other"] + words[k + 1 :]), f"s{k}") for k in range(30)]
