@@ -7,8 +7,51 @@ from pyspark.sql import functions as F
 
 from loomline.operators.insights import with_episodes
 from loomline.operators.scope import EVERYTHING, Scope, trailing
+from loomline.sources.scratch import written
 
-MAX_LEVEL = 1000
+#: Levels that are walked one by one, before pointers are doubled; results don't depend on it.
+NEAR_LEVELS = 12
+
+
+def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """id of starts and of all that their walks along edges (id, parent) pass.
+
+    Most walks are short: their levels are walked one by one, over the rows
+    reached last. What lies deeper is reached along pointers that double, so that
+    a walk of any depth takes as many rounds as its depth has binary digits.
+    """
+    reach = frontier = written(starts.select("id").distinct())
+    for _ in range(NEAR_LEVELS):
+        onward = edges.join(frontier, "id").select(F.col("parent").alias("id")).distinct()
+        frontier = written(onward.join(reach, "id", "left_anti"))
+        if frontier.isEmpty():
+            return reach
+        reach = reach.unionByName(frontier)
+    jump, deep = edges, frontier
+    steps, n = 1, edges.count()
+    while steps <= n and not jump.isEmpty():
+        deep = written(deep.unionByName(jump.join(deep, "id").select(F.col("parent").alias("id"))).distinct())
+        jump = written(jump.join(jump.select(F.col("id").alias("parent"), F.col("parent").alias("far")), "parent").select("id", F.col("far").alias("parent")))
+        steps *= 2
+    return written(reach.unionByName(deep).distinct())
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """id and root_id of every id and every parent in edges (id, parent): where its walk ends; walks that meet themselves are left out.
+
+    Each round doubles the pointers that haven't ended. The nodes in a distance of
+    up to 2^k from their end are known after k rounds, and each longer walk passes
+    nodes of up to twice that distance; so a round that finds no further end
+    leaves only walks that go round in a circle.
+    """
+    ends = written(edges.select(F.col("parent").alias("id")).distinct().join(edges.select("id"), "id", "left_anti").select("id", F.col("id").alias("root_id")))
+    moving = edges
+    while True:
+        at_end = written(moving.join(ends.select(F.col("id").alias("parent"), "root_id"), "parent").select("id", "root_id"))
+        if at_end.isEmpty():
+            return ends
+        ends = ends.unionByName(at_end)
+        moving = written(moving.join(moving.select(F.col("id").alias("parent"), F.col("parent").alias("far")), "parent").select("id", F.col("far").alias("parent")))
 
 
 def chain_members(insights: DataFrame, episodes: DataFrame, as_of: str, days: int, scope: Scope = EVERYTHING) -> DataFrame:
@@ -16,28 +59,17 @@ def chain_members(insights: DataFrame, episodes: DataFrame, as_of: str, days: in
 
     Walks start at the insights of the window and scope, and follow parents
     wherever they lie. A walk that meets itself is dropped whole. A missing
-    parent is the root of those that name it, without being a member.
+    parent is the root of those that name it, without being a member. Depth has
+    no limit. Only the insights that walks pass are followed to their roots.
     """
-    spark = insights.sparkSession
     placed = with_episodes(insights, episodes)
-    starts = placed.filter(trailing(as_of, days) & scope.condition()).select("id")
-    edges = insights.select("id", F.col("recurrence_of").alias("parent"))
-    walks = spark.sql(
-        f"""
-        WITH RECURSIVE walk (start, cur, path, looped) MAX RECURSION LEVEL {MAX_LEVEL} AS (
-          SELECT id, id, array(id), false FROM {{starts}}
-          UNION ALL
-          SELECT w.start, e.parent, array_append(w.path, e.parent), array_contains(w.path, e.parent)
-          FROM walk w JOIN {{edges}} e ON e.id = w.cur WHERE e.parent IS NOT NULL AND NOT w.looped
-        ) SELECT * FROM walk LIMIT ALL""",
-        starts=starts,
-        edges=edges,
-    )
-    full = walks.groupBy("start").agg(F.max_by(F.struct("cur", "path"), F.size("path")).alias("w"), F.bool_or("looped").alias("looped")).filter("NOT looped")
-    members = full.select(F.col("w.cur").alias("root_id"), F.explode("w.path").alias("id")).distinct()
-    found = members.join(placed.select("id", "text", "date", "created_at"), "id")
-    sized = found.groupBy("root_id").agg(F.count("*").alias("chain_length")).filter("chain_length > 1")
-    return found.join(sized, "root_id").select("root_id", "id", "text", "date", "created_at", "chain_length")
+    edges = written(insights.filter("recurrence_of IS NOT NULL").select("id", F.col("recurrence_of").alias("parent")))
+    walked = ancestors(edges, placed.filter(trailing(as_of, days) & scope.condition()))
+    # an insight without a parent that is nobody's parent is a chain of one, which is no chain
+    found = roots(written(edges.join(walked, "id", "left_semi")))
+    members = written(placed.join(found, "id").select("root_id", "id", "text", "date", "created_at"))
+    sized = members.groupBy("root_id").agg(F.count("*").alias("chain_length")).filter("chain_length > 1")
+    return members.join(sized, "root_id").select("root_id", "id", "text", "date", "created_at", "chain_length")
 
 
 def recurrence_chains(insights: DataFrame, episodes: DataFrame, as_of: str, days: int, scope: Scope = EVERYTHING) -> DataFrame:
