@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.columns import ratio_or_null, theme
 from loomline.operators.insights import with_episodes
 from loomline.operators.scope import EVERYTHING, Days, Scope, trailing
+from loomline.sources.scratch import written
 
 FLAGGED = 5
 EXAMPLES = 3
@@ -20,13 +21,7 @@ def _unnecessary() -> Column:
 
 
 def _breakdown(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, ratio and longest burst by keys.
-
-    A burst is an island of unnecessary directives. Islands are numbered by the
-    turns that break them, over all rows of a key in order. Without keys (the
-    whole scope as one sequence) islands come from `burst_islands`, which needs
-    no single task.
-    """
+    """Counts, ratio and longest burst by keys, or of all rows."""
     c = F.col("classification")
     counted = rows.groupBy(*keys).agg(
         F.count_if(_unnecessary()).alias("directive_unnecessary"),
@@ -35,13 +30,8 @@ def _breakdown(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(c == "corrective").alias("corrective"),
         F.count_if(c == "acknowledgment").alias("acknowledgment"),
     )
-    if keys:
-        over = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-        islands = rows.withColumn("_u", _unnecessary()).withColumn("_island", F.sum(F.when(F.col("_u"), 0).otherwise(1)).over(over))
-        bursts = islands.filter("_u").groupBy(*keys, "_island").count().groupBy(*keys).agg(F.max("count").alias("longest_directive_burst"))
-        joined = counted.join(bursts, keys, "left")
-    else:
-        joined = counted.withColumn("_row", F.lit(1)).join(longest_burst(rows).withColumn("_row", F.lit(1)), "_row")
+    bursts = longest_burst(rows, keys)
+    joined = counted.join(bursts, keys, "left") if keys else counted.withColumn("_row", F.lit(1)).join(bursts.withColumn("_row", F.lit(1)), "_row")
     good = F.col("deliberative") + F.col("corrective")
     directive = F.col("directive_unnecessary") + F.col("directive_necessary_count")
     return joined.select(
@@ -55,27 +45,29 @@ def _breakdown(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def longest_burst(rows: DataFrame) -> DataFrame:
-    """W2 over one global order, without one global task: one row, longest_directive_burst.
+def longest_burst(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Keys and longest_directive_burst, the most unnecessary directives in a row, by keys or over one global order.
 
-    The sequence is cut by ranges of its first sort key, start_line. Each range
-    gives its length and its leading, trailing and longest run; these few rows
-    are then joined end to end.
+    Rows are dealt by ranges of the full order, so that neither the whole scope nor
+    a day that holds most rows meets in one task. Each range gives, for each key in
+    it, its length and its leading, trailing and longest run; these few rows are
+    then joined end to end.
     """
-    width = 1 << 16
-    cut = rows.withColumn("_b", F.floor(F.col("start_line") / width)).withColumn("_u", _unnecessary())
-    at = Window.partitionBy("_b").orderBy(*ORDER)
-    numbered = cut.withColumn("_n", F.row_number().over(at)).withColumn("_island", F.sum(F.when(F.col("_u"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.filter("_u").groupBy("_b", "_island").agg(F.count("*").alias("n"), F.min("_n").alias("first"), F.max("_n").alias("last"))
-    sizes = numbered.groupBy("_b").agg(F.count("*").alias("size"))
-    edges = sizes.join(runs, "_b", "left").groupBy("_b").agg(
-        F.first("size").alias("size"),
+    keys = keys or []
+    ranged = written(rows.select(*keys, *[c for c in ORDER if c not in keys], _unnecessary().alias("_u")).repartitionByRange(*keys, *ORDER).withColumn("_b", F.spark_partition_id()))
+    at = Window.partitionBy("_b", *keys).orderBy(*ORDER)
+    numbered = ranged.withColumn("_n", F.row_number().over(at)).withColumn("_island", F.sum(F.when(F.col("_u"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("_b", *keys, "_island").agg(F.count_if("_u").alias("n"), F.count("*").alias("rows"), F.min(F.when(F.col("_u"), F.col("_n"))).alias("first"), F.max(F.when(F.col("_u"), F.col("_n"))).alias("last"))
+    size = F.sum("rows")
+    edges = runs.groupBy("_b", *keys).agg(
+        size.alias("size"),
         F.coalesce(F.max(F.when(F.col("first") == 1, F.col("n"))), F.lit(0)).alias("lead"),
-        F.coalesce(F.max(F.when(F.col("last") == F.col("size"), F.col("n"))), F.lit(0)).alias("trail"),
+        F.max_by(F.struct("last", "n"), F.col("last")).alias("_last"),
         F.coalesce(F.max("n"), F.lit(0)).alias("most"),
     )
-    # one row per range of 65,536 start lines: a sequence of bucket summaries
-    listed = edges.agg(F.array_sort(F.collect_list(F.struct("_b", "size", "lead", "trail", "most"))).alias("s"))
+    edges = edges.withColumn("trail", F.coalesce(F.when(F.col("_last.last") == F.col("size"), F.col("_last.n")), F.lit(0))).drop("_last")
+    # at most as many rows as there are ranges, and one more for each key
+    listed = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "size", "lead", "trail", "most"))).alias("s"))
     start = F.struct(F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("best"))
 
     def join(acc: Column, x: Column) -> Column:
@@ -83,7 +75,7 @@ def longest_burst(rows: DataFrame) -> DataFrame:
         opened = F.when(x["lead"] == x["size"], whole).otherwise(x["trail"])
         return F.struct(opened.alias("open"), F.greatest(acc["best"], x["most"], whole).alias("best"))
 
-    return listed.select(F.aggregate("s", start, join)["best"].alias("longest_directive_burst"))
+    return listed.select(*keys, F.aggregate("s", start, join)["best"].alias("longest_directive_burst"))
 
 
 def engagement_breakdown(turns: DataFrame, episodes: DataFrame, days: Days, scope: Scope = EVERYTHING) -> DataFrame:
@@ -109,10 +101,34 @@ def flagged_by_date(turns: DataFrame, episodes: DataFrame, as_of: str, days: int
     return rows.withColumn("place", place).filter(F.col("place") <= limit).orderBy("date", "place")
 
 
+def _flags() -> Column:
+    """An array of flagged rows, latest first, from rows with their `place`."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("place", "human_line_number", "reason", "created_at"))), lambda x: F.struct(x["human_line_number"].alias("human_line_number"), x["reason"].alias("reason"), x["created_at"].alias("created_at"))).alias("flagged_directives")
+
+
+def breakdown_with_flags(turns: DataFrame, episodes: DataFrame, days: Days, scope: Scope = EVERYTHING) -> DataFrame:
+    """G13 whole: the breakdown and its last flagged directives (W3), at most FLAGGED, as an array."""
+    last = flagged_directives(turns, episodes, days, scope)
+    order = F.struct(*[F.col(c) for c in ORDER])
+    listed = last.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "human_line_number", "reason", "created_at"))).alias("f"))
+    flags = F.transform(F.reverse("f"), lambda x: F.struct(x["human_line_number"].alias("human_line_number"), x["reason"].alias("reason"), x["created_at"].alias("created_at")))
+    return engagement_breakdown(turns, episodes, days, scope).join(F.broadcast(listed.select(flags.alias("flagged_directives"))))
+
+
+def trend_with_flags(turns: DataFrame, episodes: DataFrame, as_of: str, days: int, scope: Scope = EVERYTHING) -> DataFrame:
+    """G14 whole: each day's breakdown and its last flagged directives."""
+    flags = flagged_by_date(turns, episodes, as_of, days, scope).groupBy("date").agg(_flags())
+    joined = engagement_trend(turns, episodes, as_of, days, scope).join(flags, "date", "left")
+    return joined.withColumn("flagged_directives", F.coalesce("flagged_directives", F.array().cast(flags.schema["flagged_directives"].dataType))).orderBy("date")
+
+
 def directive_themes(flagged: DataFrame) -> DataFrame:
-    """Flagged directives by theme, most first, each with its first three examples."""
+    """Flagged directives by theme, most first, each with its first three examples.
+
+    Only the first rows of a theme in each task are sorted together; the counts are plain sums.
+    """
+    themed = flagged.withColumn("theme", theme(F.col("reason")))
     place = F.row_number().over(Window.partitionBy("theme").orderBy(*ORDER))
-    themed = flagged.withColumn("theme", theme(F.col("reason"))).withColumn("_place", place)
-    example = F.when(F.col("_place") <= EXAMPLES, F.struct("_place", "human_line_number", "reason"))
-    grouped = themed.groupBy("theme").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(example)).alias("examples"))
-    return grouped.orderBy(F.desc("count"), "theme")
+    first = themed.withColumn("_place", place).filter(F.col("_place") <= EXAMPLES)
+    examples = first.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("_place", "human_line_number", "reason"))).alias("examples"))
+    return themed.groupBy("theme").agg(F.count("*").alias("count")).join(examples, "theme").orderBy(F.desc("count"), "theme")
