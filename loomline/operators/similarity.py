@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.sources.scratch import written
+
 DEDUPE_AT = 0.95
 RECUR_AT = 0.90
 BLOCK = 1024
@@ -82,14 +84,13 @@ def greedy_dedupe(items: DataFrame, batch: str, threshold: float = DEDUPE_AT, po
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", place int"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = [v if v is not None and len(v) else None for v in group["embedding"]]
-        kept = leaders(group[pos].tolist(), group["significance_score"].tolist(), vectors, threshold)
-        out = group.iloc[kept].copy()
-        out["place"] = range(len(kept))
-        return out
+    def run(group: pa.Table) -> pa.Table:
+        vectors = [v or None for v in group.column("embedding").to_pylist()]
+        kept = leaders(group.column(pos).to_pylist(), group.column("significance_score").to_pylist(), vectors, threshold)
+        return group.take(kept).append_column("place", pa.array(range(len(kept)), pa.int32()))
 
-    return items.groupBy(batch).applyInPandas(run, schema)
+    # Arrow columns, as pandas would turn the ids of a batch with a null id into doubles
+    return items.groupBy(batch).applyInArrow(run, schema)
 
 
 def nearest_earlier(new: DataFrame, past: DataFrame, threshold: float = RECUR_AT, batch: str | None = None) -> DataFrame:
@@ -141,6 +142,6 @@ def apply_recurrence(items: DataFrame, past: DataFrame, batch: str, dedupe_at: f
     """
     if not enabled:
         return items.withColumn("recurrence_of", F.lit(None).cast("long"))
-    kept = greedy_dedupe(items, batch, dedupe_at)
+    kept = written(greedy_dedupe(items, batch, dedupe_at))  # read three times below
     links = nearest_earlier(kept.select(F.col("id").alias("new_id"), batch, "embedding"), past, recur_at, batch if earlier_batches else None)
     return kept.join(links.select(F.col("new_id").alias("id"), F.col("past_id").alias("recurrence_of")), "id", "left")
