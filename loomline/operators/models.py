@@ -6,7 +6,7 @@ inside the episode, batch or run they happen in.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -41,6 +41,15 @@ def bisect(model: Model, items: list[dict], fewest: int) -> list[dict]:
         return bisect(model, items[:middle], fewest) + bisect(model, items[middle:], fewest)
 
 
+def _among(x: object, known: Iterable) -> bool:
+    """Whether x is text or a number among the known ones; other kinds of answers never are."""
+    return isinstance(x, (str, int)) and not isinstance(x, bool) and x in known
+
+
+def _text(x: object) -> str | None:
+    return x if isinstance(x, str) else None
+
+
 def generate_candidates(lines: DataFrame, model: Model) -> DataFrame:
     """Candidates of each episode (episode_key, line_number, type, text); a bad item is left out, a failed episode has none."""
 
@@ -52,8 +61,8 @@ def generate_candidates(lines: DataFrame, model: Model) -> DataFrame:
             answer = answer if isinstance(answer, list) else []
         except Exception:  # noqa: BLE001  an episode that fails is passed over
             answer = []
-        good = [a for a in answer if isinstance(a, dict) and a.get("category") in CATEGORIES and isinstance(a.get("text"), str)]
-        rows = [(key, i, a["category"], a["text"], a.get("evidence_ref"), a.get("evidence_snippet")) for i, a in enumerate(good)]
+        good = [a for a in answer if isinstance(a, dict) and _among(a.get("category"), CATEGORIES) and isinstance(a.get("text"), str)]
+        rows = [(key, i, a["category"], a["text"], _text(a.get("evidence_ref")), _text(a.get("evidence_snippet"))) for i, a in enumerate(good)]
         return pd.DataFrame(rows, columns=["episode_key", "pos", "category", "text", "evidence_ref", "evidence_snippet"])
 
     return lines.select("episode_key", "line_number", "type", "text").groupBy("episode_key").applyInPandas(run, CANDIDATE)
@@ -105,12 +114,13 @@ def classify_turns(pairs: DataFrame, model: Model) -> DataFrame:
         known = {a["human_line_number"] for a in asked}
         try:
             answer = bisect(model, asked, FEWEST_PAIRS)
+            answer = answer if isinstance(answer, list) else []
         except Exception:  # noqa: BLE001  an episode that fails contributes nothing
             answer = []
         rows = [
             (key, a["human_line_number"], a["classification"], a.get("directive_necessary"), str(a.get("reason") or ""), i)
             for i, a in enumerate(answer)
-            if isinstance(a, dict) and a.get("classification") in ENGAGEMENT_CLASSES and a.get("human_line_number") in known and a.get("directive_necessary") in (True, False, None)
+            if isinstance(a, dict) and _among(a.get("classification"), ENGAGEMENT_CLASSES) and _among(a.get("human_line_number"), known) and (a.get("directive_necessary") is None or isinstance(a["directive_necessary"], bool))
         ]
         return pd.DataFrame(rows, columns=["episode_id", "human_line_number", "classification", "directive_necessary", "reason", "emit_pos"]).astype({"directive_necessary": object})
 
@@ -119,15 +129,24 @@ def classify_turns(pairs: DataFrame, model: Model) -> DataFrame:
 
 
 def derive_insights(items: DataFrame, model: Model) -> DataFrame:
-    """Derived insights of each run; one that cites an unknown id is dropped, one without ids stays. Never raises."""
+    """Derived insights of each run; one that cites an unknown id is dropped, one without ids stays. Malformed answers and items count for nothing; it never raises."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids = set(group["id"].tolist())
         try:
             answer = model(group.sort_values("created_at").to_dict("records"))
+            answer = answer if isinstance(answer, list) else []
         except Exception:  # noqa: BLE001  a run that fails has no derived insights
             answer = []
-        rows = [(group["label"].iloc[0], a["insight_type"], a["text"], list(a.get("evidence_insight_ids") or [])) for a in answer if set(a.get("evidence_insight_ids") or []) <= ids]
+
+        def cited(a: object) -> list | None:
+            """The ids that an item cites; None for an item that doesn't count."""
+            if not (isinstance(a, dict) and isinstance(a.get("insight_type"), str) and isinstance(a.get("text"), str)):
+                return None
+            found = a.get("evidence_insight_ids") or []
+            return list(found) if isinstance(found, list) and all(_among(x, ids) for x in found) else None
+
+        rows = [(group["label"].iloc[0], a["insight_type"], a["text"], cited(a)) for a in answer if cited(a) is not None]
         return pd.DataFrame(rows, columns=["label", "insight_type", "text", "evidence_insight_ids"])
 
     return items.select("label", "id", "category", "text", "created_at").groupBy("label").applyInPandas(run, DERIVED)
