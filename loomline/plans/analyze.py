@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from loomline.functions.formatting import run_label
 from loomline.operators import models, sessionize, similarity, turns
 from loomline.operators.scope import day_cutoff
 from loomline.sources.config import Config
+from loomline.sources.scratch import written
 from loomline.sources.store import Store, with_ids
 from loomline.sources.transcripts import scan_new_lines
 
@@ -50,15 +50,16 @@ def analyze(store: Store, root: str, now: datetime, config: Config = Config(), u
     use, label = use or Models(), label or run_label(now)
     stamp = now.strftime("%Y-%m-%dT%H:%M:%S.000Z")
     new, seen = scan_new_lines(store.spark, root, store.read("sessions"), stamp, force, project, session)
+    seen = written(seen)
     pieces, found = sessionize.chunk(sessionize.prepare_lines(new, config.timezone), config.idle_gap_minutes)
     last = store.read("episodes").agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    found = with_ids(found, last, *KEYS).withColumn("label", F.lit(label)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = written(with_ids(found, last, *KEYS).withColumn("label", F.lit(label)))
     dates = [r["date"] for r in found.select("date").distinct().orderBy("date").collect()]
     n_sessions, n_episodes = seen.count(), found.count()
     if dry_run:
         return Summary(n_sessions, n_episodes, 0, dates, label)
     ids = found.select(F.col("id").alias("episode_id"), *KEYS)
-    lines = turns.classify_lines(pieces).join(ids, KEYS).persist(StorageLevel.MEMORY_AND_DISK)
+    lines = written(turns.classify_lines(pieces).drop("raw").join(ids, KEYS))
     insights, vectors = _insights(store, lines, ids, use, config, now, stamp)
     engaged = models.classify_turns(turns.turn_pairs(lines, ["episode_id"]), use.classifier)
     engaged = store.next_ids("engagement_turns", engaged.withColumn("created_at", F.lit(stamp)), "episode_id", "human_line_number")
@@ -87,18 +88,18 @@ def _insights(store: Store, lines: DataFrame, ids: DataFrame, use: Models, confi
         scored = models_embedded(scored, use.embedder)
     else:
         scored = scored.withColumn("embedding", F.lit(None).cast("array<double>"))
-    placed = store.next_ids("insights", scored, "episode_id", "pos").withColumn("pos", F.col("id")).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = written(store.next_ids("insights", scored, "episode_id", "pos").withColumn("pos", F.col("id")))
     old = store.read("insights").select(F.col("id").alias("past_id"), "created_at").filter(F.col("created_at") >= day_cutoff(now, config.history_days))
     past = old.join(store.read("insight_embeddings").select(F.col("insight_id").alias("past_id"), "embedding"), "past_id")
     linked = similarity.apply_recurrence(placed, past, "batch_day", config.dedupe_threshold, config.recurrence_threshold, use.embedder is not None)
-    linked = linked.withColumn("created_at", F.lit(stamp)).withColumn("verified_by_git", F.lit(None).cast("boolean")).persist(StorageLevel.MEMORY_AND_DISK)
+    linked = written(linked.withColumn("created_at", F.lit(stamp)).withColumn("verified_by_git", F.lit(None).cast("boolean")))
     vectors = linked.filter("embedding IS NOT NULL").select(F.col("id").alias("insight_id"), F.transform("embedding", lambda x: x.cast("float")).alias("embedding"), F.lit("injected").alias("model"), "created_at")
     return linked, vectors
 
 
 def models_embedded(scored: DataFrame, embedder: Callable) -> DataFrame:
     """M7: the vectors of a run, computed once."""
-    return similarity.embed(scored, embedder).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(similarity.embed(scored, embedder))
 
 
 def derive_run(store: Store, project_dir: str, session_id: str, label: str, model: models.Model, now: datetime) -> int:
@@ -107,7 +108,8 @@ def derive_run(store: Store, project_dir: str, session_id: str, label: str, mode
 
     items = work_items(store.read("insights"), store.read("episodes"), project_dir, session_id, label)
     stamp = now.strftime("%Y-%m-%dT%H:%M:%S.000Z")
-    found = models.derive_insights(items, model).withColumns({"project_dir": F.lit(project_dir), "session_id": F.lit(session_id), "created_at": F.lit(stamp)}).persist()
+    found = models.derive_insights(items, model).withColumns({"project_dir": F.lit(project_dir), "session_id": F.lit(session_id), "created_at": F.lit(stamp)})
+    found = written(found)
     n = found.count()
     if n:
         store.append_derived(found)

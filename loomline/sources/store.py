@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.insights import relabel
 from loomline.schema import TABLES, conform, struct
+from loomline.sources.scratch import written
 
 TERMINAL = ("done", "failed")
 
@@ -107,7 +108,7 @@ def with_ids(rows: DataFrame, last: int, *order: str) -> DataFrame:
     Rows are dealt by ranges of the order; each range numbers its own and starts
     after the rows of the ranges before it, so that no task numbers all rows.
     """
-    ranged = rows.drop("id").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = written(rows.drop("id").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.columns import has_block
 from loomline.schema import NOISE_TYPES
+from loomline.sources.scratch import written
 
 FILES = "project_dir string, session_id string, path string, mtime timestamp"
 _PATH = r"([^/]+)/([^/]+)\.jsonl$"
@@ -39,16 +42,28 @@ def needs_scan(files: DataFrame, sessions: DataFrame, force: bool = False) -> Da
     return joined.filter(F.coalesce(changed, F.lit(True))).withColumn("start_line", F.coalesce("last_line", F.lit(0))).drop("last_line", "last_run_at")
 
 
-def all_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every physical line of every session file with its 1-based number, blank and malformed ones included."""
+def all_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """Every physical line of every session file, or of some of them, with its 1-based number, blank and malformed ones included.
+
+    Files are read once, by splits, into a written snapshot: what is appended
+    afterwards is in none of its uses. Rows of a split have consecutive marks in
+    file order, so a line's number is its place there and the lines of the splits
+    before, which are one row a split.
+    """
+    none = "project_dir string, session_id string, line_number int, raw_text string"
+    wanted = [f"{root}/*/*.jsonl"] if paths is None else [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in paths]
+    if not wanted:
+        return spark.createDataFrame([], none)
     try:
-        files = spark.read.format("text").option("wholetext", True).load(f"{root}/*/*.jsonl")
+        files = spark.read.text(wanted)
     except AnalysisException:
-        return spark.createDataFrame([], "project_dir string, session_id string, line_number int, raw_text string")
-    keyed = _keyed(files.select("value", F.col("_metadata.file_path").alias("path")), F.col("path"))
-    body = F.regexp_replace("value", r"(\r\n|\n|\r)\z", "")
-    exploded = keyed.filter(F.length("value") > 0).select("project_dir", "session_id", F.posexplode(F.split(body, r"\r\n|\n|\r")).alias("pos", "raw_text"))
-    return exploded.select("project_dir", "session_id", (F.col("pos") + 1).cast("int").alias("line_number"), "raw_text")
+        return spark.createDataFrame([], none)
+    marked = written(files.select(F.col("value").alias("raw_text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("mark")))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = marked.groupBy("path", "split").agg(F.min("mark").alias("first"), F.count("*").alias("n"))
+    starts = written(splits.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    numbered = marked.join(starts, ["path", "split"]).withColumn("line_number", (F.col("start") + F.col("mark") - F.col("first") + 1).cast("int"))
+    return _keyed(numbered, F.col("path")).select("project_dir", "session_id", "line_number", "raw_text")
 
 
 def parse_lines(lines: DataFrame, as_of: str) -> DataFrame:
@@ -74,6 +89,11 @@ def parse_lines(lines: DataFrame, as_of: str) -> DataFrame:
     return parsed.withColumn("ts", F.try_to_timestamp("timestamp")).withColumn("has_tool_use", (F.col("type") == "assistant") & has_block(F.col("raw"), "tool_use"))
 
 
+def unknown_types(parsed: DataFrame) -> DataFrame:
+    """S3: session, type and number of lines of a type that is neither kept nor known noise, to be warned of."""
+    return parsed.filter("status = 'unknown'").groupBy("project_dir", "session_id", "type").agg(F.count("*").alias("n_lines"))
+
+
 def max_lines(lines: DataFrame) -> DataFrame:
     """The last line number of each file, over all lines."""
     return lines.groupBy("project_dir", "session_id").agg(F.max("line_number").alias("max_line"))
@@ -82,7 +102,8 @@ def max_lines(lines: DataFrame) -> DataFrame:
 def scan_new_lines(spark: SparkSession, root: str, sessions: DataFrame, as_of: str, force: bool = False, project: str | None = None, session: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept lines after each session's cursor, per session max_line, start_line and how many lines).
 
-    A session is reported if it has new kept lines, or lies past its cursor with
+    Only changed files are read, once: lines and counts come from one snapshot, so
+    that a cursor never passes a line that was not read. A session is reported if it has new kept lines, or lies past its cursor with
     noise only, so that the cursor can follow.
     """
     wanted = F.lit(True)
@@ -90,8 +111,9 @@ def scan_new_lines(spark: SparkSession, root: str, sessions: DataFrame, as_of: s
         wanted = wanted & (F.col("project_dir") == project)
     if session is not None:
         wanted = wanted & (F.col("session_id") == session)
-    files = needs_scan(list_session_files(spark, root).filter(wanted), sessions, force).select("project_dir", "session_id", "start_line")
-    lines = all_lines(spark, root).filter(wanted).join(files, ["project_dir", "session_id"])
+    files = written(needs_scan(list_session_files(spark, root).filter(wanted), sessions, force).select("project_dir", "session_id", "path", "start_line"))
+    # the names of changed files only, which Spark lists on the driver anyhow
+    lines = all_lines(spark, root, [r["path"] for r in files.select("path").collect()]).join(files.drop("path"), ["project_dir", "session_id"])
     parsed = parse_lines(lines, as_of)
     new = parsed.filter((F.col("status") == "kept") & (F.col("line_number") > F.col("start_line")))
     counted = parsed.groupBy("project_dir", "session_id", "start_line").agg(
