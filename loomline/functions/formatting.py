@@ -37,35 +37,27 @@ def elapsed_days(first: str, last: str) -> int:
     return (date.fromisoformat(last) - date.fromisoformat(first)).days
 
 
-# Labels of the themes in functions.columns.THEMES.
-THEME_LABELS = {
-    "manual-testing": "Ran or wrote tests by hand instead of delegating",
-    "manual-code-review": "Did the code review by hand",
-    "procedural-instruction": "Gave step-by-step instructions",
-    "redundant-order": "Repeated an instruction the agent was already following",
-    "other": "Other",
-}
+#: Least ratios of the two upper grades, and the shortest run that is worth a line.
+GRADES = ((1.5, "strong"), (0.7, "even"))
+RUN_WORTH_TELLING = 3
+
+
+def engagement_grade(ratio: float | None) -> str:
+    """Clear (nothing flagged), strong, even or weak."""
+    if ratio is None:
+        return "clear"
+    return next((name for least, name in GRADES if ratio >= least), "weak")
 
 
 def engagement_summary(b: dict, top_theme: tuple[str, int] | None = None) -> list[str]:
-    """Sentences on a breakdown: its ratio, a streak from 3 turns on, the commonest theme, and what went right."""
+    """Lines on a breakdown: its grade, a run of flagged turns from 3 on, the commonest theme, and the good turns; none without turns."""
     if not b["total"]:
         return []
-    r = b["engagement_ratio"]
-    good = b["deliberative"] + b["corrective"]
-    if r is None:
-        out = ["No babysitting in this window: every human turn was deliberative, corrective or a necessary gate."]
-    elif r >= 1.5:
-        out = [f"Engaging well: {fixed(r)}x more deliberation and correction ({good} turns) than unnecessary babysitting."]
-    elif r >= 0.7:
-        out = [f"Roughly balanced: {fixed(r)}x good engagement to babysitting. There is room to delegate more."]
-    else:
-        out = [f"More babysitting than deliberating: only {fixed(r)}x good engagement to babysitting turns."]
-    if b["longest_directive_burst"] >= 3:
-        out.append(f"The longest babysitting streak was {b['longest_directive_burst']} turns in a row.")
+    ratio, run = b["engagement_ratio"], b["longest_directive_burst"]
+    lines = [f"Engagement: {engagement_grade(ratio)}" + ("" if ratio is None else f" (ratio {fixed(ratio)})") + f" over {b['total']} turns"]
+    if run >= RUN_WORTH_TELLING:
+        lines.append(f"Longest run of unneeded directives: {run}")
     if top_theme and top_theme[1]:
-        out.append(f'Most common babysitting pattern: "{THEME_LABELS[top_theme[0]]}" ({top_theme[1]} of the flagged turns).')
-    wins = [f"{n} {what}{'' if n == 1 else 's'}" for n, what in ((b["deliberative"], "genuine decision"), (b["corrective"], "real agent mistake")) if n]
-    verbs = [v for v, n in (("resolved ", b["deliberative"]), ("caught ", b["corrective"])) if n]
-    out.append("What went right: " + " and ".join(v + w for v, w in zip(verbs, wins, strict=True)) + "." if wins else "No deliberative or corrective turns in this window.")
-    return out
+        lines.append(f"Commonest theme: {top_theme[0].replace('-', ' ')}, {top_theme[1]} turns")
+    lines.append(f"Good turns: {b['deliberative']} deliberative, {b['corrective']} corrective")
+    return lines

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -17,21 +17,32 @@ TOP = 5
 CHAIN_DAYS = 30
 
 
-def _effort(e: dict) -> list[str]:
-    return ["## Effort Breakdown\n", f"{percent(e['judgment_ratio'])} judgment, {percent(e['toil_ratio'])} toil, {percent(e['overhead_ratio'])} overhead ({e['total']} insights today)", ""]
-
-
-def _engagement(b: dict, flagged: list[dict]) -> list[str]:
-    out = ["## Engagement Pattern\n"]
+# Headings and sentences of a brief.
+HEADINGS = {
+    "effort": "Effort Breakdown",
+    "engagement": "Engagement Pattern",
+    "top": "Top Insights Today",
+    "chains": "Recurring Patterns",
+    "projects": "By Project",
+}
+EFFORT = "{judgment} judgment, {toil} toil, {overhead} overhead ({total} insights today)"
+NONE_FLAGGED = "No unprompted babysitting detected today ({deliberative} deliberative, {corrective} corrective, {directive_necessary} necessary directive turns)."
+RATIO = "{ratio}x good-engagement-to-babysitting ratio — {deliberative} deliberative + {corrective} corrective turns vs. {directive_unnecessary} unnecessary directive (babysitting) turns"
+GATES = " ({directive_necessary} more directive turns were necessary gates, not counted as babysitting)"
+STREAK = "Longest babysitting streak: {longest_directive_burst} turns in a row."
+FLAGGED = "Recent babysitting turns flagged:"
+FLAG = "- (line {human_line_number}) {reason}"
+CHAIN = "- {first_text} — recurred {chain_length} times over {days} days (first seen {first_date})"
+PROJECT = "- {project_dir}: {insight_count} insights"
+VERIFIED, SEEN_ON, SEEN = " ✓ (verified)", " (recurring — also seen on {recurrence_date})", " (recurring)"
+
+
+def _engagement(b: dict, flagged: Sequence[dict]) -> list[str]:
     if b["engagement_ratio"] is None:
-        return [*out, f"No unprompted babysitting detected today ({b['deliberative']} deliberative, {b['corrective']} corrective, {b['directive_necessary']} necessary directive turns).", ""]
-    gates = f" ({b['directive_necessary']} more directive turns were necessary gates, not counted as babysitting)" if b["directive_necessary"] > 0 else ""
-    out.append(f"{fixed(b['engagement_ratio'])}x good-engagement-to-babysitting ratio — {b['deliberative']} deliberative + {b['corrective']} corrective turns vs. {b['directive_unnecessary']} unnecessary directive (babysitting) turns{gates}")
-    if b["longest_directive_burst"] > 1:
-        out.append(f"Longest babysitting streak: {b['longest_directive_burst']} turns in a row.")
-    if flagged:
-        out += ["", "Recent babysitting turns flagged:", *[f"- (line {f['human_line_number']}) {f['reason']}" for f in flagged]]
-    return [*out, ""]
+        return [NONE_FLAGGED.format(**b)]
+    lines = [RATIO.format(ratio=fixed(b["engagement_ratio"]), **b) + (GATES.format(**b) if b["directive_necessary"] > 0 else "")]
+    lines += [STREAK.format(**b)] * (b["longest_directive_burst"] > 1)
+    return lines + (["", FLAGGED, *[FLAG.format(**f) for f in flagged]] if flagged else [])
 
 
 def _item(i: dict) -> str:
@@ -39,34 +50,28 @@ def _item(i: dict) -> str:
 
 
 def _listed(i: dict) -> str:
-    line = "- " + _item(i) + (" ✓ (verified)" if i["verified_by_git"] else "")
-    if i["recurrence_of"] is not None:
-        line += f" (recurring — also seen on {i['recurrence_date']})" if i.get("recurrence_date") else " (recurring)"
-    return line
+    seen = "" if i["recurrence_of"] is None else SEEN_ON.format(**i) if i.get("recurrence_date") else SEEN
+    return "- " + _item(i) + VERIFIED * bool(i["verified_by_git"]) + seen
 
 
 def render_brief(
     day: str, items: list[dict], top: list[dict] = (), chains: list[dict] = (), rollup: list[dict] = (), effort: dict | None = None, paragraph: str | None = None, engaged: dict | None = None, flagged: list[dict] = (), title: str = "Daily Brief"
 ) -> str:
     """Sections in a fixed order, empty ones left out; projects only if there are two or more."""
-    out = [f"# {title} — {day}\n"]
-    if paragraph:
-        out += [paragraph, ""]
-    if effort and effort["total"] > 0:
-        out += _effort(effort)
-    if engaged and engaged["total"] > 0:
-        out += _engagement(engaged, list(flagged))
-    if top:
-        out += ["## Top Insights Today\n", *[f"{n}. {_item(i)}" for n, i in enumerate(top, 1)], ""]
-    if chains:
-        out += ["## Recurring Patterns\n", *[f"- {c['first_text']} — recurred {c['chain_length']} times over {elapsed_days(c['first_date'], c['last_date'])} days (first seen {c['first_date']})" for c in chains], ""]
-    if len(rollup) > 1:
-        out += ["## By Project\n", *[f"- {r['project_dir']}: {r['insight_count']} insights" for r in rollup], ""]
-    for category, heading in zip(CATEGORIES, CATEGORY_TITLES, strict=True):
-        held = [i for i in items if i["category"] == category]
-        if held:
-            out += [f"## {heading}\n", *map(_listed, held), ""]
-    return "\n".join(out)
+    share = {k: percent(effort[k + "_ratio"]) for k in ("judgment", "toil", "overhead")} if effort else {}
+    sections = {
+        HEADINGS["effort"]: [EFFORT.format(total=effort["total"], **share)] if effort and effort["total"] > 0 else [],
+        HEADINGS["engagement"]: _engagement(engaged, flagged) if engaged and engaged["total"] > 0 else [],
+        HEADINGS["top"]: [f"{n}. {_item(i)}" for n, i in enumerate(top, 1)],
+        HEADINGS["chains"]: [CHAIN.format(days=elapsed_days(c["first_date"], c["last_date"]), **c) for c in chains],
+        HEADINGS["projects"]: [PROJECT.format(**r) for r in rollup] if len(rollup) > 1 else [],
+        **{heading: [_listed(i) for i in items if i["category"] == category] for category, heading in zip(CATEGORIES, CATEGORY_TITLES, strict=True)},
+    }
+    lines = [f"# {title} — {day}\n"] + ([paragraph, ""] if paragraph else [])
+    for heading, body in sections.items():
+        if body:
+            lines += [f"## {heading}\n", *body, ""]
+    return "\n".join(lines)
 
 
 def write_brief(tables: Mapping[str, DataFrame], day: str, folder: str, model: Callable | None = None, title: str = "Daily Brief") -> str:
