@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Mapping
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomline.operators import engagement, insights, listing, search
+from loomline.plans import analyze, brief
 from loomline.plans import requests as rq
+from loomline.sources import transcripts
+from loomline.sources.store import Store
 
 Tables = Mapping[str, DataFrame]
 
@@ -26,8 +33,8 @@ def _need(p: Mapping[str, str], *names: str) -> list[str]:
 ENDPOINTS: dict[str, Callable[[Tables, Mapping[str, str], str], DataFrame]] = {
     "dates": lambda t, p, now: insights.insight_dates(*_ie(t)),
     "cross-project": lambda t, p, now: insights.cross_project(*_ie(t), rq.parse_days(p), rq.parse_scope(p)),
-    "engagement-breakdown": lambda t, p, now: engagement.engagement_breakdown(t["engagement_turns"], t["episodes"], rq.parse_days(p), rq.parse_scope(p)),
-    "engagement-breakdown-trend": lambda t, p, now: engagement.engagement_trend(t["engagement_turns"], t["episodes"], now, rq.parse_positive(p.get("days"), 30), rq.parse_scope(p)),
+    "engagement-breakdown": lambda t, p, now: engagement.breakdown_with_flags(t["engagement_turns"], t["episodes"], rq.parse_days(p), rq.parse_scope(p)),
+    "engagement-breakdown-trend": lambda t, p, now: engagement.trend_with_flags(t["engagement_turns"], t["episodes"], now, rq.parse_positive(p.get("days"), 30), rq.parse_scope(p)),
     "labels": lambda t, p, now: insights.labels(*_ie(t)),
     "search": lambda t, p, now: search.search(*_ie(t), p.get("q", ""), rq.parse_search_limit(p.get("limit"))),
     "projects": lambda t, p, now: insights.projects(*_ie(t)),
@@ -35,7 +42,11 @@ ENDPOINTS: dict[str, Callable[[Tables, Mapping[str, str], str], DataFrame]] = {
     "session-runs": lambda t, p, now: insights.session_runs(*_ie(t), t["derived_insights"], *_need(p, "project", "session")),
     "derived-insights": lambda t, p, now: insights.derived_of_run(t["derived_insights"], *_need(p, "project", "session"), p.get("label")),
     "session-projects": lambda t, p, now: listing.session_projects(t["files"], insights.sessions(*_ie(t)), t["metadata"]),
+    "sessions-all": lambda t, p, now: sessions_page(t, p)[0],
+    "jobs": lambda t, p, now: t["jobs"].filter(F.col("id") == _need(p, "id")[0]),
 }
+#: Endpoints that need the session files as well as the store.
+OF_FILES = ("session-projects", "sessions-all")
 
 
 def ask(endpoint: str, tables: Tables, params: Mapping[str, str], today: str) -> DataFrame:
@@ -44,6 +55,45 @@ def ask(endpoint: str, tables: Tables, params: Mapping[str, str], today: str) ->
     return ENDPOINTS[endpoint](tables, params, today)
 
 
+def file_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the endpoints of OF_FILES: session files and their metadata."""
+    return {"files": transcripts.list_session_files(spark, root), "metadata": transcripts.session_metadata(transcripts.all_lines(spark, root))}
+
+
+def briefs(folder: str, day: str | None = None) -> list[str] | str | None:
+    """The days that have a brief, or the text of one."""
+    return brief.list_briefs(folder) if day is None else brief.read_brief(folder, day)
+
+
+def send(endpoint: str, store: Store, params: Mapping[str, str], now: Callable[[], datetime], use: analyze.Models | None = None, root: str | None = None, job_id: str | None = None) -> dict:
+    """What changes the store: labels, sessions/analyze and derive-insights; the two last are jobs.
+
+    An analysis is followed by the derivation of insights of its run where a
+    deriving model is given. Without models nothing is analyzed.
+    """
+    if endpoint == "labels":
+        project, session, old, new = _need(params, "project", "session", "from", "to")
+        return {"updated": store.relabel_run(project, session, old, new)}
+    if endpoint not in ("sessions/analyze", "derive-insights"):
+        raise KeyError(endpoint)
+    if use is None:
+        raise ValueError("missing: models")
+    project, session = _need(params, "project", "session")
+    job = job_id or uuid.uuid4().hex
+
+    def derive(label: str) -> int:
+        return analyze.derive_run(store, project, session, label, use.deriver, now())
+
+    def work() -> str:
+        if endpoint == "derive-insights":
+            return json.dumps({"derived": derive(_need(params, "label")[0])})
+        done = analyze.analyze(store, _need({"root": root or ""}, "root")[0], now(), use=use, label=params.get("label"), force=params.get("force") == "true", project=project, session=session)
+        derived = derive(done.label) if use.deriver is not None and done.insights else 0
+        return json.dumps({**done.__dict__, "derived": derived})
+
+    return {"id": job, "status": analyze.run_job(store, job, endpoint, work, now)}
+
+
 def sessions_page(tables: Tables, params: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """A page of a project's sessions and its totals. Metadata is joined before the cut only where titles decide it."""
     (project,) = _need(params, "project")

@@ -20,14 +20,14 @@ def assign_parts(lines: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFram
     State per session is one row per day seen: its last line's time and its
     episode number. Lines of a micro-batch are taken in order of line number. A
     compact line closes the episode of the line before it, as the batch does for
-    a boundary inside one day.
+    a boundary inside one day. Lines without a time or day are left out, as in the batch.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         days: dict[str, tuple[datetime, int]] = {d: (t, p) for d, t, p in zip(*state.get, strict=True)} if state.exists else {}
         rows = []
         for batch in batches:
-            for r in batch.sort_values("line_number").itertuples():
+            for r in batch.dropna(subset=["ts", "date"]).sort_values("line_number").itertuples():
                 seen = days.get(r.date)
                 part = 0 if seen is None else seen[1] + int((r.ts - seen[0]).total_seconds() > gap_minutes * 60 or r.is_compact)
                 days[r.date] = (r.ts, part)
