@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomline import cli
 from loomline.functions import columns as fn
 from loomline.functions import formatting as fmt
 from loomline.operators import engagement, insights, listing, models, recurrence, search, sessionize, similarity, turns
@@ -418,3 +419,159 @@ def test_recurrence_covers_all_vectors(spark):
             s = np.where(ids // 256 < key // 256, similar[i], 0)
             assert got[key][1] == (ids[s.argmax()] if s.max() >= 0.35 else None)
     assert any(link is not None and link % 5 == 0 for _, link in got.values())
+
+
+# the queries without SQL, over whole tables
+
+
+def test_dedupe_query_equals_a_loop(spark):
+    rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect())
+    expected = []
+    for batch in sorted({i // 256 for i, _ in rows}):
+        held = [(i, np.array(v, float)) for i, v in rows if i // 256 == batch]
+        taken, place = set(), 0
+        for i, v in held:
+            if i in taken:
+                continue
+            near = [(j, w) for j, w in held if j >= i and j not in taken and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.35]
+            taken |= {j for j, _ in near} | {i}
+            best = max([i, *[j for j, _ in near]], key=lambda j: (j % 17, -j))
+            expected.append((best, batch, float(best % 17), place))
+            place += 1
+    got = library.QUERIES["e3_greedy_dedupe"](spark, SF).collect()
+    assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_dedupe_keeps_ids_beside_a_null_id(spark):
+    df = spark.createDataFrame([(2**60 + 1, 0, 1, 1.0, [1.0, 0.0]), (None, 1, 1, 1.0, [0.0, 1.0]), (5, 2, 1, 1.0, None)], "id long, pos int, batch int, significance_score double, embedding array<double>")
+    assert {(r["id"], r["place"]) for r in similarity.greedy_dedupe(df, "batch").collect()} == {(2**60 + 1, 0), (None, 1), (5, 2)}
+
+
+def test_budget_query_equals_a_loop(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "ts", "event_id", "event_type", F.length("props").alias("n")).collect()
+    expected = []
+    for user in {e["user_id"] for e in events}:
+        mine = sorted((e for e in events if e["user_id"] == user), key=lambda e: (e["ts"], e["event_id"]))
+        parts, last = {}, {}
+        for k, e in enumerate(mine):
+            day = e["ts"].strftime("%Y-%m-%d")
+            if day not in last:
+                part = 0
+            else:
+                before = last[day]
+                gap = (e["ts"] - mine[before]["ts"]).total_seconds() > 1440 * 60
+                boundary = before + 1 < len(mine) and mine[before + 1]["event_type"] == "error"
+                part = parts[day][-1][0] + (gap or boundary)
+            parts.setdefault(day, []).append((part, k + 1, e["n"] or 0))
+            last[day] = k
+
+        def cut(lines):
+            if len(lines) <= 1 or -(-sum(n for _, n in lines) // 4) <= 12:
+                return [lines]
+            return cut(lines[: len(lines) // 2]) + cut(lines[len(lines) // 2 :])
+
+        for day, lines in parts.items():
+            for part in sorted({x[0] for x in lines}):
+                for piece, held in enumerate(cut([(k, n) for q, k, n in lines if q == part])):
+                    expected.append((user, day, part, piece, held[0][0], held[-1][0], len(held)))
+    got = [tuple(r) for r in library.QUERIES["e7_budget_split"](spark, SF).select("user_id", "date", "part", "piece", "start_line", "end_line", "n_lines").collect()]
+    assert sorted(got) == sorted(expected)
+
+
+# bursts over hot days, flags, deep chains
+
+
+def test_bursts_by_day_equal_a_loop(spark):
+    rnd = random.Random(4)
+    day = lambda i: "d0" if i % 3 else f"d{i % 7}"
+    rows = [(i, 1, i % 50, "directive" if rnd.random() < 0.85 else "corrective", rnd.random() < 0.1, "r", day(i), "p", f"s{i % 9}", i % 40) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, episode_id long, human_line_number int, classification string, directive_necessary boolean, reason string, date string, project_dir string, session_id string, start_line long").repartition(5)
+
+    def longest(held):
+        best = run = 0
+        for r in sorted(held, key=lambda r: (r[9], r[2], r[7], r[8], r[0])):
+            run = run + 1 if r[3] == "directive" and not r[4] else 0
+            best = max(best, run)
+        return best
+
+    assert engagement.longest_burst(df).first()[0] == longest(rows)
+    got = {r["date"]: r["longest_directive_burst"] for r in engagement.longest_burst(df, ["date"]).collect()}
+    assert got == {d: longest([r for r in rows if r[6] == d]) for d in {r[6] for r in rows}}
+
+
+def test_flags_come_with_the_breakdown(spark):
+    episodes = spark.createDataFrame([(1, "2026-07-14", "p", "s", 1, 9, ""), (2, "2026-07-15", "p", "s", 10, 19, "")], struct("episodes"))
+    t = spark.createDataFrame([(i, 1 + i % 2, i, "directive", False, f"r{i}", f"c{i}") for i in range(14)] + [(20, 2, 20, "corrective", None, "", "")], struct("engagement_turns"))
+    one = engagement.breakdown_with_flags(t, episodes, Days("2026-07-14", "2026-07-15")).first()
+    assert one["total"] == 15 and [f["human_line_number"] for f in one["flagged_directives"]] == [13, 11, 9, 7, 5]
+    trend = engagement.trend_with_flags(t, episodes, "2026-07-16", 5).collect()
+    assert [[f["reason"] for f in r["flagged_directives"]] for r in trend] == [["r12", "r10", "r8", "r6", "r4"], ["r13", "r11", "r9", "r7", "r5"]]
+    none = engagement.breakdown_with_flags(t, episodes, Days("2000-01-01")).first()
+    assert none["total"] == 0 and none["flagged_directives"] == []
+
+
+def test_chains_have_no_depth_limit(spark):
+    n = 5000
+    rows = [(i, "2026-07-10", i - 1 if i > 1 else None) for i in range(1, n + 1)] + [(n + 1, "2026-07-10", n + 2), (n + 2, "2026-07-10", n + 1), (n + 3, "2026-07-10", n + 2)]
+    assert chains(spark, rows) == [(1, n, "2026-07-10", "2026-07-10")]
+
+
+# reading while files grow, models that answer badly, what changes the store
+
+
+def test_lines_appended_during_a_run_are_read_next_time(spark, tmp_path):
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    write_session(root, "proj {a}*", "one", [user("Please refactor the storage layer now", 1), agent("ok", 2)])
+    write_session(root, "proj {a}*", "two", [user("Something else to do here today", 1)])
+    now = datetime(2026, 7, 15, tzinfo=timezone.utc)
+    seen = transcripts.scan_new_lines(spark, root, s.read("sessions"), "2026-07-15T00:00:00.000Z")
+    write_session(root, "proj {a}*", "one", [user("A line that came while the models ran", 3)])
+    assert {(r["session_id"], r["max_line"]) for r in seen[1].collect()} == {("one", 2), ("two", 1)} and seen[0].count() == 3
+    real = models.stand_in_extractor
+
+    def slow(items):
+        if any("storage" in x["text"] for x in items):
+            write_session(root, "proj {a}*", "one", [user("Another line that came during the run", 4)])
+        return real(items)
+
+    first = analyze.analyze(s, root, now, use=analyze.Models(extractor=slow), label="r1")
+    cursor = {r["session_id"]: r["last_line"] for r in s.read("sessions").collect()}
+    assert first.episodes == 2 and cursor == {"one": 3, "two": 1}
+    os.utime(f"{root}/proj {{a}}*/one.jsonl", (2_000_000_000, 2_000_000_000))
+    again = analyze.analyze(s, root, now, label="r2")
+    assert (again.sessions, again.episodes) == (1, 1) and s.read("episodes").filter("label = 'r2'").first()["start_line"] == 4
+
+
+def test_malformed_answers_yield_nothing(spark):
+    items = spark.createDataFrame([("r", 1, "bug_fix", "t", "c")], "label string, id long, category string, text string, created_at string")
+    good = {"insight_type": "pattern", "text": "a", "evidence_insight_ids": [1]}
+    for odd in (None, 3, "x", [None], [[]], [{}], [{"insight_type": 1, "text": "a"}], [{**good, "evidence_insight_ids": 3}], [{**good, "evidence_insight_ids": [[1]]}], [{**good, "text": None}]):
+        assert models.derive_insights(items, lambda _, odd=odd: odd).count() == 0
+    assert models.derive_insights(items, lambda _: [None, good, {}]).count() == 1
+    pairs = spark.createDataFrame([(1, 2, "agent", "please look again", False)], "episode_id long, human_line_number int, agent_turn_text string, human_turn_text string, agent_asked_question boolean")
+    right = {"human_line_number": 2, "classification": "corrective"}
+    for odd in (None, 7, [None], [{**right, "human_line_number": [2]}], [{**right, "classification": ["corrective"]}], [{**right, "directive_necessary": "yes"}]):
+        assert models.classify_turns(pairs, lambda _, odd=odd: odd).count() == 0
+    assert models.classify_turns(pairs, lambda _: [{}, right]).count() == 1
+
+
+def test_what_changes_the_store(spark, tmp_path):
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    write_session(root, "proj", "one", [agent("What now?", 1), user("Please refactor the storage layer now", 2)])
+    now = lambda: datetime(2026, 7, 15, tzinfo=timezone.utc)
+    with pytest.raises(ValueError):
+        api.send("sessions/analyze", s, {"project": "proj", "session": "one"}, now)
+    with pytest.raises(KeyError):
+        api.send("other", s, {}, now)
+    use = analyze.Models(deriver=models.stand_in_deriver)
+    done = api.send("sessions/analyze", s, {"project": "proj", "session": "one", "label": "r1"}, now, use, root, "j1")
+    job = json.loads(api.ask("jobs", s.tables(), {"id": "j1"}, "2026-07-15").first()["result"])
+    assert done == {"id": "j1", "status": "done"} and (job["insights"], job["derived"]) == (1, 1)
+    assert api.send("labels", s, {"project": "proj", "session": "one", "from": "r1", "to": "r2"}, now) == {"updated": 1}
+    assert api.send("derive-insights", s, {"project": "proj", "session": "one", "label": "r2"}, now, use, job_id="j2")["status"] == "done"
+    tables = {**s.tables(), **api.file_tables(spark, root)}
+    assert api.ask("session-projects", tables, {}, "2026-07-15").first()["session_count"] == 1
+    assert [r["session_id"] for r in api.ask("sessions-all", tables, {"project": "proj"}, "2026-07-15").collect()] == ["one"]
+    assert api.briefs(str(tmp_path / "none")) == []
+    with pytest.raises(SystemExit):
+        cli.models_of(None)
