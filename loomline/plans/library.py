@@ -365,13 +365,14 @@ def fn_cosine(a: Column, w: Column) -> Column:
 
 @register(
     "j8_nearest_earlier",
-    f""", s AS (SELECT a.vec_id AS new_id, b.vec_id AS past_id, {_COS} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)
-    SELECT new_id, past_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(sim, 12) DESC, past_id) AS k FROM s WHERE sim >= 0.35) WHERE k = 1""".replace(", s AS", "WITH s AS", 1),
+    f"""WITH s AS (SELECT a.vec_id AS new_id, b.vec_id AS past_id, {_COS} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id < a.vec_id)
+    SELECT new_id, past_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(sim, 12) DESC, past_id) AS k FROM s WHERE sim >= 0.35) WHERE k = 1""",
 )
 def j8(spark, sf):
-    v = b.vectors(spark, sf)
-    past = v.filter("id % 5 <> 0").select(F.col("id").alias("past_id"), F.lit("2024").alias("created_at"), "embedding")
-    found = similarity.nearest_earlier(v.filter("id % 5 = 0").select(F.col("id").alias("new_id"), "embedding"), past, 0.35)
+    """The query set (ids divisible by 20) against all rows of lesser ids."""
+    v = b.vectors(spark, sf).select("embedding", F.col("id").alias("new_id"), F.col("id").alias("batch"))
+    past = v.withColumnRenamed("new_id", "past_id").withColumn("created_at", F.lit("2024"))
+    found = similarity.nearest_earlier(v.filter("new_id % 20 = 0"), past, 0.35, "batch")
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
