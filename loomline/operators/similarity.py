@@ -15,6 +15,8 @@ from loomline.sources.scratch import written
 DEDUPE_AT = 0.95
 RECUR_AT = 0.90
 BLOCK = 1024
+#: As many new vectors at most are sent to all tasks; more are dealt in blocks by a shuffle.
+LITTLE = 4 * BLOCK
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -99,17 +101,14 @@ def nearest_earlier(new: DataFrame, past: DataFrame, threshold: float = RECUR_AT
     With `batch`, a numeric column of both, only items of lesser batches are past.
 
     Past items (past_id, created_at, embedding) are compared in blocks of a
-    matrix product. New items are the small side: they are dealt over all blocks
-    by an explicit block number, so no task holds more than one block of each.
-    Ties go to the latest past item; similarities of zero or less never count.
+    matrix product. New items are the small side, as those of a run against a
+    whole history: up to LITTLE of them are broadcast, and past items are scanned
+    once without a shuffle. More are dealt over all blocks by an explicit block
+    number, so no task holds more than one block of each. Ties go to the latest past item; similarities of zero or less never count.
     """
     number = F.col(batch) if batch else F.lit(0)
     new = new.select(F.col("new_id"), F.col("embedding").alias("v"), number.cast("long").alias("_batch"))
     past = past.select("past_id", "created_at", F.col("embedding").alias("w"), number.cast("long").alias("_batch"))
-    count = lambda df: max(1, -(-df.count() // BLOCK))
-    n, p = count(new), count(past)
-    left = new.withColumn("_i", F.pmod(F.xxhash64("new_id"), F.lit(n)).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-    right = past.withColumn("_j", F.pmod(F.xxhash64("past_id"), F.lit(p)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -130,7 +129,27 @@ def nearest_earlier(new: DataFrame, past: DataFrame, threshold: float = RECUR_AT
                     rows.append((group["new_id"].iloc[i], fits["past_id"].iloc[k], s[i, k], fits["created_at"].iloc[k]))
         return pd.DataFrame(rows, columns=["new_id", "past_id", "similarity", "created_at"])
 
-    found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(compare, "new_id long, past_id long, similarity double, created_at string")
+    schema = "new_id long, past_id long, similarity double, created_at string"
+    rows = new.count()
+    if rows <= LITTLE:
+        held = new.toArrow().to_pandas()
+        shared = new.sparkSession.sparkContext.broadcast([held[k : k + BLOCK] for k in range(0, rows, BLOCK)])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(0, b.num_rows, BLOCK):
+                    part = b.slice(k, BLOCK).to_pandas()
+                    for block in shared.value:
+                        links = compare(block, part)
+                        if len(links):
+                            yield pa.RecordBatch.from_pandas(links, preserve_index=False)
+
+        found = past.mapInArrow(scan, schema)
+    else:
+        n, p = -(-rows // BLOCK), max(1, -(-past.count() // BLOCK))
+        left = new.withColumn("_i", F.pmod(F.xxhash64("new_id"), F.lit(n)).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+        right = past.withColumn("_j", F.pmod(F.xxhash64("past_id"), F.lit(p)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(compare, schema)
     best = F.max_by(F.struct("past_id", "similarity"), F.struct(F.round("similarity", 12), "created_at", -F.col("past_id")))
     return found.groupBy("new_id").agg(best.alias("b")).select("new_id", "b.past_id", "b.similarity")
 
