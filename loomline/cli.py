@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     a = sub.add_parser("analyze")
     a.add_argument("transcripts")
-    for name in ("--label", "--project", "--session", "--briefs", "--date"):
+    for name in ("--label", "--project", "--session", "--briefs", "--date", "--spot-checks"):
         a.add_argument(name)
     a.add_argument("--force", action="store_true")
     a.add_argument("--dry-run", action="store_true")
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     store, now = Store(local_session(), args.store), datetime.now(timezone.utc)
     if args.command == "analyze":
         use = None if args.dry_run else models_of(args.models)
-        done = analyze.analyze(store, args.transcripts, now, load_config(), use, args.label, args.force, args.project, args.session, args.dry_run)
+        done = analyze.analyze(store, args.transcripts, now, load_config(), use, args.label, args.force, args.project, args.session, args.dry_run, args.spot_checks)
         print(json.dumps(done.__dict__))
         if args.briefs and not args.dry_run:
             for day in [args.date] if args.date else sorted({now.date().isoformat(), *done.dates}):

@@ -56,8 +56,18 @@ def first_classification(classified: DataFrame, emitted: str = "emit_pos") -> Da
 
 
 def spot_check_sample(pairs: DataFrame, classified: DataFrame) -> DataFrame:
-    """Of each episode the first pairs that were classified, with texts cut to a length for reading."""
-    hit = pairs.join(classified.select("episode_id", "human_line_number", "classification", "directive_necessary"), ["episode_id", "human_line_number"])
+    """Of each episode the first pairs that were classified, with the reason and texts cut to a length for reading."""
+    hit = pairs.join(classified.select("episode_id", "human_line_number", "classification", "directive_necessary", "reason"), ["episode_id", "human_line_number"])
     place = F.row_number().over(Window.partitionBy("episode_id").orderBy("human_line_number"))
     short = [F.substring(c, 1, SAMPLE_CHARS).alias(c) for c in ("agent_turn_text", "human_turn_text")]
-    return hit.withColumn("_place", place).filter(F.col("_place") <= SAMPLES).select("episode_id", "human_line_number", "classification", "directive_necessary", *short)
+    return hit.withColumn("_place", place).filter(F.col("_place") <= SAMPLES).select("episode_id", "human_line_number", "classification", "directive_necessary", "reason", *short)
+
+
+def append_spot_checks(sample: DataFrame, folder: str, label: str, stamp: str) -> None:
+    """K9: adds a sample to a folder of Markdown text, a block a pair; the tasks write it. An empty sample adds nothing."""
+    # The lines of a block.
+    heading = F.concat(F.lit("### Human line "), F.col("human_line_number"), F.lit(" — "), F.col("classification"), F.coalesce(F.concat(F.lit(" (necessary: "), F.col("directive_necessary"), F.lit(")")), F.lit("")))
+    fields = [F.concat(F.lit(f"**{name}:** "), F.coalesce(F.col(c), F.lit(""))) for name, c in (("Agent turn", "agent_turn_text"), ("Human turn", "human_turn_text"), ("Reason", "reason"))]
+    blocks = sample.orderBy("episode_id", "human_line_number").select(F.concat_ws("\n", F.lit(f"## Spot-check sample — label `{label}` — {stamp}"), heading, *fields, F.lit("")).alias("value"))
+    if not sample.isEmpty():
+        blocks.write.mode("append").text(folder)

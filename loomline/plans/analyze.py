@@ -1,7 +1,8 @@
-"""The write path: new lines to episodes, insights and turns, one commit per run."""
+"""The write path: new lines to episodes, insights and turns, in one commit, or day by day if that fails."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -17,7 +18,8 @@ from loomline.sources.scratch import written
 from loomline.sources.store import Store, with_ids
 from loomline.sources.transcripts import scan_new_lines
 
-KEYS = ["project_dir", "session_id", "date", "part", "piece"]
+SESSION = ["project_dir", "session_id"]
+KEYS = [*SESSION, "date", "part", "piece"]
 
 
 @dataclass
@@ -31,21 +33,26 @@ class Models:
 
 @dataclass
 class Summary:
-    """G20."""
+    """`sessions` were analyzed to their end, `failed` were not."""
 
     sessions: int
     episodes: int
     insights: int
     dates: list[str]
     label: str
+    failed: int = 0
 
 
-def analyze(store: Store, root: str, now: datetime, config: Config = Config(), use: Models | None = None, label: str | None = None, force: bool = False, project: str | None = None, session: str | None = None, dry_run: bool = False) -> Summary:
-    """Analyzes what is new under root and commits it.
+def analyze(store: Store, root: str, now: datetime, config: Config = Config(), use: Models | None = None, label: str | None = None, force: bool = False, project: str | None = None, session: str | None = None, dry_run: bool = False, spot_checks: str | None = None) -> Summary:
+    """Analyzes what is new under root and commits it.
 
     Episodes, insights, vectors, turns and cursors become visible together or not
-    at all. A dry run stops before the models. Rows whose episode is unknown
-    cannot arise: all hang on episodes of the same run.
+    at all. Usually one commit holds the whole run. If it fails, each day is tried
+    in a commit of its own, in order: the sessions of a day that fails keep their
+    cursor before it and are read again by the next run, changed or not; all
+    others go on. A dry run stops before the models. Rows whose episode is unknown
+    cannot arise: all hang on episodes of the same run. With `spot_checks`, a folder,
+    a sample of the turns is added to the texts there.
     """
     use, label = use or Models(), label or run_label(now)
     stamp = now.strftime("%Y-%m-%dT%H:%M:%S.000Z")
@@ -58,24 +65,41 @@ def analyze(store: Store, root: str, now: datetime, config: Config = Config(), u
     n_sessions, n_episodes = seen.count(), found.count()
     if dry_run:
         return Summary(n_sessions, n_episodes, 0, dates, label)
-    ids = found.select(F.col("id").alias("episode_id"), *KEYS)
-    lines = written(turns.classify_lines(pieces).drop("raw").join(ids, KEYS))
-    insights, vectors = _insights(store, lines, ids, use, config, now, stamp)
-    engaged = models.classify_turns(turns.turn_pairs(lines, ["episode_id"]), use.classifier)
-    engaged = store.next_ids("engagement_turns", engaged.withColumn("created_at", F.lit(stamp)), "episode_id", "human_line_number")
-    cursors = seen.select("project_dir", "session_id", F.col("max_line").alias("last_line")).withColumn("last_run_at", F.lit(stamp))
-    grown = lambda table, rows: store.read(table).unionByName(rows.select(*store.read(table).columns))
-    store.commit(
-        {
-            "episodes": grown("episodes", found),
-            "insights": grown("insights", insights),
-            "insight_embeddings": grown("insight_embeddings", vectors),
-            "engagement_turns": grown("engagement_turns", engaged),
-            "sessions": store.upsert_cursors(cursors),
-        }
-    )
-    n_insights = store.read("insights").filter(F.col("created_at") == stamp).count()
-    return Summary(n_sessions, n_episodes, n_insights, dates, label)
+    lines = written(turns.classify_lines(pieces).drop("raw").join(found.select(F.col("id").alias("episode_id"), *KEYS), KEYS))
+    ends = seen.select(*SESSION, F.col("max_line").alias("last_line")).withColumn("last_run_at", F.lit(stamp))
+    n_insights, n_failed = 0, 0
+    try:
+        n_insights = _commit(store, found, lines, ends, use, config, now, stamp, label, spot_checks)
+    except Exception:  # noqa: BLE001  days are tried alone
+        logging.exception("a run failed as a whole and is tried day by day")
+        failed = written(found.select(*SESSION).limit(0))
+        for day in dates:
+            part = written(found.filter(F.col("date") == day).join(failed, SESSION, "left_anti"))
+            # without a time of its last run a session is read again from its cursor on
+            reached = part.groupBy(*SESSION).agg(F.max("end_line").alias("last_line")).withColumn("last_run_at", F.lit(None).cast("string"))
+            try:
+                n_insights += _commit(store, part, lines.join(part.select(F.col("id").alias("episode_id")), "episode_id", "left_semi"), reached, use, config, now, stamp, label, spot_checks)
+            except Exception:  # noqa: BLE001  its sessions stop here
+                logging.exception("%s failed", day)
+                failed = written(failed.unionByName(part.select(*SESSION).distinct()))
+        store.commit({"sessions": store.upsert_cursors(ends.join(failed, SESSION, "left_anti"))})
+        n_failed = failed.count()
+    return Summary(n_sessions - n_failed, n_episodes, n_insights, dates, label, n_failed)
+
+
+def _commit(store: Store, found: DataFrame, lines: DataFrame, cursors: DataFrame, use: Models, config: Config, now: datetime, stamp: str, label: str, spot_checks: str | None) -> int:
+    """K3: one commit of episodes and what comes of their lines; how many insights."""
+    insights, vectors = _insights(store, lines, found.select(F.col("id").alias("episode_id"), *KEYS), use, config, now, stamp)
+    pairs = turns.turn_pairs(lines, ["episode_id"])
+    engaged = written(store.next_ids("engagement_turns", models.classify_turns(pairs, use.classifier).withColumn("created_at", F.lit(stamp)), "episode_id", "human_line_number"))
+    n = insights.count()
+    store.commit({"sessions": store.upsert_cursors(cursors)}, {"episodes": found, "insights": insights, "insight_embeddings": vectors, "engagement_turns": engaged})
+    try:
+        if spot_checks:
+            turns.append_spot_checks(turns.spot_check_sample(pairs, engaged), spot_checks, label, stamp)
+    except Exception:  # noqa: BLE001  what is committed stays, also without its sample
+        logging.exception("no sample was written to %s", spot_checks)
+    return n
 
 
 def _insights(store: Store, lines: DataFrame, ids: DataFrame, use: Models, config: Config, now: datetime, stamp: str) -> tuple[DataFrame, DataFrame]:

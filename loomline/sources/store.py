@@ -1,15 +1,15 @@
 """The store: each table as immutable snapshots of Parquet, and one pointer to the current set.
 
-A commit writes the changed tables into a new snapshot folder and then replaces
-the pointer file by a rename, so that readers see all of a commit or nothing. A
-table that a commit leaves alone keeps its old folder. No path that is being
-read is ever overwritten.
+A table is a list of folders. A commit writes changed tables whole and added rows
+alone into a new snapshot folder and then replaces the pointer file by a rename,
+so that readers see all of a commit or nothing. A table that a commit leaves
+alone keeps its folders. No path that is being read is ever overwritten. The
+pointer goes through the file system of the root, as the tables do.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Mapping
 
@@ -21,42 +21,66 @@ from loomline.schema import TABLES, conform, struct
 from loomline.sources.scratch import written
 
 TERMINAL = ("done", "failed")
+#: A table that has come to more folders than this is written anew as one by the next commit that adds to it.
+FOLDERS = 64
 
 
 class Store:
     """Opens or creates a store in a folder; commits are made by one driver at a time."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._files = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._path(""))
 
-    def _pointer(self) -> dict[str, str]:
-        try:
-            with open(f"{self.root}/current.json", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
+    def _path(self, name: str):
+        return self._hadoop.Path(f"{self.root}/{name}")
+
+    def _pointer(self) -> dict[str, list[str]]:
+        if not self._files.exists(self._path("current.json")):
             return {}
+        stream = self._files.open(self._path("current.json"))
+        try:
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return {table: [folders] if isinstance(folders, str) else folders for table, folders in found.items()}
+
+    def _point(self, pointer: Mapping[str, list[str]], name: str) -> None:
+        staged = self._path(f"current.{name}")
+        stream = self._files.create(staged, True)
+        try:
+            stream.write(bytearray(json.dumps(pointer).encode()))
+        finally:
+            stream.close()
+        rename = getattr(self._hadoop, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._hadoop.FileContext.getFileContext(self._files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, self._path("current.json"), options)
 
     def read(self, table: str) -> DataFrame:
         """A table as of the last commit; missing columns hold their defaults."""
-        folder = self._pointer().get(table)
-        if folder is None:
+        folders = self._pointer().get(table)
+        if not folders:
             return self.spark.createDataFrame([], struct(table))
-        return conform(self.spark.read.parquet(f"{self.root}/{folder}"), table)
+        return conform(self.spark.read.schema(struct(table)).parquet(*(f"{self.root}/{f}" for f in folders)), table)
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in TABLES}
 
-    def commit(self, changed: Mapping[str, DataFrame]) -> None:
+    def commit(self, changed: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None) -> None:
+        """Tables of `changed` become what is given; rows of `added` come to what their tables hold, which is not written again."""
         pointer, name = self._pointer(), uuid.uuid4().hex
-        for table, df in changed.items():
-            folder = f"snapshots/{name}/{table}"
-            conform(df, table).write.parquet(f"{self.root}/{folder}")
-            pointer[table] = folder
-        staged = f"{self.root}/current.{name}"
-        with open(staged, "w", encoding="utf-8") as f:
-            json.dump(pointer, f)
-        os.replace(staged, f"{self.root}/current.json")
+        for kind, given in (("whole", changed), ("more", added or {})):
+            for table, df in given.items():
+                folder, before = f"snapshots/{name}/{table}", pointer.get(table, []) if kind == "more" else []
+                rows = conform(df, table)
+                if len(before) >= FOLDERS:
+                    rows, before = self.read(table).unionByName(rows), []
+                rows.write.parquet(f"{self.root}/{folder}")
+                pointer[table] = [*before, folder]
+        self._point(pointer, name)
 
     def upsert_cursors(self, new: DataFrame) -> DataFrame:
         """K1: the sessions table with the new rows in the place of old ones of their key."""
@@ -69,7 +93,7 @@ class Store:
 
     def append_derived(self, rows: DataFrame) -> None:
         """K4: derived insights are added, never replaced."""
-        self.commit({"derived_insights": self.read("derived_insights").unionByName(conform(self.next_ids("derived_insights", rows, "created_at", "text"), "derived_insights"))})
+        self.commit({}, {"derived_insights": self.next_ids("derived_insights", rows, "created_at", "text")})
 
     def relabel_run(self, project_dir: str, session_id: str, old: str, new: str) -> int:
         """K5: renames a run; how many episodes changed."""

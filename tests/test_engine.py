@@ -212,6 +212,18 @@ def test_nearest_earlier_ties_and_lengths(spark):
     new = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [1.0])], "new_id long, embedding array<double>")
     past = spark.createDataFrame([(7, "2026-01-01", [2.0, 0.0]), (8, "2026-01-02", [1.0, 0.0]), (9, "2026-01-03", [0.0, 1.0]), (10, "2026-01-04", None)], "past_id long, created_at string, embedding array<double>")
     assert sorted((r["new_id"], r["past_id"]) for r in similarity.nearest_earlier(new, past, 0.9).collect()) == [(1, 8), (4, 8)]
+    assert similarity.nearest_earlier(new, past.limit(0), 0.9).count() == similarity.nearest_earlier(new.limit(0), past, 0.9).count() == 0
+
+
+def test_nearest_earlier_by_blocks_equals_the_broadcast(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    new = rows.select(F.col("vec_id").alias("new_id"), F.col("vec_id").alias("batch"), "embedding")
+    past = rows.select(F.col("vec_id").alias("past_id"), F.col("vec_id").alias("batch"), F.lit("2024").alias("created_at"), "embedding")
+    links = lambda: sorted((r["new_id"], r["past_id"], round(r["similarity"], 9)) for r in similarity.nearest_earlier(new, past, 0.35, "batch").collect())
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    sent = links()
+    monkeypatch.setattr(similarity, "LITTLE", 0)
+    assert sent and links() == sent
 
 
 def chains(spark, rows, as_of="2026-07-16", days=30, **scope):
@@ -542,6 +554,38 @@ def test_lines_appended_during_a_run_are_read_next_time(spark, tmp_path):
     assert (again.sessions, again.episodes) == (1, 1) and s.read("episodes").filter("label = 'r2'").first()["start_line"] == 4
 
 
+def test_a_day_that_fails_leaves_the_others_committed(spark, tmp_path):
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    now, day = datetime(2026, 7, 18, tzinfo=timezone.utc), lambda d, text: {"type": "user", "timestamp": f"2026-07-{d}T10:00:00Z", "message": {"content": text}}
+    write_session(root, "proj", "one", [agent("What now?", 1), day(14, "Please refactor the storage layer now"), day(15, "This bad text breaks the embedder here"), day(16, "A later day of the same session here")])
+    write_session(root, "proj", "two", [day(14, "Something else to do here today"), day(16, "And something more to do after that")])
+    checks = str(tmp_path / "checks")
+
+    def breaks(texts):
+        return [["no number"] if "bad" in t else [1.0, 2.0] for t in texts]
+
+    first = analyze.analyze(s, root, now, use=analyze.Models(embedder=breaks), label="r1", spot_checks=checks)
+    assert (first.sessions, first.failed, first.episodes, first.insights) == (1, 1, 5, 3) and first.dates == ["2026-07-14", "2026-07-15", "2026-07-16"]
+    assert {(r["session_id"], r["last_line"], r["last_run_at"] is None) for r in s.read("sessions").collect()} == {("one", 2, True), ("two", 2, False)}
+    assert sorted((r["session_id"], r["date"]) for r in s.read("episodes").collect()) == [("one", "2026-07-14"), ("two", "2026-07-14"), ("two", "2026-07-16")]
+    sample = "\n".join(r["value"] for r in spark.read.text(checks).collect())
+    assert "### Human line 2 — deliberative\n**Agent turn:** What now?" in sample and "**Reason:** by rule" in sample and "label `r1`" in sample
+    again = analyze.analyze(s, root, now, label="r2")  # nothing changed on disk, but one session is not at its end
+    assert (again.sessions, again.failed, again.episodes) == (1, 0, 2) and s.read("sessions").filter("last_line = 4").count() == 1
+    assert s.read("episodes").count() == 5 and s.read("episodes").select("id").distinct().count() == 5
+
+
+def test_added_rows_come_to_their_table(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    rows = lambda k: spark.createDataFrame([(k, f"2026-07-{k}", "p", "s", 1, 1, "")], struct("episodes"))
+    monkeypatch.setattr(store, "FOLDERS", 3)
+    for k in range(11, 16):
+        s.commit({}, {"episodes": rows(k)})
+    assert sorted(r["id"] for r in s.read("episodes").collect()) == list(range(11, 16)) and len(s._pointer()["episodes"]) == 2
+    s.commit({"episodes": rows(20)})
+    assert [r["id"] for r in store.Store(spark, f"{tmp_path}/store").read("episodes").collect()] == [20]
+
+
 def test_malformed_answers_yield_nothing(spark):
     items = spark.createDataFrame([("r", 1, "bug_fix", "t", "c")], "label string, id long, category string, text string, created_at string")
     good = {"insight_type": "pattern", "text": "a", "evidence_insight_ids": [1]}
