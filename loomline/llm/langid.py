@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import keep_rows, materialise
+from loomline.llm.common import bounded, keep_rows, materialise
 
 ORDER = 4
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -151,16 +151,18 @@ class KneserNey:
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         return -np.add.reduceat(out.astype(np.float64), starts, axis=0) / sizes[:, None]
 
-    def calibrate(self, texts: list[str], truth: list[str]) -> None:
-        """Limits by language from held-back texts in their own language."""
-        if not texts:
-            return
-        h, n = np.concatenate([self.entropies(part) for part in _by_size(texts)]), np.array([len(t) + 1 for t in texts])
-        own = np.array([self.languages.index(t) for t in truth])
-        counts = np.bincount(own, minlength=len(self.languages))
-        x = h[np.arange(len(h)), own]
+    def own_entropies(self, texts: list[str | None], truth: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts with a letter and a known language: the language's place, the cross-entropy under it, and the length."""
+        clean = [(t, self.languages.index(k)) for t, k in zip(map(letters_only, texts), truth, strict=True) if t and k in self.languages]
+        own, n = np.array([k for _, k in clean], np.int64), np.array([len(t) + 1 for t, _ in clean], np.int64)
+        h = np.concatenate([np.zeros((0, len(self.languages))), *(self.entropies(part) for part in _by_size([t for t, _ in clean]))])
+        return own, h[np.arange(len(h)), own], n
+
+    def calibrate(self, own: np.ndarray, x: np.ndarray, n: np.ndarray) -> None:
+        """Limits by language from what own_entropies gives for held-back texts."""
         if len(x) < ENOUGH:
             return
+        counts = np.bincount(own, minlength=len(self.languages))
         means = np.array([np.average(x[own == k], weights=np.minimum(n[own == k], 500)) if counts[k] else 0 for k in range(len(self.languages))])
 
         def limit(pick: np.ndarray, mean: float) -> tuple[float, float, float]:
@@ -208,10 +210,10 @@ def _by_size(texts: list[str]) -> Iterator[list[str]]:
 def _sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
     """lang, text and whether it calibrates: up to per_language texts a language, by hash of the id; equal texts once."""
     usable = docs.select("doc_id", "lang", "text").filter(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count()
+    sizes = materialise(usable.groupBy("lang").count())
     # a share of the hash range that holds about twice the texts wanted leaves a bounded rest to rank
     rank = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(2**53))
-    near = usable.join(F.broadcast(sizes), "lang").withColumn("_rank", rank).filter(F.col("_rank") * F.col("count") <= 2 * per_language + 50)
+    near = usable.join(bounded(sizes), "lang").withColumn("_rank", rank).filter(F.col("_rank") * F.col("count") <= 2 * per_language + 50)
     near = near.select("lang", "text", "_rank", "doc_id").groupBy("lang", F.xxhash64("text").alias("_t")).agg(F.min_by("text", F.struct("_rank", "doc_id")).alias("text"), F.min("_rank").alias("_rank"))
     first = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_rank", "_t"))).filter(F.col("_n") <= per_language)
     return materialise(first.select("lang", "text", (F.pmod("_n", F.lit(5)) == 0).alias("calibrates")))
@@ -236,7 +238,6 @@ def train(docs: DataFrame, learn: Column, per_language: int = 1500) -> KneserNey
     fitted = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
     # what reaches the driver is bounded by the sample: n-grams of at most per_language texts a language
     rows = fitted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    held = sample.filter("calibrates").select("lang", "text").collect()
     if not rows.num_rows:
         return KneserNey([])
     langs, grams = np.array(rows["lang"].to_pylist()), rows["gram"].to_pylist()
@@ -246,9 +247,17 @@ def train(docs: DataFrame, learn: Column, per_language: int = 1500) -> KneserNey
     counts = np.zeros((len(listed), len(languages)))
     counts[[line[g] for g in grams], column] = rows["n"].to_numpy()
     model = KneserNey.fit(listed, counts, [str(x) for x in languages])
-    checked = [(letters_only(r["text"]), r["lang"]) for r in held if r["lang"] in model.languages]
-    checked = [x for x in checked if x[0]]
-    model.calibrate([t for t, _ in checked], [lang for _, lang in checked])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 300):
+                part = b.slice(k, 300)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shared.value.own_entropies(part.column(1).to_pylist(), part.column(0).to_pylist())], names=["own", "entropy", "size"])
+
+    # texts are measured in tasks; three numbers a calibration text reach the driver
+    checked = sample.filter("calibrates").select("lang", "text").mapInArrow(measure, "own long, entropy double, size long").toArrow()
+    model.calibrate(*(checked[c].to_numpy() for c in ("own", "entropy", "size")))
     return model
 
 

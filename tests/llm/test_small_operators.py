@@ -4,6 +4,7 @@ import hashlib
 import math
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -317,6 +318,40 @@ def test_pu_risk_learns_from_positives_and_unlabelled_only():
     assert (clean[800:] @ w + b < 0).mean() > 0.95 and (toxic @ w + b > 0).mean() > 0.9
 
 
+@pytest.mark.parametrize(("prior", "shift"), [(0.2, 1.0), (0.7, 2.0)])
+def test_pu_fit_equals_steps_along_numeric_gradients(prior, shift):
+    rnd = np.random.default_rng(5)
+    positive, unlabelled = rnd.normal(shift, 1, (6, 2)), rnd.normal(-0.5, 1, (9, 2))
+    loss = lambda z: math.log1p(math.exp(-z))
+    dot = lambda w, x: sum(a * b for a, b in zip(w, [*x, 1.0], strict=True))
+    mean = lambda w, rows, sign: sum(loss(sign * dot(w, x)) for x in rows) / len(rows)
+    negative = lambda w: mean(w, unlabelled, -1) - prior * mean(w, positive, -1)
+    decay, steps, below = 0.02, 60, 0
+    w, m, v = np.array([0, 0, math.log(prior / (1 - prior))]), np.zeros(3), np.zeros(3)
+    for t in range(1, steps + 1):
+        over = negative(w) >= 0
+        below += not over
+        risk = (lambda u: prior * mean(u, positive, 1) + negative(u)) if over else (lambda u: -negative(u))
+        g = np.array([(risk(w + e) - risk(w - e)) / 2e-5 for e in np.eye(3) * 1e-5]) + decay * np.append(w[:2], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    got, bias = toxicity.fit_nnpu(positive, unlabelled, prior, steps=steps, decay=decay)
+    assert np.allclose([*got, bias], w, atol=1e-4) and below < steps and (below or prior > 0.5)  # the small prior takes both kinds of steps
+
+
+def test_toxicity_scores_equal_a_loop():
+    features = sorted({f for w in "you are a horrible stupid person horrid".split() for f in toxicity.word_features(w)})
+    weights = np.linspace(-3, 4, len(features))
+    model = toxicity.Classifier(features, weights, -0.5)
+    for text in ("You are horrible, HORRIBLE and stupid", "a person", "nothing known xyzzy", "", None, "horrid " * 300):
+        words = toxicity.WORDS((text or "").lower())
+        z = -0.5
+        for k, f in enumerate(features):
+            n = sum(list(toxicity.word_features(w)).count(f) for w in words)
+            z += weights[k] * min(1.0, toxicity.RATE_SCALE * n / len(words)) if n else 0
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op3_nnpu_toxicity(spark, sf).collect()}
@@ -364,6 +399,41 @@ def test_models_are_distributions():
         assert 0.9 < sum(h) < 1.0001
 
 
+def test_entropies_equal_brute_force():
+    known = {"x": ["the cat sat on the mat", "the dog and the cat", "then they sat"], "y": ["le chat est là", "la table et le chien", "été"]}
+    counts = {k: Counter((langid.PAD + t + " ")[i : i + 4] for t in texts for i in range(len(t) + 1)) for k, texts in known.items()}
+    listed = sorted(set().union(*counts.values()))
+    model = langid.KneserNey.fit(listed, np.array([[counts[k][g] for k in known] for g in listed]), list(known))
+    alphabet = len({g[-1] for g in listed}) + 1
+    tables = {}
+    for k in known:
+        tables[k] = {4: {g: c for g, c in counts[k].items() if c}}
+        for n in (3, 2, 1):
+            tables[k][n] = Counter(g[1:] for g in tables[k][n + 1])
+
+    def probability(k, gram):
+        n = len(gram)
+        if not n:
+            return 1 / alphabet
+        table = tables[k][n]
+        ones, twos = (sum(c == m for c in table.values()) for m in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones else 0.5
+        after = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        lower = probability(k, gram[1:])
+        if not after:
+            return lower
+        return max(table.get(gram, 0) - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower
+
+    texts = ["the cat", "le chat", "zebra ωμ", "tea"]
+    got = model.entropies(texts)
+    for i, t in enumerate(texts):
+        padded = langid.PAD + t + " "
+        for j, k in enumerate(known):
+            wanted = -sum(math.log(probability(k, padded[a : a + 4])) for a in range(len(t) + 1)) / (len(t) + 1)
+            assert got[i, j] == pytest.approx(wanted, abs=1e-4)
+    assert [model.predict([t])[0][0] for t in texts[:2]] == ["x", "y"]
+
+
 def test_language_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op9_kneser_ney_language(spark, sf).collect()
