@@ -1,8 +1,10 @@
 """Token ids in fixed-width bit-packed segments, with random access.
 
-A segment is one binary file image, kept as a row of a Parquet table so that
-any store Spark writes to can hold it and a lost executor's output is never
-half visible. Layout, little-endian:
+Every task writes one binary file of segments, under a name of its own, and
+returns a row for each segment: the file, where the segment starts in it, and the
+doc_ids it holds. These rows are the manifest, a Parquet table that Spark commits;
+so files of lost or repeated attempts are named nowhere and never read. Layout of a
+segment, little-endian:
 
     magic 'LBP1' | width u32 | block u32 | documents u32 | ids u64
     document ends, u64 each (ids of the segment up to and with it)
@@ -10,11 +12,14 @@ half visible. Layout, little-endian:
     body: every block holds up to `block` ids of `width` bits, padded to a byte
 
 `width` is the least that holds the vocabulary's largest id. A block is a whole
-number of bytes, so any id range is read by unpacking its blocks alone.
+number of bytes, so any id range is read from storage by its blocks alone.
 
 Defined results: null text is the end id alone; repeated rows are repeated; an
-empty table gives no segments and an empty result. A null doc_id sorts first.
-Extra columns are not carried.
+empty table gives no segments and an empty result. A null doc_id sorts first;
+rows that share a doc_id stand in order of a hash of their texts, and may lie in
+several files. Extra columns are not carried.
+
+The folder must be one that all tasks can open through pyarrow's file systems.
 """
 
 from __future__ import annotations
@@ -23,21 +28,25 @@ import json
 import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise
+from loomline.sources.scratch import shared_folder
 
 MAGIC = b"LBP1"
 HEAD = struct.Struct("<4sIIIQ")
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20
+#: Segments that a task reads, about 2 MB each.
+READ_SEGMENTS = 16
 CACHE_WORDS = 1_000_000
 
 
@@ -83,17 +92,17 @@ def write_segment(documents: list[np.ndarray], width: int, block: int = BLOCK) -
 
 
 class Segment:
-    """Reads a file image; ids(start, stop) touches only the blocks of that range."""
+    """Reads a segment of an open file from byte `at` on; ids(start, stop) reads and unpacks only the blocks of that range."""
 
-    def __init__(self, raw: bytes) -> None:
-        magic, self.width, self.block, documents, self.size = HEAD.unpack_from(raw)
+    def __init__(self, file: pa.NativeFile, at: int = 0) -> None:
+        magic, self.width, self.block, documents, self.size = HEAD.unpack(file.read_at(HEAD.size, at))
         if magic != MAGIC:
             raise ValueError("not a packed segment")
-        self.raw = raw
-        self.ends = np.frombuffer(raw, "<u8", documents, HEAD.size).astype(np.int64)
-        at = HEAD.size + 8 * documents
-        self.offsets = np.frombuffer(raw, "<u8", -(-self.size // self.block), at).astype(np.int64)
-        self.body = at + 8 * len(self.offsets)
+        self.file = file
+        blocks = -(-self.size // self.block)
+        numbers = np.frombuffer(file.read_at(8 * (documents + blocks), at + HEAD.size), "<u8").astype(np.int64)
+        self.ends, self.offsets = numbers[:documents], numbers[documents:]
+        self.body = at + HEAD.size + 8 * len(numbers)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         if not 0 <= start <= stop <= self.size:
@@ -101,11 +110,10 @@ class Segment:
         if start == stop:
             return np.zeros(0, "<u4")
         first, last = start // self.block, (stop - 1) // self.block
-        out = []
-        for k in range(first, last + 1):
-            count = min(self.block, self.size - k * self.block)
-            at = self.body + int(self.offsets[k])
-            out.append(unpack(self.raw[at : at + (count * self.width + 7) // 8], self.width, count))
+        counts = [min(self.block, self.size - k * self.block) for k in range(first, last + 1)]
+        starts = (self.offsets[first : last + 1] - self.offsets[first]).tolist()
+        raw = self.file.read_at(starts[-1] + (counts[-1] * self.width + 7) // 8, self.body + int(self.offsets[first]))
+        out = [unpack(raw[at : at + (n * self.width + 7) // 8], self.width, n) for at, n in zip(starts, counts, strict=True)]
         return np.concatenate(out)[start - first * self.block : stop - first * self.block]
 
     def document(self, k: int) -> np.ndarray:
@@ -203,22 +211,42 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
-def write_packed(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int) -> DataFrame:
-    """Segments in ascending doc_id order: part, segment, doc_ids, n_ids, packed; written to the shared folder.
+def _open(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path)
+
+
+def open_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a folder that write_packed filled."""
+    return spark.read.parquet(f"{folder}/manifest")
+
 
-    Texts are dealt out by ranges of doc_id before they are encoded: they are
-    smaller than their ids, and nothing is encoded twice.
+def write_packed(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int, folder: str | None = None) -> DataFrame:
+    """Writes segments in ascending doc_id order and returns their manifest: part, segment, file, at, n_ids, doc_ids.
+
+    Without a folder, a new one in the shared folder is taken. Texts are dealt out
+    by ranges of doc_id before they are encoded: they are smaller than their ids,
+    and nothing is encoded twice.
     """
     width = bits_for(vocabulary)
+    folder = folder or f"{shared_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         held: list[np.ndarray] = []
         size = segment = 0
-
-        def image() -> pa.RecordBatch:
-            columns = [pa.array([segment], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([write_segment(held, width)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["segment", "doc_ids", "n_ids", "packed"])
+        out = None
+        name = f"{folder}/segments/{uuid.uuid4().hex}.bin"
+
+        def put() -> pa.RecordBatch:
+            nonlocal out
+            if out is None:
+                files, path = _open(name)
+                files.create_dir(path.rpartition("/")[0])
+                out = files.open_output_stream(path)
+            at = out.tell()
+            out.write(write_segment(held, width))
+            columns = [pa.array([segment], pa.int64()), pa.array([name]), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([keys], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["segment", "file", "at", "n_ids", "doc_ids"])
 
         for some, encoded in _encoded(batches, tokenizer_path, end_id):
             for key, ids in zip(some, encoded, strict=True):
@@ -226,56 +254,68 @@ def write_packed(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id:
                 held.append(np.frombuffer(ids, "<u4"))
                 size += len(held[-1])
                 if size >= SEGMENT_IDS:
-                    yield image()
+                    yield put()
                     keys, held, size, segment = [], [], 0, segment + 1
-        if keys:
-            yield image()
+        last = [put()] if keys else []
+        if out is not None:
+            out.close()
+        yield from last
 
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
-    return materialise(ordered.mapInArrow(gather, "segment long, doc_ids array<long>, n_ids long, packed binary").withColumn("part", F.spark_partition_id()))
+    # rows that share an id are spread by their texts, equal ones by where they were read
+    order = [F.col("doc_id"), F.xxhash64("raw").alias("mix"), F.monotonically_increasing_id().alias("row")]
+    ordered = slim.select(*order, "raw").repartitionByRange("doc_id", "mix", "row").sortWithinPartitions("doc_id", "mix", "row").select("doc_id", "raw")
+    packed = ordered.mapInArrow(gather, "segment long, file string, at long, n_ids long, doc_ids array<long>")
+    packed.withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/manifest")
+    return open_packed(docs.sparkSession, folder)
 
 
-def read_packed(segments: DataFrame) -> DataFrame:
+def read_packed(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the packed files."""
     # one row per part (a range partition), whatever the input's size
-    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    totals = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = segments.select("part", "segment", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    sizes = manifest.select("part", "segment", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
     starts = sizes.join(F.broadcast(parts), "part").select("part", "segment", (F.col("part_start") + F.col("before")).alias("segment_start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, number, keys, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                s = Segment(raw)
-                ids = s.ids(0, s.size).astype("<u4")
+            for row in b.to_pylist():
+                files, path = _open(row["file"])
+                with files.open_input_file(path) as file:
+                    s = Segment(file, row["at"])
+                    ids = s.ids(0, s.size).astype("<u4")
                 at = np.concatenate([[0], s.ends])
-                crcs = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-                n = len(keys)
-                columns = [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(keys, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                crcs = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+                n = len(crcs)
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["segment_start"] + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "segment"])
 
-    names = ["part", "segment", "doc_id", "local_start", "n_tokens", "ids_crc32"]
-    read_rows = segments.select("part", "segment", "doc_ids", "packed").mapInArrow(read, "part int, segment long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
-    joined = read_rows.join(starts, ["part", "segment"])
-    return joined.select("doc_id", (F.col("segment_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "part", "segment")
+    # the manifest is small beside the files it names: its rows are dealt out by number, not by size
+    tasks = max(1, -(-manifest.count() // READ_SEGMENTS))
+    dealt = manifest.join(starts, ["part", "segment"]).select("part", "segment", "file", "at", "doc_ids", "segment_start").repartition(tasks, "part", "segment")
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, segment long")
 
 
-def read_documents(segments: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids (uint32) of some documents: the segments that hold none of them are left out, and of the others only those documents' blocks are unpacked."""
+def read_documents(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (uint32) of some documents; of the files only those documents' blocks are read."""
     wanted = sorted(set(doc_ids))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = set(wanted)
         for b in batches:
-            for keys, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                s = Segment(raw)
-                found = [k for k, key in enumerate(keys) if key in set(wanted)]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.int64()), pa.array([s.document(k).tobytes() for k in found], pa.binary())], names=["doc_id", "ids"])
-
-    holding = segments.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(i)).cast("long") for i in wanted])))
-    return holding.select("doc_ids", "packed").mapInArrow(read, "doc_id long, ids binary")
+            for row in b.to_pylist():
+                files, path = _open(row["file"])
+                found = [k for k, key in enumerate(row["doc_ids"]) if key in sought]
+                with files.open_input_file(path) as file:
+                    s = Segment(file, row["at"])
+                    ids = [s.document(k).tobytes() for k in found]
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in found], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    holding = manifest.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(i)).cast("long") for i in wanted])))
+    return holding.select("file", "at", "doc_ids").mapInArrow(read, "doc_id long, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = 1) -> DataFrame:

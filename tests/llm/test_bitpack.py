@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -39,7 +40,7 @@ def test_round_trip_and_random_access(vocabulary):
     rnd = np.random.default_rng(vocabulary % 97)
     width = bitpack.bits_for(vocabulary)
     docs = [rnd.integers(0, vocabulary, n).astype("<u4") for n in (0, 1, 77, 5000, 0, 4096, 9)]
-    s = bitpack.Segment(bitpack.write_segment(docs, width, 256))
+    s = bitpack.Segment(pa.BufferReader(b"before" + bitpack.write_segment(docs, width, 256)), 6)
     flat = np.concatenate(docs)
     assert s.width == width and (s.ids(0, s.size) == flat).all()
     for k, d in enumerate(docs):
@@ -79,3 +80,46 @@ def test_documents_are_read_from_storage_by_id(spark, odd_docs):
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bitpack.read_documents(stored, [*some, -5]).collect()}
     assert got == {k: [*t.encode(texts[k] or "", add_special_tokens=False).ids, 1] for k in some}
     assert bitpack.read_documents(bitpack.write_packed(odd_docs, PATH, 49408, 1), [5]).count() == 2
+
+
+class Watched:
+    """An open file that notes how many bytes were asked of it."""
+
+    def __init__(self, file):
+        self.file, self.asked = file, 0
+
+    def read_at(self, size, at):
+        self.asked += size
+        return self.file.read_at(size, at)
+
+
+def test_files_are_read_by_block(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = bitpack.write_packed(docs, PATH, 49408, 1, f"file://{tmp_path}/ids")
+    assert bitpack.open_packed(spark, f"file://{tmp_path}/ids").count() == whole.count() > 0
+    named = {r["file"].removeprefix("file://") for r in whole.collect()}
+    assert named == {str(p) for p in (tmp_path / "ids/segments").iterdir()}
+    row = max(whole.collect(), key=lambda r: r["n_ids"])
+    with pa.OSFile(row["file"].removeprefix("file://")) as file:
+        s = bitpack.Segment(Watched(file), row["at"])
+        s.file.asked = 0
+        middle = s.size // 2
+        s.ids(middle, middle + 1)
+        assert s.file.asked == bitpack.BLOCK * 2 < 2 * s.size
+    # a file that no manifest names, as a lost attempt leaves behind, changes nothing
+    (tmp_path / "ids/segments/lost.bin").write_bytes(b"half")
+    assert bitpack.read_packed(whole).count() == docs.count()
+
+
+def test_one_id_of_many_rows_lies_in_several_files(spark):
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "concat('word ', id % 1000) AS text").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stored = bitpack.write_packed(docs, PATH, 49408, 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert stored.select("file").distinct().count() > 1
+    got = [r for r in bitpack.read_packed(stored).orderBy("start").collect()]
+    ends = [r["start"] + r["n_tokens"] for r in got]
+    assert len(got) == 4000 and [r["start"] for r in got] == [0, *ends[:-1]]
