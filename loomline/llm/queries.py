@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bitpack, bpe, jaccard, langid, line_frequency, media, packing, sharding, toxicity, warc
+from loomline.llm import alignment, bitpack, bpe, fim, jaccard, langid, line_frequency, media, packing, sharding, token_counts, toxicity, warc
 from loomline.llm.common import documents
 
 #: The end mark of the word vocabulary.
 WORD_END_ID = 1
+#: A document of more tokens is over the limit of op11.
+TOKEN_LIMIT = 512
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(jaccard.with_clusters(docs, "_cluster"), cluster="_cluster")
 
 
+def op11_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform_digests(documents(spark, sf_dir))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_prefix_bpe": op2_prefix_bpe,
@@ -79,5 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bit_packed_ids": op8_bit_packed_ids,
     "op9_kneser_ney_language": op9_kneser_ney_language,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_token_counts": op11_prefix_token_counts,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_frequency": line_frequency.ORACLE, "op5_revisit_resolution": warc.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_line_frequency": line_frequency.ORACLE, "op5_revisit_resolution": warc.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE, "op12_fill_in_middle": fim.ORACLE}
