@@ -45,6 +45,12 @@ def with_metadata(page: DataFrame, metadata: DataFrame) -> DataFrame:
     return page.join(metadata, ["project_dir", "session_id"], "left")
 
 
+def first_of_projects(files: DataFrame) -> DataFrame:
+    """Of each project outside scratch directories the file of its first session."""
+    first = F.min_by(F.struct(*[c for c in files.columns if c != "project_dir"]), "session_id")
+    return files.filter(~is_temp_path(F.col("project_dir"))).groupBy("project_dir").agg(first.alias("f")).select("project_dir", "f.*")
+
+
 def session_projects(files: DataFrame, analyzed: DataFrame, metadata: DataFrame) -> DataFrame:
     """Projects outside scratch directories: sessions, analyzed sessions, and the cwd of one of them."""
     kept = files.filter(~is_temp_path(F.col("project_dir")))

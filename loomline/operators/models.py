@@ -1,4 +1,4 @@
-"""Model-backed steps. Models are injected callables; the stand-ins are deterministic rules for tests, not equivalents.
+"""Model-backed steps. Models are injected callables.
 
 A model gets a list of dicts and answers with a list of dicts. Failures stay
 inside the episode, batch or run they happen in.
@@ -6,6 +6,7 @@ inside the episode, batch or run they happen in.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -46,6 +47,11 @@ def _among(x: object, known: Iterable) -> bool:
     return isinstance(x, (str, int)) and not isinstance(x, bool) and x in known
 
 
+def _number(x: object) -> bool:
+    """Whether x is a finite number; true and false are none."""
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+
+
 def _text(x: object) -> str | None:
     return x if isinstance(x, str) else None
 
@@ -90,9 +96,11 @@ def score_candidates(batched: DataFrame, model: Model) -> DataFrame:
             kept = []
             for a in answer:
                 score, effort, at = a["significance_score"], a["effort_class"], a["index"]
-                if effort not in EFFORT_CLASSES or isinstance(score, bool) or not isinstance(score, (int, float)) or not 0 <= at < len(group):
+                if effort not in EFFORT_CLASSES or not _number(score) or type(at) is not int or not 0 <= at < len(group):
                     return empty
                 kept.append((at, float(score), effort))
+            if len({k[0] for k in kept}) < len(kept):
+                return empty
         except Exception:  # noqa: BLE001  a failed batch yields nothing
             return empty
         out = group.iloc[[k[0] for k in kept]].copy()
@@ -172,33 +180,3 @@ def mapped(rows: DataFrame, function: Callable[[dict], dict | None], schema: str
                 yield pa.RecordBatch.from_pylist(answers)
 
     return rows.coalesce(concurrency).mapInArrow(run, schema)
-
-
-# Deterministic stand-ins
-
-
-def stand_in_extractor(lines: list[dict]) -> list[dict]:
-    """One candidate per long user line, its category by the line's length."""
-    return [{"category": CATEGORIES[len(x["text"]) % len(CATEGORIES)], "text": x["text"][:120], "evidence_ref": f"line {x['line_number']}", "evidence_snippet": x["text"][:40]} for x in lines if x["type"] == "user" and len(x["text"]) >= 20]
-
-
-def stand_in_scorer(candidates: list[dict]) -> list[dict]:
-    return [{"index": i, "significance_score": 1 + len(c["text"]) % 5, "effort_class": EFFORT_CLASSES[len(c["text"]) % 3]} for i, c in enumerate(candidates)]
-
-
-def stand_in_classifier(pairs: list[dict]) -> list[dict]:
-    def one(p: dict) -> dict:
-        if p["directive_hint"]:
-            return {"classification": "directive", "directive_necessary": bool(p["agent_asked_question"]), "reason": "instructed a command"}
-        return {"classification": "corrective" if "wrong" in p["human_turn_text"].lower() else "deliberative", "directive_necessary": None, "reason": "by rule"}
-
-    return [{"human_line_number": p["human_line_number"], **one(p)} for p in pairs]
-
-
-def stand_in_embedder(texts: list[str]) -> list[list[float] | None]:
-    """Letter counts."""
-    return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] if t else None for t in texts]
-
-
-def stand_in_deriver(items: list[dict]) -> list[dict]:
-    return [{"insight_type": "pattern", "text": f"{len(items)} work items", "evidence_insight_ids": [i["id"] for i in items]}]

@@ -1,4 +1,4 @@
-"""The write path: new lines to episodes, insights and turns, in one commit, or day by day if that fails."""
+"""The write path: new lines to episodes, insights and turns, in one commit; what fails is narrowed down to its sessions and days."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from loomline.operators import models, sessionize, similarity, turns
 from loomline.operators.scope import day_cutoff
 from loomline.sources.config import Config
 from loomline.sources.scratch import written
-from loomline.sources.store import Store, with_ids
-from loomline.sources.transcripts import scan_new_lines
+from loomline.sources.store import Store, pack_vector, with_ids
+from loomline.sources.transcripts import cursors, scan_new_lines, unknown_types
 
 SESSION = ["project_dir", "session_id"]
 KEYS = [*SESSION, "date", "part", "piece"]
@@ -24,10 +24,12 @@ KEYS = [*SESSION, "date", "part", "piece"]
 
 @dataclass
 class Models:
-    extractor: models.Model = models.stand_in_extractor
-    scorer: models.Model = models.stand_in_scorer
-    classifier: models.Model = models.stand_in_classifier
-    embedder: Callable | None = models.stand_in_embedder
+    """The models of a run; without an embedder nothing is linked to earlier insights, without a deriver none are derived."""
+
+    extractor: models.Model
+    scorer: models.Model
+    classifier: models.Model
+    embedder: Callable | None = None
     deriver: models.Model | None = None
 
 
@@ -47,59 +49,94 @@ def analyze(store: Store, root: str, now: datetime, config: Config = Config(), u
     """Analyzes what is new under root and commits it.
 
     Episodes, insights, vectors, turns and cursors become visible together or not
-    at all. Usually one commit holds the whole run. If it fails, each day is tried
-    in a commit of its own, in order: the sessions of a day that fails keep their
-    cursor before it and are read again by the next run, changed or not; all
-    others go on. A dry run stops before the models. Rows whose episode is unknown
-    cannot arise: all hang on episodes of the same run. With `spot_checks`, a folder,
-    a sample of the turns is added to the texts there.
+    at all. Usually one commit holds the whole run. If it fails, the sessions are
+    halved by a hash until what fails is one session; all others are committed. That
+    session is then tried day by day, in order, and stops at the day that fails. Its
+    cursor tells exactly which lines are done, so the next run reads those of that day
+    and of later ones, changed or not, and no line twice. A dry run stops before the
+    models. Rows whose episode is unknown cannot arise: all hang on episodes of the
+    same run. With `spot_checks`, a folder, a sample of the turns is added to the texts
+    there. Lines of an unknown type are warned of.
     """
-    use, label = use or Models(), label or run_label(now)
+    if use is None and not dry_run:
+        raise ValueError("an analysis needs models")
+    label = label or run_label(now)
     stamp = now.strftime("%Y-%m-%dT%H:%M:%S.000Z")
-    new, seen = scan_new_lines(store.spark, root, store.read("sessions"), stamp, force, project, session)
-    seen = written(seen)
-    pieces, found = sessionize.chunk(sessionize.prepare_lines(new, config.timezone), config.idle_gap_minutes)
+    scan = scan_new_lines(store.spark, root, store.read("sessions"), stamp, force, project, session)
+    for row in unknown_types(scan.lines).groupBy("type").agg(F.sum("n_lines").alias("n")).orderBy("type").limit(20).collect():
+        logging.warning("%s lines of the unknown type %s were passed over", row["n"], row["type"])
+    pieces, found = sessionize.chunk(sessionize.prepare_lines(scan.new, config.timezone), config.idle_gap_minutes)
     last = store.read("episodes").agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     found = written(with_ids(found, last, *KEYS).withColumn("label", F.lit(label)))
     dates = [r["date"] for r in found.select("date").distinct().orderBy("date").collect()]
-    n_sessions, n_episodes = seen.count(), found.count()
+    n_sessions, n_episodes = scan.seen.count(), found.count()
     if dry_run:
         return Summary(n_sessions, n_episodes, 0, dates, label)
     lines = written(turns.classify_lines(pieces).drop("raw").join(found.select(F.col("id").alias("episode_id"), *KEYS), KEYS))
-    ends = seen.select(*SESSION, F.col("max_line").alias("last_line")).withColumn("last_run_at", F.lit(stamp))
-    n_insights, n_failed = 0, 0
-    try:
-        n_insights = _commit(store, found, lines, ends, use, config, now, stamp, label, spot_checks)
-    except Exception:  # noqa: BLE001  days are tried alone
-        logging.exception("a run failed as a whole and is tried day by day")
-        failed = written(found.select(*SESSION).limit(0))
-        for day in dates:
-            part = written(found.filter(F.col("date") == day).join(failed, SESSION, "left_anti"))
-            # without a time of its last run a session is read again from its cursor on
-            reached = part.groupBy(*SESSION).agg(F.max("end_line").alias("last_line")).withColumn("last_run_at", F.lit(None).cast("string"))
+    marks = sessionize.prepare_lines(scan.lines.join(scan.seen.select(*SESSION), SESSION, "left_semi"), config.timezone)
+    # a line that ends with the file and can't be read may have been cut off: it is read again
+    cut_off = ~F.col("closed") & (F.col("status") == "malformed")
+    waits = (F.col("status") == "kept") & ~F.col("done") & F.col("date").isNotNull()
+    marks = written(marks.select(*SESSION, "line_number", "at", "next_at", "closed", "done", cut_off.alias("cut_off"), F.when(waits, F.col("date")).alias("day")))
+    run = _Run(store, use, config, now, stamp, label, spot_checks, found, lines, marks)
+    run.settle(written(scan.seen.select(*SESSION)))
+    return Summary(n_sessions - run.failed, n_episodes, run.insights, dates, label, run.failed)
+
+
+class _Run:
+    """A run past its scan: commits sessions, all of them or those that can be."""
+
+    def __init__(self, store: Store, use: Models, config: Config, now: datetime, stamp: str, label: str, spot_checks: str | None, found: DataFrame, lines: DataFrame, marks: DataFrame) -> None:
+        self.store, self.use, self.config, self.now, self.stamp, self.label, self.spot_checks = store, use, config, now, stamp, label, spot_checks
+        self.found, self.lines, self.marks = found, lines, marks
+        self.insights = self.failed = 0
+
+    def settle(self, sessions: DataFrame, bit: int = 0) -> None:
+        """Commits these sessions, or halves of them down to the ones that fail."""
+        try:
+            self._commit(sessions, None)
+        except Exception:  # noqa: BLE001  the failure is narrowed down
+            n = sessions.count()
+            logging.exception("%s sessions failed together", n)
+            if n > 1:
+                side = F.shiftright(F.xxhash64(*SESSION), bit).bitwiseAND(F.lit(1)) == 1
+                for half in (written(sessions.filter(side)), written(sessions.filter(~side))):
+                    if not half.isEmpty():
+                        self.settle(half, bit + 1)
+            elif n:
+                self._by_days(sessions)
+
+    def _by_days(self, session: DataFrame) -> None:
+        """One session's days in order, each in a commit of its own, up to the one that fails."""
+        days = [r["date"] for r in self.found.join(session, SESSION, "left_semi").select("date").distinct().orderBy("date").collect()]
+        for k, day in enumerate(days):
             try:
-                n_insights += _commit(store, part, lines.join(part.select(F.col("id").alias("episode_id")), "episode_id", "left_semi"), reached, use, config, now, stamp, label, spot_checks)
-            except Exception:  # noqa: BLE001  its sessions stop here
+                self._commit(session, days[: k + 1])
+            except Exception:  # noqa: BLE001  the session stops here
                 logging.exception("%s failed", day)
-                failed = written(failed.unionByName(part.select(*SESSION).distinct()))
-        store.commit({"sessions": store.upsert_cursors(ends.join(failed, SESSION, "left_anti"))})
-        n_failed = failed.count()
-    return Summary(n_sessions - n_failed, n_episodes, n_insights, dates, label, n_failed)
-
-
-def _commit(store: Store, found: DataFrame, lines: DataFrame, cursors: DataFrame, use: Models, config: Config, now: datetime, stamp: str, label: str, spot_checks: str | None) -> int:
-    """K3: one commit of episodes and what comes of their lines; how many insights."""
-    insights, vectors = _insights(store, lines, found.select(F.col("id").alias("episode_id"), *KEYS), use, config, now, stamp)
-    pairs = turns.turn_pairs(lines, ["episode_id"])
-    engaged = written(store.next_ids("engagement_turns", models.classify_turns(pairs, use.classifier).withColumn("created_at", F.lit(stamp)), "episode_id", "human_line_number"))
-    n = insights.count()
-    store.commit({"sessions": store.upsert_cursors(cursors)}, {"episodes": found, "insights": insights, "insight_embeddings": vectors, "engagement_turns": engaged})
-    try:
-        if spot_checks:
-            turns.append_spot_checks(turns.spot_check_sample(pairs, engaged), spot_checks, label, stamp)
-    except Exception:  # noqa: BLE001  what is committed stays, also without its sample
-        logging.exception("no sample was written to %s", spot_checks)
-    return n
+                self.failed += 1
+                return
+
+    def _commit(self, sessions: DataFrame, days: list[str] | None) -> None:
+        """K3: one commit of these sessions' episodes and of what comes of their lines; with `days`, of the last of these days, the others being done."""
+        store, some = self.store, self.found.join(sessions, SESSION, "left_semi")
+        some = written(some if days is None else some.filter(F.col("date") == days[-1]))
+        lines = self.lines.join(some.select(F.col("id").alias("episode_id")), "episode_id", "left_semi")
+        waiting = F.lit(False) if days is None else F.coalesce(~F.col("day").isin(days), F.lit(False))
+        marks = self.marks.join(sessions, SESSION, "left_semi").withColumn("done", ~F.col("cut_off") & ~waiting)
+        whole = days is None or self.marks.join(sessions, SESSION, "left_semi").filter(waiting).isEmpty()
+        stands = written(cursors(marks, self.stamp if whole else None))
+        insights, vectors = _insights(store, lines, some.select(F.col("id").alias("episode_id"), *KEYS), self.use, self.config, self.now, self.stamp)
+        pairs = turns.turn_pairs(lines, ["episode_id"])
+        engaged = written(store.next_ids("engagement_turns", models.classify_turns(pairs, self.use.classifier).withColumn("created_at", F.lit(self.stamp)), "episode_id", "human_line_number"))
+        n = insights.count()
+        store.commit({}, {"sessions": stands, "episodes": some, "insights": insights, "insight_embeddings": vectors, "engagement_turns": engaged})
+        self.insights += n
+        try:
+            if self.spot_checks:
+                turns.append_spot_checks(turns.spot_check_sample(pairs, engaged), self.spot_checks, self.label, self.stamp)
+        except Exception:  # noqa: BLE001  what is committed stays, also without its sample
+            logging.exception("no sample was written to %s", self.spot_checks)
 
 
 def _insights(store: Store, lines: DataFrame, ids: DataFrame, use: Models, config: Config, now: datetime, stamp: str) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +154,7 @@ def _insights(store: Store, lines: DataFrame, ids: DataFrame, use: Models, confi
     past = old.join(store.read("insight_embeddings").select(F.col("insight_id").alias("past_id"), "embedding"), "past_id")
     linked = similarity.apply_recurrence(placed, past, "batch_day", config.dedupe_threshold, config.recurrence_threshold, use.embedder is not None)
     linked = written(linked.withColumn("created_at", F.lit(stamp)).withColumn("verified_by_git", F.lit(None).cast("boolean")))
-    vectors = linked.filter("embedding IS NOT NULL").select(F.col("id").alias("insight_id"), F.transform("embedding", lambda x: x.cast("float")).alias("embedding"), F.lit("injected").alias("model"), "created_at")
+    vectors = linked.filter("embedding IS NOT NULL").select(F.col("id").alias("insight_id"), pack_vector("embedding").alias("embedding"), F.lit("injected").alias("model"), "created_at")
     return linked, vectors
 
 

@@ -41,7 +41,7 @@ ENDPOINTS: dict[str, Callable[[Tables, Mapping[str, str], str], DataFrame]] = {
     "sessions": lambda t, p, now: insights.sessions(*_ie(t), p.get("project")),
     "session-runs": lambda t, p, now: insights.session_runs(*_ie(t), t["derived_insights"], *_need(p, "project", "session")),
     "derived-insights": lambda t, p, now: insights.derived_of_run(t["derived_insights"], *_need(p, "project", "session"), p.get("label")),
-    "session-projects": lambda t, p, now: listing.session_projects(t["files"], insights.sessions(*_ie(t)), t["metadata"]),
+    "session-projects": lambda t, p, now: listing.session_projects(t["files"], insights.sessions(*_ie(t)), _metadata(listing.first_of_projects(t["files"]))),
     "sessions-all": lambda t, p, now: sessions_page(t, p)[0],
     "jobs": lambda t, p, now: t["jobs"].filter(F.col("id") == _need(p, "id")[0]),
 }
@@ -49,6 +49,10 @@ ENDPOINTS: dict[str, Callable[[Tables, Mapping[str, str], str], DataFrame]] = {
 OF_FILES = ("session-projects", "sessions-all")
 
 
+def _metadata(files: DataFrame) -> DataFrame:
+    return transcripts.metadata_of(files.sparkSession, files)
+
+
 def ask(endpoint: str, tables: Tables, params: Mapping[str, str], today: str) -> DataFrame:
     if endpoint not in ENDPOINTS:
         raise KeyError(endpoint)
@@ -56,8 +60,8 @@ def ask(endpoint: str, tables: Tables, params: Mapping[str, str], today: str) ->
 
 
 def file_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of the endpoints of OF_FILES: session files and their metadata."""
-    return {"files": transcripts.list_session_files(spark, root), "metadata": transcripts.session_metadata(transcripts.all_lines(spark, root))}
+    """The table of the endpoints of OF_FILES: the session files. Metadata are read only of the files that an answer shows."""
+    return {"files": transcripts.list_session_files(spark, root)}
 
 
 def briefs(folder: str, day: str | None = None) -> list[str] | str | None:
@@ -95,7 +99,7 @@ def send(endpoint: str, store: Store, params: Mapping[str, str], now: Callable[[
 
 
 def sessions_page(tables: Tables, params: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """A page of a project's sessions and its totals. Metadata is joined before the cut only where titles decide it."""
+    """A page of a project's sessions and its totals. Metadata are read of the page's files, and of the project's only where titles decide the page."""
     (project,) = _need(params, "project")
     page, size = rq.parse_positive(params.get("page"), 1), rq.parse_positive(params.get("pageSize"), 20)
     sort_by, direction, query = params.get("sortBy") or "mtime", params.get("sortDir") or "desc", params.get("q", "")
@@ -105,6 +109,6 @@ def sessions_page(tables: Tables, params: Mapping[str, str]) -> tuple[DataFrame,
     rows = listing.session_listing(tables["files"], insights.sessions(*_ie(tables), project), project)
     first = sort_by == "title" or bool(query.strip())
     if first:
-        rows = listing.with_metadata(rows, tables["metadata"])
+        rows = listing.with_metadata(rows, _metadata(rows))
     found, totals = listing.page_of(listing.filter_listing(rows, analyzed, query), sort_by, direction == "desc", page, size)
-    return (found if first else listing.with_metadata(found, tables["metadata"])), totals
+    return (found if first else listing.with_metadata(found, _metadata(found))), totals

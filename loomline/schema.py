@@ -14,7 +14,7 @@ ENGAGEMENT_CLASSES = ("directive", "deliberative", "corrective", "acknowledgment
 NOISE_TYPES = ("attachment", "mode", "permission-mode", "queue-operation", "system", "file-history-snapshot", "file-history-delta", "ai-title")
 
 TABLES: dict[str, str] = {
-    "sessions": "project_dir string, session_id string, last_line int, last_run_at string",
+    "sessions": "project_dir string, session_id string, last_line int, last_run_at string, read_offset bigint, read_line int, islands array<struct<first:int,last:int>>",
     "episodes": "id bigint, date string, project_dir string, session_id string, start_line int, end_line int, label string",
     "insights": "id bigint, episode_id bigint, category string, text string, evidence_ref string, significance_score double, verified_by_git boolean, recurrence_of bigint, created_at string, effort_class string",
     "insight_embeddings": "insight_id bigint, embedding array<float>, model string, created_at string",

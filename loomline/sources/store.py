@@ -1,18 +1,18 @@
-"""The store: each table as immutable snapshots of Parquet, and one pointer to the current set.
+"""The transcript tables: plain Parquet tables with a column `commit`, and one table of commits.
 
-A table is a list of folders. A commit writes changed tables whole and added rows
-alone into a new snapshot folder and then replaces the pointer file by a rename,
-so that readers see all of a commit or nothing. A table that a commit leaves
-alone keeps its folders. No path that is being read is ever overwritten. The
-pointer goes through the file system of the root, as the tables do.
+A commit appends its rows to each table under a number of its own, and then one row a
+table to `commits`; rows of a number that isn't there are never read, so readers see
+all of a commit or nothing. Rows of a key that a later commit gives again are
+superseded by it. Spark does the reading, pruning by the partition column, and the
+writing. Commits are made by one driver at a time.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+import time
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,70 +21,56 @@ from loomline.schema import TABLES, conform, struct
 from loomline.sources.scratch import written
 
 TERMINAL = ("done", "failed")
-#: A table that has come to more folders than this is written anew as one by the next commit that adds to it.
-FOLDERS = 64
+#: Tables whose rows are known by a key; of each key the last commit's row counts.
+KEYS = {"sessions": ["project_dir", "session_id"], "jobs": ["id"]}
+COMMITS = "commit bigint, tab string, whole boolean"
 
 
 class Store:
-    """Opens or creates a store in a folder; commits are made by one driver at a time."""
+    """The tables in a folder; a table that was never written is empty."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._files = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-        self._files.mkdirs(self._path(""))
 
-    def _path(self, name: str):
-        return self._hadoop.Path(f"{self.root}/{name}")
-
-    def _pointer(self) -> dict[str, list[str]]:
-        if not self._files.exists(self._path("current.json")):
-            return {}
-        stream = self._files.open(self._path("current.json"))
-        try:
-            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-        return {table: [folders] if isinstance(folders, str) else folders for table, folders in found.items()}
-
-    def _point(self, pointer: Mapping[str, list[str]], name: str) -> None:
-        staged = self._path(f"current.{name}")
-        stream = self._files.create(staged, True)
+    def _rows(self, folder: str, schema) -> DataFrame:  # noqa: ANN001
         try:
-            stream.write(bytearray(json.dumps(pointer).encode()))
-        finally:
-            stream.close()
-        rename = getattr(self._hadoop, "Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        self._hadoop.FileContext.getFileContext(self._files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, self._path("current.json"), options)
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def _shown(self, table: str) -> list[int]:
+        """The commits that make up a table: from the last one that replaced it on. One number a commit."""
+        rows = self._rows("commits", COMMITS).filter(F.col("tab") == table).orderBy("commit").collect()
+        whole = max((k for k, r in enumerate(rows) if r["whole"]), default=0)
+        return [r["commit"] for r in rows[whole:]]
 
     def read(self, table: str) -> DataFrame:
         """A table as of the last commit; missing columns hold their defaults."""
-        folders = self._pointer().get(table)
-        if not folders:
+        shown = self._shown(table)
+        if not shown:
             return self.spark.createDataFrame([], struct(table))
-        return conform(self.spark.read.schema(struct(table)).parquet(*(f"{self.root}/{f}" for f in folders)), table)
+        rows = self._rows(table, struct(table).add("commit", "long")).filter(F.col("commit").isin(shown))
+        if table in KEYS:
+            last = F.max_by(F.struct(*[c for c in rows.columns if c not in KEYS[table]]), "commit").alias("last")
+            rows = rows.groupBy(*KEYS[table]).agg(last).select(*KEYS[table], "last.*")
+        return conform(rows, table)
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in TABLES}
 
     def commit(self, changed: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None) -> None:
-        """Tables of `changed` become what is given; rows of `added` come to what their tables hold, which is not written again."""
-        pointer, name = self._pointer(), uuid.uuid4().hex
-        for kind, given in (("whole", changed), ("more", added or {})):
+        """Tables of `changed` become what is given; rows of `added` come to what their tables hold, in the place of rows of their key."""
+        number, rows = time.time_ns(), []
+        for whole, given in ((True, changed), (False, added or {})):
             for table, df in given.items():
-                folder, before = f"snapshots/{name}/{table}", pointer.get(table, []) if kind == "more" else []
-                rows = conform(df, table)
-                if len(before) >= FOLDERS:
-                    rows, before = self.read(table).unionByName(rows), []
-                rows.write.parquet(f"{self.root}/{folder}")
-                pointer[table] = [*before, folder]
-        self._point(pointer, name)
-
-    def upsert_cursors(self, new: DataFrame) -> DataFrame:
-        """K1: the sessions table with the new rows in the place of old ones of their key."""
-        return upsert(self.read("sessions"), new, ["project_dir", "session_id"])
+                conform(df, table).withColumn("commit", F.lit(number)).write.mode("append").partitionBy("commit").parquet(f"{self.root}/{table}")
+                rows.append((number, table, whole))
+        # one file: it appears with its rename, and the commit with it
+        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+
+    def compact(self, table: str) -> None:
+        """Writes a table anew as the rows of one commit."""
+        self.commit({table: self.read(table)})
 
     def next_ids(self, table: str, rows: DataFrame, *order: str) -> DataFrame:
         """rows with ids that go on after the table's greatest, in an order."""
@@ -106,7 +92,7 @@ class Store:
     def put_job(self, job: Mapping[str, str | None]) -> None:
         """K6: creates a job or replaces its row; result and error are null unless given."""
         row = {k: job.get(k) for k in struct("jobs").names}
-        self.commit({"jobs": upsert(self.read("jobs"), self.spark.createDataFrame([tuple(row.values())], struct("jobs")), ["id"])})
+        self.commit({}, {"jobs": self.spark.createDataFrame([tuple(row.values())], struct("jobs"))})
 
     def job(self, job_id: str) -> dict | None:
         found = self.read("jobs").filter(F.col("id") == job_id).first()
@@ -114,18 +100,14 @@ class Store:
 
     def evict_jobs(self, before: str) -> int:
         """K7: drops finished jobs not updated since an instant; a running one stays."""
-        gone = F.col("status").isin(*TERMINAL) & (F.col("updated_at") < before)
+        gone = F.coalesce(F.col("status").isin(*TERMINAL) & (F.col("updated_at") < before), F.lit(False))
         jobs = self.read("jobs")
         n = jobs.filter(gone).count()
         if n:
-            self.commit({"jobs": jobs.filter(~F.coalesce(gone, F.lit(False)))})
+            self.commit({"jobs": jobs.filter(~gone)})
         return n
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
-
-
 def with_ids(rows: DataFrame, last: int, *order: str) -> DataFrame:
     """Consecutive ids from last + 1 on.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from loomline.functions.columns import has_block
 from loomline.schema import NOISE_TYPES
+from loomline.sources.line_ranges import read_ranges
 from loomline.sources.scratch import written
 
-FILES = "project_dir string, session_id string, path string, mtime timestamp"
+STRETCH = 100_000
+FILES = "project_dir string, session_id string, path string, mtime timestamp, file_bytes long"
 _PATH = r"([^/]+)/([^/]+)\.jsonl$"
+SESSION = ["project_dir", "session_id"]
 
 
 def _keyed(df: DataFrame, path: Column) -> DataFrame:
@@ -23,47 +26,69 @@ def _keyed(df: DataFrame, path: Column) -> DataFrame:
 
 
 def list_session_files(spark: SparkSession, root: str) -> DataFrame:
-    """project_dir, session_id, path and mtime of the session files; none for a missing root."""
+    """project_dir, session_id, path, mtime and bytes of the session files; none for a missing root."""
     try:
         found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*/*.jsonl")
     except AnalysisException:
         return spark.createDataFrame([], FILES)
-    slim = found.select("path", F.col("modificationTime").alias("mtime"))
-    return _keyed(slim, F.col("path")).select("project_dir", "session_id", "path", "mtime")
+    slim = found.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("file_bytes"))
+    return _keyed(slim, F.col("path")).select("project_dir", "session_id", "path", "mtime", "file_bytes")
 
 
 def needs_scan(files: DataFrame, sessions: DataFrame, force: bool = False) -> DataFrame:
-    """Files changed since their last run, with start_line (0 for new ones or when forced)."""
-    known = sessions.select("project_dir", "session_id", "last_line", "last_run_at")
-    joined = files.join(known, ["project_dir", "session_id"], "left")
+    """Files changed since their last run, with what is known of their lines.
+
+    start_line is the session's cursor; read_offset and read_line tell where to read
+    on (a byte, and the lines before it), and `islands` which later lines are done all
+    the same. All are from the start for new files and when forced. A session row of an
+    older version has no offset: it is read whole, its lines up to the cursor being done.
+    So is a file that has become shorter, which an append-only one never does.
+    """
+    none = F.array().cast("array<struct<first:int,last:int>>")
     if force:
-        return joined.withColumn("start_line", F.lit(0)).drop("last_line", "last_run_at")
+        return files.join(sessions.select(*SESSION), SESSION, "left").withColumns({"start_line": F.lit(0), "read_offset": F.lit(0).cast("long"), "read_line": F.lit(0), "islands": none})
+    known = sessions.select(*SESSION, "last_line", "last_run_at", "read_offset", "read_line", "islands")
+    joined = files.join(known, SESSION, "left")
     changed = F.col("last_run_at").isNull() | F.col("mtime").isNull() | (F.col("mtime") >= F.try_to_timestamp("last_run_at"))
-    return joined.filter(F.coalesce(changed, F.lit(True))).withColumn("start_line", F.coalesce("last_line", F.lit(0))).drop("last_line", "last_run_at")
+    joined = joined.filter(F.coalesce(changed, F.lit(True))).withColumn("start_line", F.coalesce("last_line", F.lit(0)))
+    usable = F.col("read_offset").isNotNull() & (F.col("read_offset") <= F.col("file_bytes"))
+    before = F.array(F.struct(F.lit(1).alias("first"), F.col("start_line").alias("last")))
+    return joined.withColumns(
+        {
+            "islands": F.when(usable, F.coalesce("islands", none)).when(F.col("start_line") > 0, F.concat(before, F.coalesce("islands", none))).otherwise(none),
+            "read_line": F.when(usable, F.coalesce("read_line", F.lit(0))).otherwise(0),
+            "read_offset": F.when(usable, F.col("read_offset")).otherwise(F.lit(0)).cast("long"),
+        }
+    ).drop("last_line", "last_run_at")
+
+
+def read_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Physical lines of files (project_dir, session_id, path, file_bytes, read_offset, read_line) from their offsets on, as a written table.
+
+    Columns: project_dir, session_id, line_number (1-based in the whole file), raw_text,
+    at and next_at (its first byte and the first one after it), closed (whether its end has been written) and fetched (bytes
+    read for it). Nothing before the offset is read and nothing past the size that the
+    listing gave, so the table is a snapshot. A line's number is its place in its range
+    and the lines of the ranges before, which are one row a range.
+    """
+    # names and sizes of the files wanted, which Spark lists on the driver anyhow
+    wanted = files.select("path", "read_offset", "file_bytes").collect()
+    lines = written(read_ranges(spark, [(r["path"], r["read_offset"], r["file_bytes"]) for r in wanted]))
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("path", "part").agg(F.count("*").alias("n"))
+    starts = counts.select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).join(files.select("path", "read_line"), "path")
+    numbered = lines.join(starts, ["path", "part"]).withColumn("line_number", (F.col("read_line") + F.col("before") + F.col("place") + 1).cast("int"))
+    return written(_keyed(numbered, F.col("path")).select(*SESSION, "line_number", "raw_text", "at", "next_at", "closed", "fetched"))
 
 
-def all_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """Every physical line of every session file, or of some of them, with its 1-based number, blank and malformed ones included.
+def all_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Every physical line of every session file with its number, blank and malformed ones included."""
+    return read_lines(spark, whole(list_session_files(spark, root)))
 
-    Files are read once, by splits, into a written snapshot: what is appended
-    afterwards is in none of its uses. Rows of a split have consecutive marks in
-    file order, so a line's number is its place there and the lines of the splits
-    before, which are one row a split.
-    """
-    none = "project_dir string, session_id string, line_number int, raw_text string"
-    wanted = [f"{root}/*/*.jsonl"] if paths is None else [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in paths]
-    if not wanted:
-        return spark.createDataFrame([], none)
-    try:
-        files = spark.read.text(wanted)
-    except AnalysisException:
-        return spark.createDataFrame([], none)
-    marked = written(files.select(F.col("value").alias("raw_text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("mark")))
-    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = marked.groupBy("path", "split").agg(F.min("mark").alias("first"), F.count("*").alias("n"))
-    starts = written(splits.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
-    numbered = marked.join(starts, ["path", "split"]).withColumn("line_number", (F.col("start") + F.col("mark") - F.col("first") + 1).cast("int"))
-    return _keyed(numbered, F.col("path")).select("project_dir", "session_id", "line_number", "raw_text")
+
+def whole(files: DataFrame) -> DataFrame:
+    """Files to be read from their start."""
+    return files.withColumns({"read_offset": F.lit(0).cast("long"), "read_line": F.lit(0)})
 
 
 def parse_lines(lines: DataFrame, as_of: str) -> DataFrame:
@@ -99,27 +124,69 @@ def max_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("project_dir", "session_id").agg(F.max("line_number").alias("max_line"))
 
 
-def scan_new_lines(spark: SparkSession, root: str, sessions: DataFrame, as_of: str, force: bool = False, project: str | None = None, session: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept lines after each session's cursor, per session max_line, start_line and how many lines).
+@dataclass
+class Scan:
+    """What a run found.
 
-    Only changed files are read, once: lines and counts come from one snapshot, so
-    that a cursor never passes a line that was not read. A session is reported if it has new kept lines, or lies past its cursor with
+    `lines`: the parsed lines of changed files from where they had not been done, with
+    `done` for those that earlier runs have committed. `new`: the kept lines among them
+    that are not done. `seen`: sessions with max_line, start_line, n_lines (new ones) and
+    bytes_read; those with new kept lines, or whose lines go on past the cursor with
     noise only, so that the cursor can follow.
     """
+
+    lines: DataFrame
+    new: DataFrame
+    seen: DataFrame
+
+
+def scan_new_lines(spark: SparkSession, root: str, sessions: DataFrame, as_of: str, force: bool = False, project: str | None = None, session: str | None = None) -> Scan:
+    """The lines of changed files that no run has done yet; of a file only what lies past its cursor's byte is read."""
     wanted = F.lit(True)
     if project is not None:
         wanted = wanted & (F.col("project_dir") == project)
     if session is not None:
         wanted = wanted & (F.col("session_id") == session)
-    files = written(needs_scan(list_session_files(spark, root).filter(wanted), sessions, force).select("project_dir", "session_id", "path", "start_line"))
-    # the names of changed files only, which Spark lists on the driver anyhow
-    lines = all_lines(spark, root, [r["path"] for r in files.select("path").collect()]).join(files.drop("path"), ["project_dir", "session_id"])
+    files = written(needs_scan(list_session_files(spark, root).filter(wanted), sessions, force))
+    lines = read_lines(spark, files).join(files.select(*SESSION, "start_line", "islands"), SESSION)
+    lines = lines.withColumn("done", F.exists("islands", lambda i: F.col("line_number").between(i["first"], i["last"]))).drop("islands")
     parsed = parse_lines(lines, as_of)
-    new = parsed.filter((F.col("status") == "kept") & (F.col("line_number") > F.col("start_line")))
-    counted = parsed.groupBy("project_dir", "session_id", "start_line").agg(
-        F.max("line_number").alias("max_line"), F.count_if((F.col("status") == "kept") & (F.col("line_number") > F.col("start_line"))).alias("n_lines")
+    fresh = (F.col("status") == "kept") & ~F.col("done")
+    counted = parsed.groupBy(*SESSION, "start_line").agg(F.max("line_number").alias("max_line"), F.count_if(fresh).alias("n_lines"), F.sum("fetched").alias("bytes_read"))
+    return Scan(parsed, parsed.filter(fresh), written(counted.filter((F.col("n_lines") > 0) | (F.col("max_line") > F.col("start_line")))))
+
+
+def cursors(lines: DataFrame, last_run_at: str | None) -> DataFrame:
+    """Where each session stands, of all of its lines from its offset on (SESSION, line_number, at, next_at, closed, done).
+
+    last_line is the last line before which all are done; read_offset and read_line lead
+    to the first one that is not done or not ended yet; islands are the runs of done lines
+    after that. Runs are found in stretches of line numbers, so that no session meets in
+    one task, and then joined where stretches meet.
+    """
+    rest = F.when(~F.col("done"), F.col("line_number"))
+    open_ = F.when(~F.col("done") | ~F.col("closed"), F.col("line_number"))
+    ends = lines.groupBy(*SESSION).agg(
+        F.coalesce(F.min(rest) - 1, F.max("line_number")).cast("int").alias("last_line"),
+        F.coalesce(F.min(open_) - 1, F.max("line_number")).cast("int").alias("read_line"),
+        F.coalesce(F.min(F.when(~F.col("done") | ~F.col("closed"), F.col("at"))), F.max("next_at")).alias("read_offset"),
     )
-    return new, counted.filter((F.col("n_lines") > 0) | (F.col("max_line") > F.col("start_line")))
+    ends = written(ends)
+    after = lines.filter("done").join(ends.select(*SESSION, "read_line"), SESSION).filter("line_number > read_line")
+    cut = after.select(*SESSION, "line_number", F.floor(F.col("line_number") / STRETCH).alias("stretch"))
+    run = F.col("line_number") - F.row_number().over(Window.partitionBy(*SESSION, "stretch").orderBy("line_number"))
+    pieces = cut.withColumn("run", run).groupBy(*SESSION, "stretch", "run").agg(F.min("line_number").alias("first"), F.max("line_number").alias("last"))
+    order = Window.partitionBy(*SESSION).orderBy("first")
+    starts = F.coalesce(F.col("first") > F.lag("last").over(order) + 1, F.lit(True)).cast("int")
+    joined = pieces.withColumn("new", starts).withColumn("island", F.sum("new").over(order)).groupBy(*SESSION, "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    islands = joined.groupBy(*SESSION).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("islands"))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    return ends.join(islands, SESSION, "left").withColumn("islands", F.coalesce("islands", none)).withColumn("last_run_at", F.lit(last_run_at).cast("string"))
+
+
+def metadata_of(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Cwd and title of these files' sessions; no other file is read."""
+    return session_metadata(read_lines(spark, whole(files)))
 
 
 def session_metadata(lines: DataFrame) -> DataFrame:

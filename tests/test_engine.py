@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ from loomline.operators.scope import Days, Scope, day_cutoff, instant_cutoff
 from loomline.plans import analyze, api, brief, library
 from loomline.plans import requests as rq
 from loomline.schema import struct
-from loomline.sources import config, store, transcripts
+from loomline.sources import config, line_ranges, store, transcripts
+from tests import stand_ins
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -291,18 +293,18 @@ def test_analyze_incrementally_and_write_a_brief(spark, tmp_path):
     root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
     now = datetime(2026, 7, 15, tzinfo=timezone.utc)
     write_session(root, "proj", "one", [agent("What now?", 1), user("Please refactor the storage layer now", 2), agent("done", 3, True), user("git push everything to origin", 4), agent("ok", 40), user("thanks", 41)])
-    dry = analyze.analyze(s, root, now, label="r1", dry_run=True)
+    dry = analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r1", dry_run=True)
     assert (dry.sessions, dry.episodes, dry.insights, s.read("episodes").count()) == (1, 2, 0, 0)
-    first = analyze.analyze(s, root, now, label="r1")
+    first = analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r1")
     assert (first.sessions, first.episodes, first.dates) == (1, 2, ["2026-07-14"]) and first.insights == 2
     assert {(r["human_line_number"], r["classification"]) for r in s.read("engagement_turns").collect()} == {(2, "deliberative"), (4, "directive"), (6, "acknowledgment")}
     assert s.read("sessions").first()["last_line"] == 6 and s.read("insight_embeddings").count() == 2
     os.utime(f"{root}/proj/one.jsonl")
     write_session(root, "proj", "one", [{"type": "system"}])
-    again = analyze.analyze(s, root, now, label="r2")
+    again = analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r2")
     assert (again.sessions, again.episodes) == (1, 0) and s.read("sessions").first()["last_line"] == 7
     write_session(root, "proj", "one", [user("Please refactor the storage layer now", 50)])
-    third = analyze.analyze(s, root, datetime(2026, 7, 16, tzinfo=timezone.utc), label="r3")
+    third = analyze.analyze(s, root, datetime(2026, 7, 16, tzinfo=timezone.utc), use=stand_ins.all_of(), label="r3")
     assert third.episodes == 1 and s.read("insights").filter("recurrence_of IS NOT NULL").count() == 1
     ids = [r["id"] for r in s.read("episodes").orderBy("id").collect()]
     assert ids == [1, 2, 3]
@@ -311,10 +313,10 @@ def test_analyze_incrementally_and_write_a_brief(spark, tmp_path):
     assert text.startswith("# Daily Brief — 2026-07-14\n\nA day.\n") and "## Effort Breakdown" in text and "also seen on 2026-07-14" in text and "## By Project" not in text
     assert brief.list_briefs(str(tmp_path / "briefs")) == ["2026-07-14"] and brief.read_brief(str(tmp_path / "briefs"), "2026-07-13") is None
     assert s.relabel_run("proj", "one", "r1", "better") == 2 and s.relabel_run("proj", "one", "r1", "x") == 0
-    assert analyze.derive_run(s, "proj", "one", "better", models.stand_in_deriver, now) == 1
+    assert analyze.derive_run(s, "proj", "one", "better", stand_ins.deriver, now) == 1
     assert api.ask("session-runs", s.tables(), {"project": "proj", "session": "one"}, "2026-07-16").filter("label = 'better'").first()["derived_count"] == 1
     files = transcripts.list_session_files(spark, root)
-    tables = {**s.tables(), "files": files, "metadata": transcripts.session_metadata(transcripts.all_lines(spark, root))}
+    tables = {**s.tables(), "files": files}
     rows, totals = api.sessions_page(tables, {"project": "proj", "q": "ONE", "analyzed": "true"})
     assert [r["session_id"] for r in rows.collect()] == ["one"] and totals.first()["total_pages"] == 1
     assert api.ask("session-projects", tables, {}, "2026-07-16").first()["analyzed_count"] == 1
@@ -538,52 +540,168 @@ def test_lines_appended_during_a_run_are_read_next_time(spark, tmp_path):
     now = datetime(2026, 7, 15, tzinfo=timezone.utc)
     seen = transcripts.scan_new_lines(spark, root, s.read("sessions"), "2026-07-15T00:00:00.000Z")
     write_session(root, "proj {a}*", "one", [user("A line that came while the models ran", 3)])
-    assert {(r["session_id"], r["max_line"]) for r in seen[1].collect()} == {("one", 2), ("two", 1)} and seen[0].count() == 3
-    real = models.stand_in_extractor
+    assert {(r["session_id"], r["max_line"]) for r in seen.seen.collect()} == {("one", 2), ("two", 1)} and seen.new.count() == 3
+    real = stand_ins.extractor
 
     def slow(items):
         if any("storage" in x["text"] for x in items):
             write_session(root, "proj {a}*", "one", [user("Another line that came during the run", 4)])
         return real(items)
 
-    first = analyze.analyze(s, root, now, use=analyze.Models(extractor=slow), label="r1")
+    first = analyze.analyze(s, root, now, use=stand_ins.all_of(extractor=slow), label="r1")
     cursor = {r["session_id"]: r["last_line"] for r in s.read("sessions").collect()}
     assert first.episodes == 2 and cursor == {"one": 3, "two": 1}
     os.utime(f"{root}/proj {{a}}*/one.jsonl", (2_000_000_000, 2_000_000_000))
-    again = analyze.analyze(s, root, now, label="r2")
+    again = analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r2")
     assert (again.sessions, again.episodes) == (1, 1) and s.read("episodes").filter("label = 'r2'").first()["start_line"] == 4
 
 
-def test_a_day_that_fails_leaves_the_others_committed(spark, tmp_path):
-    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
-    now, day = datetime(2026, 7, 18, tzinfo=timezone.utc), lambda d, text: {"type": "user", "timestamp": f"2026-07-{d}T10:00:00Z", "message": {"content": text}}
-    write_session(root, "proj", "one", [agent("What now?", 1), day(14, "Please refactor the storage layer now"), day(15, "This bad text breaks the embedder here"), day(16, "A later day of the same session here")])
-    write_session(root, "proj", "two", [day(14, "Something else to do here today"), day(16, "And something more to do after that")])
-    checks = str(tmp_path / "checks")
+def of_day(d, text):
+    return {"type": "user", "timestamp": f"2026-07-{d}T10:00:00Z", "message": {"content": text}}
+
+
+def failing_on(word):
+    """An extractor that takes the task down with it at a word."""
+
+    class Crash(BaseException):
+        pass
+
+    usual = stand_ins.extractor
+
+    def extract(lines):
+        if any(word in x["text"] for x in lines):
+            raise Crash(word)
+        return usual(lines)
+
+    return extract
 
-    def breaks(texts):
-        return [["no number"] if "bad" in t else [1.0, 2.0] for t in texts]
 
-    first = analyze.analyze(s, root, now, use=analyze.Models(embedder=breaks), label="r1", spot_checks=checks)
-    assert (first.sessions, first.failed, first.episodes, first.insights) == (1, 1, 5, 3) and first.dates == ["2026-07-14", "2026-07-15", "2026-07-16"]
-    assert {(r["session_id"], r["last_line"], r["last_run_at"] is None) for r in s.read("sessions").collect()} == {("one", 2, True), ("two", 2, False)}
-    assert sorted((r["session_id"], r["date"]) for r in s.read("episodes").collect()) == [("one", "2026-07-14"), ("two", "2026-07-14"), ("two", "2026-07-16")]
+def test_a_session_that_fails_leaves_all_others_committed(spark, tmp_path):
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    now = datetime(2026, 7, 18, tzinfo=timezone.utc)
+    write_session(root, "proj", "one", [agent("What now?", 1), of_day(14, "Please refactor the storage layer now"), of_day(15, "This bad text breaks the extractor"), of_day(16, "A later day of the same session here")])
+    for name in ("two", "three", "four", "five"):
+        write_session(root, "proj", name, [of_day(14, f"Something else to do here today {name}"), of_day(15, f"And something more to do that day {name}")])
+    checks = str(tmp_path / "checks")
+    first = analyze.analyze(s, root, now, use=stand_ins.all_of(extractor=failing_on("bad")), label="r1", spot_checks=checks)
+    assert (first.sessions, first.failed, first.episodes, first.insights) == (4, 1, 11, 9) and first.dates == ["2026-07-14", "2026-07-15", "2026-07-16"]
+    assert {(r["session_id"], r["last_line"], r["last_run_at"] is None) for r in s.read("sessions").collect()} == {("one", 2, True), *((n, 2, False) for n in ("two", "three", "four", "five"))}
+    done = sorted((r["session_id"], r["date"][-2:]) for r in s.read("episodes").collect())
+    assert done == sorted([("one", "14"), *((n, d) for n in ("two", "three", "four", "five") for d in ("14", "15"))])
     sample = "\n".join(r["value"] for r in spark.read.text(checks).collect())
     assert "### Human line 2 — deliberative\n**Agent turn:** What now?" in sample and "**Reason:** by rule" in sample and "label `r1`" in sample
-    again = analyze.analyze(s, root, now, label="r2")  # nothing changed on disk, but one session is not at its end
+    again = analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r2")  # nothing changed on disk, but one session is not at its end
     assert (again.sessions, again.failed, again.episodes) == (1, 0, 2) and s.read("sessions").filter("last_line = 4").count() == 1
-    assert s.read("episodes").count() == 5 and s.read("episodes").select("id").distinct().count() == 5
+    assert s.read("episodes").count() == 11 and s.read("episodes").select("id").distinct().count() == 11
+
+
+@pytest.mark.parametrize(
+    ("lines", "islands", "last", "missing"),
+    [
+        # lines 1 to 3 of a day that fails, line 4 of the day before
+        ([of_day(15, "This bad text breaks the extractor"), of_day(15, "second line of the failing day"), of_day(15, "third line of the failing day"), of_day(14, "the only line of the earlier day")], [(4, 4)], 0, [1, 2, 3]),
+        # a cursor that the second day would take back
+        ([of_day(15, "first line of the second day here"), of_day(15, "second line of the second day here"), of_day(16, "This bad text breaks the extractor"), of_day(14, "the only line of the earliest day")], [(4, 4)], 2, [3]),
+    ],
+)
+def test_lines_of_a_failed_day_are_found_again_and_no_others(spark, tmp_path, lines, islands, last, missing):
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    now = datetime(2026, 7, 18, tzinfo=timezone.utc)
+    write_session(root, "proj", "one", lines)
+    first = analyze.analyze(s, root, now, use=stand_ins.all_of(extractor=failing_on("bad")), label="r1")
+    row = s.read("sessions").first()
+    assert first.failed == 1 and ([tuple(i) for i in row["islands"]], row["last_line"]) == (islands, last)
+    write_session(root, "proj", "one", [of_day(17, "a line that came after the failure")])
+    found = transcripts.scan_new_lines(spark, root, s.read("sessions"), "2026-07-18T00:00:00.000Z")
+    assert sorted(r["line_number"] for r in found.new.collect()) == [*missing, 5]
+    assert analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r2").failed == 0
+    covered = sorted(n for r in s.read("episodes").collect() for n in range(r["start_line"], r["end_line"] + 1))
+    assert covered == [1, 2, 3, 4, 5]
+    row = s.read("sessions").first()
+    assert (row["last_line"], row["read_line"], row["islands"], row["read_offset"]) == (5, 5, [], os.path.getsize(f"{root}/proj/one.jsonl"))
+
+
+def test_what_an_incremental_run_reads_follows_what_was_appended(spark, tmp_path, monkeypatch):
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    now = datetime(2026, 7, 18, tzinfo=timezone.utc)
+    write_session(root, "proj", "one", [of_day(14, "Please refactor the storage layer now")])
+    small = os.path.getsize(f"{root}/proj/one.jsonl")
+    analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r1")
+    write_session(root, "proj", "one", [{"type": "system", "text": "x" * 100} for _ in range(small * 1000 // 120)])  # grown a thousandfold
+    monkeypatch.setattr(line_ranges, "RANGE_BYTES", 20_000)  # in many ranges
+    grown = analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r2")
+    size = os.path.getsize(f"{root}/proj/one.jsonl")
+    assert grown.episodes == 0 and s.read("sessions").first()["read_offset"] == size > 500 * small
+    write_session(root, "proj", "one", [of_day(15, "One line more is all that is read now")])
+    added = os.path.getsize(f"{root}/proj/one.jsonl") - size
+    found = transcripts.scan_new_lines(spark, root, s.read("sessions"), "2026-07-18T00:00:00.000Z")
+    assert found.seen.first()["bytes_read"] == added
+    assert [r["line_number"] for r in found.new.collect()] == [s.read("sessions").first()["last_line"] + 1]
+    assert analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r3").episodes == 1
+
+
+def test_lines_without_an_end(spark, tmp_path):
+    """A last line without an end counts if it can be read, and is read again if it can't; what follows has the right numbers."""
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    now = datetime(2026, 7, 18, tzinfo=timezone.utc)
+    path = f"{root}/proj/one.jsonl"
+    os.makedirs(f"{root}/proj")
+    first, second, third = (json.dumps(of_day(14, f"Please refactor the storage layer now {k}")) for k in range(3))
+
+    def grow(text):
+        with open(path, "a", encoding="utf-8", newline="") as f:
+            f.write(text)
+        return analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r").episodes, s.read("sessions").first()
+
+    episodes, row = grow(first)
+    assert episodes == 1 and (row["last_line"], row["read_line"], row["read_offset"], [tuple(i) for i in row["islands"]]) == (1, 0, 0, [(1, 1)])
+    episodes, row = grow("\r\n" + second[:20])
+    assert episodes == 0 and (row["last_line"], row["read_line"]) == (1, 1)
+    episodes, row = grow(second[20:] + "\r" + third + "\n")
+    assert episodes == 1 and (row["last_line"], row["read_line"], row["islands"]) == (3, 3, [])
+    assert sorted((r["start_line"], r["end_line"]) for r in s.read("episodes").collect()) == [(1, 1), (2, 3)]
+
+
+def test_cursors_of_older_stores_and_shortened_files(spark, tmp_path):
+    root = str(tmp_path)
+    write_session(root, "proj", "one", [of_day(14, "one"), of_day(14, "two"), of_day(14, "three")])
+    row = lambda *end: spark.createDataFrame([("proj", "one", 2, "2020-01-01T00:00:00.000Z", *end)], struct("sessions"))
+    for cursor in (row(None, None, None), row(10**9, 2, [])):
+        assert [r["line_number"] for r in transcripts.scan_new_lines(spark, root, cursor, "2026-07-18T00:00:00.000Z").new.collect()] == [3]
+        assert transcripts.scan_new_lines(spark, root, cursor, "2026-07-18T00:00:00.000Z", force=True).new.count() == 3
 
 
-def test_added_rows_come_to_their_table(spark, tmp_path, monkeypatch):
+def test_ranges_give_each_line_once():
+    rnd = random.Random(4)
+    for _ in range(500):
+        data = "".join(rnd.choices(["a", "bb", "\n", "\r", "\r\n", "ccccccc", "é"], k=rnd.randint(0, 25))).encode()
+        ends = list(np.cumsum([0, *map(len, data.splitlines(keepends=True))]).tolist())
+        first, found, wanted = rnd.choice(ends), [], []
+        at = first
+        for line in data[first:].splitlines(keepends=True):
+            wanted.append((at, at + len(line), line.rstrip(b"\r\n") if line[-1:] in b"\r\n" else line))
+            at += len(line)
+        for task in line_ranges.cut_ranges([("f", first, len(data))], rnd.randint(1, 9)):
+            for _, low, start, stop, last, _ in task.ranges:
+                found += line_ranges.lines_of_range(line_ranges._Bytes(pa.BufferReader(data)), low, start, stop, last)
+        assert found == wanted, data
+
+
+def test_added_rows_come_to_their_table(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/store")
     rows = lambda k: spark.createDataFrame([(k, f"2026-07-{k}", "p", "s", 1, 1, "")], struct("episodes"))
-    monkeypatch.setattr(store, "FOLDERS", 3)
     for k in range(11, 16):
         s.commit({}, {"episodes": rows(k)})
-    assert sorted(r["id"] for r in s.read("episodes").collect()) == list(range(11, 16)) and len(s._pointer()["episodes"]) == 2
+    rows(30).withColumn("commit", F.lit(5)).write.mode("append").partitionBy("commit").parquet(f"{tmp_path}/store/episodes")  # a commit that was never finished
+    assert sorted(r["id"] for r in s.read("episodes").collect()) == list(range(11, 16))
+    s.compact("episodes")
+    assert sorted(r["id"] for r in s.read("episodes").collect()) == list(range(11, 16)) and len(s._shown("episodes")) == 1
     s.commit({"episodes": rows(20)})
     assert [r["id"] for r in store.Store(spark, f"{tmp_path}/store").read("episodes").collect()] == [20]
+    cursor = lambda name, line: spark.createDataFrame([("p", name, line, None, 0, line, [])], struct("sessions"))
+    for name, line in (("a", 3), ("b", 4), ("a", 9)):
+        s.commit({}, {"sessions": cursor(name, line)})
+    assert sorted((r["session_id"], r["last_line"]) for r in s.read("sessions").collect()) == [("a", 9), ("b", 4)]
 
 
 def test_malformed_answers_yield_nothing(spark):
@@ -607,7 +725,7 @@ def test_what_changes_the_store(spark, tmp_path):
         api.send("sessions/analyze", s, {"project": "proj", "session": "one"}, now)
     with pytest.raises(KeyError):
         api.send("other", s, {}, now)
-    use = analyze.Models(deriver=models.stand_in_deriver)
+    use = stand_ins.all_of(deriver=stand_ins.deriver)
     done = api.send("sessions/analyze", s, {"project": "proj", "session": "one", "label": "r1"}, now, use, root, "j1")
     job = json.loads(api.ask("jobs", s.tables(), {"id": "j1"}, "2026-07-15").first()["result"])
     assert done == {"id": "j1", "status": "done"} and (job["insights"], job["derived"]) == (1, 1)
