@@ -6,17 +6,21 @@ and the sorted common keys slice both lists of ids into groups. Within a group e
 pair of tokens whose byte ranges overlap is a link; the links of a group follow from
 its ids alone and are kept for groups that have come up before.
 
-Counts of id pairs over the corpus reach each document as a product of a sparse
-matrix with a vector, block by block. A block is some documents of one task with at
-most BLOCK_LINKS links (or one longer document): its distinct pairs are rows of a
-table that is summed up by pair, joined with the sums and brought back together by
-block; documents themselves are not shuffled pair by pair. A pair that every block
+A text is encoded by stretches, each from one single space between plain characters to
+the next: there tokens of both sides begin whatever stands before (A's pattern has a
+space at the beginning of a piece only, B's pieces have theirs in front; a model with
+other pieces is given whole texts). Stretches go through the tokenizers and
+sentencepiece libraries and are kept, as most come up again. A's file is byte-level BPE
+and encodes a space and the text; B's model adds that space itself.
+
+Counts of id pairs over the corpus reach each document block by block. A block is some
+documents of one task with at most BLOCK_PLACES stretches (or one longer document): its
+distinct pairs are rows of a table that is summed up by pair, joined with the sums and
+brought back together by block, where they become scores of stretches and then of
+documents; documents themselves are not shuffled pair by pair. A pair that every block
 holds has one row a block, and as the blocks are a written table, adaptive execution
 can split it.
 
-Texts go through the tokenizers and sentencepiece libraries whole. A's file is
-byte-level BPE and encodes a space and the text; B's model adds that space itself.
-
 Defined results: a text that is null or empty, or whose tokens of either side do not
 spell a space and the text, has no tokens: its numbers are 0 and its groups are the
 empty text. Repeated rows count each; doc_id may be null or repeat, as rows are known
@@ -29,11 +33,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +47,13 @@ from pyspark.sql import functions as F
 from loomline.llm.common import materialise
 from loomline.llm.token_counts import byte_alphabet, token_bytes
 
-BLOCK_LINKS = 400_000
-#: Groups whose links a worker keeps.
-CACHE_GROUPS = 400_000
-#: Texts that go to a tokenizer at once.
-AT_ONCE = 100
+BLOCK_PLACES = 400_000
+#: Stretches that a worker keeps, by an estimate of their bytes.
+CACHE_BYTES = 200_000_000
+#: Texts whose new stretches go to a tokenizer at once.
+AT_ONCE = 200
+#: A space between characters that no rule of either side looks across.
+CUT = re.compile(r"(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
 
 
 class Sides:
@@ -69,21 +75,20 @@ class Sides:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.sizes_a = {i: len(x) for i, x in self.bytes_a.items()}
         self.sizes_b = list(map(len, self.bytes_b))
+        self.space_first = not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """The ids of A and B for each text; none where either doesn't spell the space and the text."""
-        for k in range(0, len(texts), AT_ONCE):
-            some = texts[k : k + AT_ONCE]
-            left = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-            right = self.b.encode(some, num_threads=1)
-            for t, x, b in zip(some, left, right, strict=True):
-                a, raw = x.ids, b" " + t.encode()
-                spelt = bool(t) and b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-                yield (a, b) if spelt else ([], [])
+    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """The ids of A and B for stretches, which begin with a space; None where either doesn't spell the stretch."""
+        left = self.a.encode_batch_fast(stretches, add_special_tokens=False)
+        right = self.b.encode([t[1:] for t in stretches], num_threads=1)
+        for t, x, b in zip(stretches, left, right, strict=True):
+            a, raw = x.ids, t.encode()
+            spelt = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+            yield (a, b) if spelt else None
 
 
 def common_cuts(sizes_a: list[int], sizes_b: list[int]) -> tuple[list[int], list[int]]:
@@ -108,28 +113,44 @@ def links_of_group(sizes_a: list[int], sizes_b: list[int]) -> list[tuple[int, in
 
 
 class Aligner:
-    """Groups and links of texts; what is known of a group is its text and its pairs as a << 32 | b."""
-
-    def __init__(self, sides: Sides, limit: int = CACHE_GROUPS) -> None:
-        self.sides, self.limit = sides, limit
-        self.known: dict[tuple, tuple[str, tuple[int, ...]]] = {}
-
-    def _learn(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, tuple[int, ...]]:
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        places = links_of_group([self.sides.sizes_a[i] for i in a], [self.sides.sizes_b[i] for i in b])
-        found = self.known[a, b] = (f"{','.join(map(str, a))}|{','.join(map(str, b))}", tuple(a[i] << 32 | b[j] for i, j in places))
-        return found
-
-    def align(self, a: list[int], b: list[int]) -> list[tuple[str, tuple[int, ...]]]:
-        """Of each group its text and its links."""
-        stops_a, stops_b = common_cuts(list(map(self.sides.sizes_a.__getitem__, a)), list(map(self.sides.sizes_b.__getitem__, b)))
-        known, out, i, j = self.known, [], 0, 0
-        for x, y in zip(stops_a, stops_b):
-            key = (tuple(a[i:x]), tuple(b[j:y]))
-            out.append(known.get(key) or self._learn(*key))
+    """Stretches with what is known of each: n_a, n_b, number of groups, their text, and its links as a << 32 | b; None if it can't be spelt."""
+
+    def __init__(self, sides: Sides, limit: int = CACHE_BYTES) -> None:
+        self.sides, self.limit, self.held = sides, limit, 0
+        self.known: dict[str, tuple[int, int, int, str, tuple[int, ...]] | None] = {}
+        self.older: dict[str, tuple[int, int, int, str, tuple[int, ...]] | None] = {}
+
+    def cut(self, text: str) -> list[str]:
+        """The stretches of a space and the text."""
+        if not self.sides.space_first:
+            return [" " + text]
+        return [" " + t for t in CUT.split(text)]
+
+    def align(self, a: list[int], b: list[int]) -> tuple[int, int, int, str, tuple[int, ...]]:
+        sizes_a, sizes_b = list(map(self.sides.sizes_a.__getitem__, a)), list(map(self.sides.sizes_b.__getitem__, b))
+        texts, links, i, j = [], [], 0, 0
+        for x, y in zip(*common_cuts(sizes_a, sizes_b)):
+            if x - i == 1 == y - j:
+                texts.append(f"{a[i]}|{b[j]}")
+                links.append(a[i] << 32 | b[j])
+            else:
+                texts.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+                links += [a[i + p] << 32 | b[j + q] for p, q in links_of_group(sizes_a[i:x], sizes_b[j:y])]
             i, j = x, y
-        return out
+        return len(a), len(b), len(texts), ";".join(texts), tuple(links)
+
+    def learn(self, stretches: set[str]) -> None:
+        """Makes sure that these are known. When the store is half full it becomes the older one, from which what comes up again is taken over."""
+        if self.held > self.limit // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        new = stretches.difference(self.known)
+        again = new.intersection(self.older)
+        for t in again:
+            self.known[t] = self.older[t]
+        fresh = list(new.difference(again))
+        for t, found in zip(fresh, self.sides.encode(fresh), strict=True):
+            self.known[t] = None if found is None else self.align(*found)
+        self.held += 300 * len(new) + 30 * sum(map(len, new))
 
 
 @lru_cache(maxsize=1)
@@ -138,45 +159,58 @@ def _aligner(byte_bpe: str, piece_model: str) -> Aligner:
     return Aligner(Sides(byte_bpe, piece_model))
 
 
-BLOCK = "block string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, stops binary, places binary, times binary, pairs array<long>, totals array<long>"
+BLOCK = "block string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, stops binary, places binary, link_stops binary, links binary, pairs array<long>, totals array<long>"
 
 
 def align_blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
     """Blocks of aligned documents, as a written table.
 
-    `pairs` are the block's distinct pairs and `totals` their links. Document k has the
-    entries stops[k - 1] to stops[k] of `places` (in pairs) and `times` (its links of them).
+    `pairs` are the block's distinct pairs and `totals` how many links hold them. Stretch
+    s of the block has the pairs at link_stops[s - 1] to link_stops[s] of `links`, and
+    document k the stretches at stops[k - 1] to stops[k] of `places`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_bpe, piece_model)
         rows: list[tuple] = []
-        counted: list[Counter] = []
-        size = 0
+        places: list[int] = []
+        stops: list[int] = []
+        number: dict[str, int] = {}
+        links: list[tuple[int, ...]] = []
 
         def block() -> pa.RecordBatch:
-            stops = np.cumsum([len(c) for c in counted], dtype="<i8")
-            codes = np.fromiter((p for c in counted for p in c), np.int64, int(stops[-1]))
-            times = np.fromiter((n for c in counted for n in c.values()), "<i4", int(stops[-1]))
-            pairs, places = np.unique(codes, return_inverse=True)
-            totals = np.bincount(places, times, len(pairs)).astype(np.int64)
+            link_stops = np.cumsum([len(x) for x in links], dtype="<i8")
+            codes = np.fromiter(chain.from_iterable(links), np.int64)
+            pairs, at = np.unique(codes, return_inverse=True)
+            seen = np.bincount(np.array(places, np.int64), minlength=len(links))
+            totals = np.bincount(at, np.repeat(seen, [len(x) for x in links]), len(pairs)).astype(np.int64)
             columns = [pa.array([uuid.uuid4().hex]), *[pa.array([list(c)], pa.list_(kind)) for c, kind in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()], strict=True)]]
-            columns += [pa.array([x.tobytes()], pa.binary()) for x in (stops, places.astype("<i4"), times)]
+            columns += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(stops, "<i8"), np.array(places, "<i4"), link_stops, at.astype("<i4"))]
             columns += [pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(x)) for x in (pairs, totals)]
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for b in batches:
             for k in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(k, AT_ONCE)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, (left, right) in zip(ids, aligner.sides.encode(texts), strict=True):
-                    groups = aligner.align(left, right)
-                    rows.append((doc_id, len(left), len(right), len(groups), hashlib.sha256(";".join([g for g, _ in groups]).encode()).hexdigest() if groups else ""))
-                    counted.append(Counter([p for _, pairs in groups for p in pairs]))
-                    size += len(counted[-1])
-                    if size > BLOCK_LINKS:
+                cut = [aligner.cut(t) if t else [] for t in part.column(1).to_pylist()]
+                aligner.learn(set(chain.from_iterable(cut)))
+                known = aligner.known
+                for doc_id, stretches in zip(part.column(0).to_pylist(), cut, strict=True):
+                    found = [known[t] for t in stretches]
+                    if not found or None in found:
+                        rows.append((doc_id, 0, 0, 0, ""))
+                    else:
+                        for t in stretches:
+                            if t not in number:
+                                number[t] = len(links)
+                                links.append(known[t][4])
+                        places += [number[t] for t in stretches]
+                        n_a, n_b, n_groups, texts, _ = zip(*found)
+                        rows.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(texts).encode()).hexdigest()))
+                    stops.append(len(places))
+                    if len(places) > BLOCK_PLACES:
                         yield block()
-                        rows, counted, size = [], [], 0
+                        rows, places, stops, number, links = [], [], [], {}, []
         if rows:
             yield block()
 
@@ -199,7 +233,7 @@ def scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every document of the blocks."""
     each = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
     met = each.join(counts.select("pair", "n", "best"), "pair")
-    # at most BLOCK_LINKS rows a block, or the distinct pairs of one document
+    # the distinct pairs of BLOCK_PLACES stretches, or of one document
     back = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "n", "best"))).alias("x")).select("block", F.col("x.n").alias("n"), F.col("x.best").alias("best"))
     joined = blocks.drop("pairs", "totals").join(back, "block", "left")
 
@@ -208,13 +242,14 @@ def scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
             for k in range(b.num_rows):
                 row = {name: b.column(name)[k] for name in b.schema.names}
                 number = lambda name, kind: np.frombuffer(row[name].as_py(), kind)
-                stops, places, times = number("stops", "<i8"), number("places", "<i4"), number("times", "<i4").astype(np.int64)
                 listed = lambda name: row[name].values.to_numpy(zero_copy_only=False) if row[name].is_valid else np.zeros(0, np.int64)
-                n, best = listed("n"), listed("best").astype(np.int64)
-                starts = np.concatenate([[0], stops[:-1]])
-                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], stops])]) if len(x) else np.zeros(len(starts), np.int64)
+                n, best = listed("n").astype(np.int64), listed("best").astype(np.int64)
+                stops, places, link_stops, links = number("stops", "<i8"), number("places", "<i4"), number("link_stops", "<i8"), number("links", "<i4")
+                # sums over the links of each stretch, then over the stretches of each document
+                total = lambda x, ends: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+                score = lambda x: total(total(x, link_stops)[places], stops)
                 columns = {c: row[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
-                made = {"n_links": total(times), "n_best": total(times * best[places]), "count_sum": total(times * n[places])}
+                made = {"n_links": score(np.ones(len(links), np.int64)), "n_best": score(best[links]), "count_sum": score(n[links])}
                 columns |= {c: pa.array(x.astype(np.int64)) for c, x in made.items()}
                 names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)

@@ -201,12 +201,13 @@ def aligned_by_loops(rows):
 
 def test_alignment_equals_loops(spark, odd_docs, no_docs, monkeypatch):
     rnd = random.Random(8)
-    made = ["".join(rnd.choices(BITS + ["▁", "ﬁ", "<s>", "</s>", "<unk>", "<0x41>", "\x00", " the", "ing"], k=rnd.randint(0, 10))) for _ in range(300)]
+    bits = BITS + ["▁", "ﬁ", "<s>", "</s>", "<unk>", "<0x41>", "\x00", " the", "ing", " ", " ", " (", ". ", "\xad", " é"]
+    made = ["".join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(1500)]
     docs = odd_docs.filter("doc_id IS NULL OR doc_id <> 4").select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(made, 50)), "doc_id long, text string"))
     wanted = sorted(map(repr, aligned_by_loops([(r["doc_id"], r["text"] or "") for r in docs.collect()])))
     assert sorted(repr(tuple(r)) for r in alignment.align_documents(docs, BYTE_BPE, PIECES).collect()) == wanted
     assert any("0, 0, 0, 0, 0, 0, ''" in w for w in wanted)
-    monkeypatch.setattr(alignment, "BLOCK_LINKS", 30)  # many blocks
+    monkeypatch.setattr(alignment, "BLOCK_PLACES", 30)  # many blocks
     assert sorted(repr(tuple(r)) for r in alignment.align_documents(docs.repartition(3), BYTE_BPE, PIECES).collect()) == wanted
     assert alignment.align_documents(no_docs, BYTE_BPE, PIECES).count() == 0
     with_long = {r["doc_id"]: r for r in alignment.align_documents(odd_docs, BYTE_BPE, PIECES).collect()}
