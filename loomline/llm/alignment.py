@@ -6,12 +6,14 @@ and the sorted common keys slice both lists of ids into groups. Within a group e
 pair of tokens whose byte ranges overlap is a link; the links of a group follow from
 its ids alone and are kept for groups that have come up before.
 
-A text is encoded by stretches, each from one single space between plain characters to
-the next: there tokens of both sides begin whatever stands before (A's pattern has a
-space at the beginning of a piece only, B's pieces have theirs in front; a model with
-other pieces is given whole texts). Stretches go through the tokenizers and
-sentencepiece libraries and are kept, as most come up again. A's file is byte-level BPE
-and encodes a space and the text; B's model adds that space itself.
+A text is encoded by stretches, which begin where tokens of both sides begin whatever
+stands before: with one single space between plain characters, with a line feed after
+one, or with a mark after a letter. A's pattern never joins these; that B's pieces don't
+is read off its model, and a model that has other pieces is given longer stretches.
+Stretches go through the tokenizers and sentencepiece libraries and are kept, as most
+come up again. A's file is byte-level BPE and encodes a space and the text; B's model
+adds that space itself, so a stretch that begins otherwise is given to it behind a
+letter, whose token is then left out.
 
 Counts of id pairs over the corpus reach each document block by block. A block is some
 documents of one task with at most BLOCK_PLACES stretches (or one longer document): its
@@ -30,6 +32,7 @@ carried. Spark sends at most 64 MB of texts to Python at once.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -37,7 +40,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +55,8 @@ BLOCK_PLACES = 400_000
 CACHE_BYTES = 200_000_000
 #: Texts whose new stretches go to a tokenizer at once.
 AT_ONCE = 200
-#: A space between characters that no rule of either side looks across.
-CUT = re.compile(r"(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
+#: Characters that a space or a line feed may stand beside, letters, and marks that A never joins to a letter before them.
+PLAIN, LETTER, MARKS = "[!-~¡-ɏ]", "[A-Za-zÀ-ÖØ-öø-ɏ]", ".,;:!?&$#%*"
 
 
 class Sides:
@@ -73,43 +76,59 @@ class Sides:
         special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
         self.bytes_a = {i: token_bytes(token, alphabet) for token, i in spec["model"]["vocab"].items() if i not in special} | special
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.sizes_a = {i: len(x) for i, x in self.bytes_a.items()}
+        self.sizes_a = [len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)]
         self.sizes_b = list(map(len, self.bytes_b))
-        self.space_first = not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
+        if spec.get("normalizer"):
+            raise ValueError("a side that rewrites texts doesn't spell them")
+        self.lead = self.b.piece_to_id("▁a")
+        self.cuts = self._cuts()
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """The ids of A and B for stretches, which begin with a space; None where either doesn't spell the stretch."""
+    def _cuts(self) -> re.Pattern | None:
+        """Where a text may be cut, as far as B's pieces allow it."""
+        pieces = [x.decode("utf-8", "replace") for x in self.bytes_b]
+        if any(" " in p.lstrip(" ") for p in pieces) or self.bytes_b[self.lead] != b" a":
+            return None
+        rules = [f"(?<={PLAIN})(?= {PLAIN})"]
+        if not any("\n" in p and len(p) > 1 for p in pieces):
+            rules.append(f"(?<={PLAIN})(?=\n)")
+        joined = {p[m.start() + 1] for p in pieces for m in re.finditer(f"{LETTER}[{re.escape(MARKS)}]", p)}
+        marks = "".join(c for c in MARKS if c not in joined)
+        if marks:
+            rules.append(f"(?<={LETTER})(?=[{re.escape(marks)}])")
+        return re.compile("|".join(rules))
+
+    def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """The ids of A and B for stretches; None where B doesn't spell the stretch. A, byte-level and without a normalizer, always does."""
         left = self.a.encode_batch_fast(stretches, add_special_tokens=False)
-        right = self.b.encode([t[1:] for t in stretches], num_threads=1)
+        right, spell, lead = self.b.encode([t[1:] if t[0] == " " else "a" + t for t in stretches], num_threads=1), self.bytes_b, [self.lead]
+        found = []
         for t, x, b in zip(stretches, left, right, strict=True):
-            a, raw = x.ids, t.encode()
-            spelt = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (a, b) if spelt else None
+            if t[0] != " ":
+                b = b[1:] if b[:1] == lead else []
+            found.append((x.ids, b) if b"".join([spell[i] for i in b]) == t.encode() else None)
+        return found
 
 
-def common_cuts(sizes_a: list[int], sizes_b: list[int]) -> tuple[list[int], list[int]]:
-    """For each byte offset where tokens of both sides end, in order, how many tokens of A and of B end up to it."""
-    ends_a = dict(zip(accumulate(sizes_a), range(1, len(sizes_a) + 1)))
-    ends_b = dict(zip(accumulate(sizes_b), range(1, len(sizes_b) + 1)))
-    shared = sorted(ends_a.keys() & ends_b.keys())
-    return list(map(ends_a.__getitem__, shared)), list(map(ends_b.__getitem__, shared))
+def common_cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The byte offsets where tokens of both sides end, in order, and how many tokens of A and of B end up to each."""
+    index_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
+    index_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
+    shared = sorted(index_a.keys() & index_b.keys())
+    return shared, list(map(index_a.__getitem__, shared)), list(map(index_b.__getitem__, shared))
 
 
-def links_of_group(sizes_a: list[int], sizes_b: list[int]) -> list[tuple[int, int]]:
-    """The pairs of places (in A, in B) whose byte ranges overlap, in a group that both sides cover."""
-    links, i, j, end_a, end_b = [], 0, 0, sizes_a[0], sizes_b[0]
-    while True:
-        links.append((i, j))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        i, j = i + step_a, j + step_b
-        if i == len(sizes_a) or j == len(sizes_b):
-            return links
-        end_a += sizes_a[i] * step_a
-        end_b += sizes_b[j] * step_b
+def expand_links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ends of the stretches of bytes that no token ends within, and the token of A and of B that each lies in: the links of all slices, in order."""
+    both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+
+
+Known = tuple[int, int, int, str, list[int]]
 
 
 class Aligner:
@@ -117,27 +136,36 @@ class Aligner:
 
     def __init__(self, sides: Sides, limit: int = CACHE_BYTES) -> None:
         self.sides, self.limit, self.held = sides, limit, 0
-        self.known: dict[str, tuple[int, int, int, str, tuple[int, ...]] | None] = {}
-        self.older: dict[str, tuple[int, int, int, str, tuple[int, ...]] | None] = {}
+        self.known: dict[str, Known | None] = {}
+        self.older: dict[str, Known | None] = {}
+        self.size_a, self.size_b = np.array(sides.sizes_a, np.int64), np.array(sides.sizes_b, np.int64)
+        self.names = list(map(str, range(max(len(sides.sizes_a), len(sides.sizes_b)))))
 
     def cut(self, text: str) -> list[str]:
         """The stretches of a space and the text."""
-        if not self.sides.space_first:
-            return [" " + text]
-        return [" " + t for t in CUT.split(text)]
-
-    def align(self, a: list[int], b: list[int]) -> tuple[int, int, int, str, tuple[int, ...]]:
-        sizes_a, sizes_b = list(map(self.sides.sizes_a.__getitem__, a)), list(map(self.sides.sizes_b.__getitem__, b))
-        texts, links, i, j = [], [], 0, 0
-        for x, y in zip(*common_cuts(sizes_a, sizes_b)):
-            if x - i == 1 == y - j:
-                texts.append(f"{a[i]}|{b[j]}")
-                links.append(a[i] << 32 | b[j])
-            else:
-                texts.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-                links += [a[i + p] << 32 | b[j + q] for p, q in links_of_group(sizes_a[i:x], sizes_b[j:y])]
-            i, j = x, y
-        return len(a), len(b), len(texts), ";".join(texts), tuple(links)
+        return self.sides.cuts.split(" " + text) if self.sides.cuts else [" " + text]
+
+    def align(self, encoded: list[tuple[list[int], list[int]]]) -> list[Known]:
+        """Groups and links of stretches, all of them at once: they lie one after the other, and both sides end where each ends."""
+        if not encoded:
+            return []
+        ids_a, ids_b = list(chain.from_iterable([a for a, _ in encoded])), list(chain.from_iterable([b for _, b in encoded]))
+        array_a, array_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[array_a]), np.cumsum(self.size_b[array_b])
+        shared, stops_a, stops_b = common_cuts(ends_a.tolist(), ends_b.tolist())
+        a, b = [self.names[i] for i in ids_a], [self.names[i] for i in ids_b]
+        groups = [
+            f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(a[i:x])}|{','.join(b[j:y])}"
+            for i, x, j, y in zip(chain([0], stops_a), stops_a, chain([0], stops_b), stops_b)
+        ]
+        ends, of_a, of_b = expand_links(ends_a, ends_b)
+        links = (array_a[of_a] << 32 | array_b[of_b]).tolist()
+        whole = ends_a[np.cumsum([len(x) for x, _ in encoded]) - 1]  # where each stretch ends
+        at, cut = np.searchsorted(shared, whole, "right").tolist(), np.searchsorted(ends, whole, "right").tolist()
+        return [
+            (len(x), len(y), stop - start, ";".join(groups[start:stop]), links[low:high])
+            for (x, y), start, stop, low, high in zip(encoded, chain([0], at), at, chain([0], cut), cut)
+        ]
 
     def learn(self, stretches: set[str]) -> None:
         """Makes sure that these are known. When the store is half full it becomes the older one, from which what comes up again is taken over."""
@@ -148,11 +176,17 @@ class Aligner:
         for t in again:
             self.known[t] = self.older[t]
         fresh = list(new.difference(again))
-        for t, found in zip(fresh, self.sides.encode(fresh), strict=True):
-            self.known[t] = None if found is None else self.align(*found)
+        encoded = self.sides.encode(fresh)
+        self.known.update(dict.fromkeys(fresh))
+        self.known.update(zip([t for t, x in zip(fresh, encoded) if x], self.align([x for x in encoded if x]), strict=True))
         self.held += 300 * len(new) + 30 * sum(map(len, new))
 
 
+def sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of x up to each end from the one before."""
+    return np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+
+
 @lru_cache(maxsize=1)
 def _aligner(byte_bpe: str, piece_model: str) -> Aligner:
     """One per Python worker, kept from task to task."""
@@ -172,20 +206,23 @@ def align_blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_bpe, piece_model)
+        gc.freeze()  # what is kept makes no cycles and need not be searched for any
+        gc.disable()
         rows: list[tuple] = []
         places: list[int] = []
         stops: list[int] = []
         number: dict[str, int] = {}
-        links: list[tuple[int, ...]] = []
+        own: list[Known] = []
 
         def block() -> pa.RecordBatch:
-            link_stops = np.cumsum([len(x) for x in links], dtype="<i8")
-            codes = np.fromiter(chain.from_iterable(links), np.int64)
+            sizes = np.array([len(x[4]) for x in own], np.int64)
+            codes = np.fromiter(chain.from_iterable([x[4] for x in own]), np.int64, int(sizes.sum()))
             pairs, at = np.unique(codes, return_inverse=True)
-            seen = np.bincount(np.array(places, np.int64), minlength=len(links))
-            totals = np.bincount(at, np.repeat(seen, [len(x) for x in links]), len(pairs)).astype(np.int64)
-            columns = [pa.array([uuid.uuid4().hex]), *[pa.array([list(c)], pa.list_(kind)) for c, kind in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()], strict=True)]]
-            columns += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(stops, "<i8"), np.array(places, "<i4"), link_stops, at.astype("<i4"))]
+            stretch, ends = np.array(places, np.int64), np.array(stops, np.int64)
+            totals = np.bincount(at, np.repeat(np.bincount(stretch, minlength=len(own)), sizes), len(pairs)).astype(np.int64)
+            numbers = [sums(np.array([x[k] for x in own], np.int64)[stretch], ends) for k in range(3)]
+            columns = [pa.array([uuid.uuid4().hex]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *[pa.array([x]) for x in numbers], pa.array([[r[1] for r in rows]])]
+            columns += [pa.array([x.tobytes()], pa.binary()) for x in (ends.astype("<i8"), stretch.astype("<i4"), np.cumsum(sizes).astype("<i8"), at.astype("<i4"))]
             columns += [pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(x)) for x in (pairs, totals)]
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
 
@@ -198,21 +235,20 @@ def align_blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
                 for doc_id, stretches in zip(part.column(0).to_pylist(), cut, strict=True):
                     found = [known[t] for t in stretches]
                     if not found or None in found:
-                        rows.append((doc_id, 0, 0, 0, ""))
+                        rows.append((doc_id, ""))
                     else:
-                        for t in stretches:
-                            if t not in number:
-                                number[t] = len(links)
-                                links.append(known[t][4])
+                        for t in set(stretches).difference(number):
+                            number[t] = len(own)
+                            own.append(known[t])
                         places += [number[t] for t in stretches]
-                        n_a, n_b, n_groups, texts, _ = zip(*found)
-                        rows.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(texts).encode()).hexdigest()))
+                        rows.append((doc_id, hashlib.sha256(";".join([x[3] for x in found]).encode()).hexdigest()))
                     stops.append(len(places))
                     if len(places) > BLOCK_PLACES:
                         yield block()
-                        rows, places, stops, number, links = [], [], [], {}, []
+                        rows, places, stops, number, own = [], [], [], {}, []
         if rows:
             yield block()
+        gc.enable()
 
     return materialise(docs.select("doc_id", "text").mapInArrow(run, BLOCK))
 
@@ -246,8 +282,7 @@ def scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
                 n, best = listed("n").astype(np.int64), listed("best").astype(np.int64)
                 stops, places, link_stops, links = number("stops", "<i8"), number("places", "<i4"), number("link_stops", "<i8"), number("links", "<i4")
                 # sums over the links of each stretch, then over the stretches of each document
-                total = lambda x, ends: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
-                score = lambda x: total(total(x, link_stops)[places], stops)
+                score = lambda x: sums(sums(x, link_stops)[places], stops)
                 columns = {c: row[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
                 made = {"n_links": score(np.ones(len(links), np.int64)), "n_best": score(best[links]), "count_sum": score(n[links])}
                 columns |= {c: pa.array(x.astype(np.int64)) for c, x in made.items()}

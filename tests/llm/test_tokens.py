@@ -201,7 +201,7 @@ def aligned_by_loops(rows):
 
 def test_alignment_equals_loops(spark, odd_docs, no_docs, monkeypatch):
     rnd = random.Random(8)
-    bits = BITS + ["▁", "ﬁ", "<s>", "</s>", "<unk>", "<0x41>", "\x00", " the", "ing", " ", " ", " (", ". ", "\xad", " é"]
+    bits = BITS + ["▁", "ﬁ", "<s>", "</s>", "<unk>", "<0x41>", "\x00", " the", "ing", " ", " ", " (", ". ", "\xad", " é", ".", "&&", "×", "×.", "c.", "ä?", "$$$", "a\n", "Z"]
     made = ["".join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(1500)]
     docs = odd_docs.filter("doc_id IS NULL OR doc_id <> 4").select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(made, 50)), "doc_id long, text string"))
     wanted = sorted(map(repr, aligned_by_loops([(r["doc_id"], r["text"] or "") for r in docs.collect()])))
@@ -214,15 +214,18 @@ def test_alignment_equals_loops(spark, odd_docs, no_docs, monkeypatch):
     assert with_long[4]["n_a"] > 20000 and with_long[3]["groups_sha256"] == ""
 
 
-def test_links_of_a_group():
+def test_cuts_and_links_of_ends():
     rnd = random.Random(2)
     for _ in range(300):
         total = rnd.randint(1, 12)
-        cut = lambda: np.diff([0, *sorted(rnd.sample(range(1, total), rnd.randint(0, total - 1))), total]).tolist()
-        a, b = cut(), cut()
-        ends_a, ends_b = np.cumsum(a), np.cumsum(b)
-        wanted = [(i, j) for i in range(len(a)) for j in range(len(b)) if ends_a[i] - a[i] < ends_b[j] and ends_b[j] - b[j] < ends_a[i]]
-        assert sorted(alignment.links_of_group(a, b)) == wanted
+        ends = lambda: [*sorted(rnd.sample(range(1, total), rnd.randint(0, total - 1))), total]
+        a, b = ends(), ends()
+        start = lambda x, k: x[k - 1] if k else 0
+        wanted = [(i, j) for i in range(len(a)) for j in range(len(b)) if start(a, i) < b[j] and start(b, j) < a[i]]
+        _, of_a, of_b = alignment.expand_links(np.array(a), np.array(b))
+        assert list(zip(of_a.tolist(), of_b.tolist())) == wanted
+        shared, up_a, up_b = alignment.common_cuts(a, b)
+        assert shared == sorted(set(a) & set(b)) and [a[k - 1] for k in up_a] == [b[k - 1] for k in up_b] == shared
 
 
 def test_alignment_query(spark):
