@@ -45,6 +45,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, whatever the case of their letters."""
+    have = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(have) + 1)) if n.lower() not in have) for name in names]
+
+
 def let(value, body):
     """body(x) with x bound to value, which is then evaluated once a row."""
     return F.transform(F.array(value), body)[0]

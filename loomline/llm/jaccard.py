@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import bounded, materialise, record_batches
+from loomline.llm.common import bounded, materialise, record_batches, unused
 
 SHINGLE = 5
 CHUNK_BYTES = 1_000_000
@@ -453,14 +453,15 @@ def _pairs(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def with_clusters(docs: DataFrame, name: str) -> DataFrame:
-    """docs with the column `name`: a number for each component of linked documents, null where the set is empty."""
+    """docs with the column `name`: a number for each component of linked documents, null where the set is empty. Other columns stay as they are, whatever their names."""
     with record_batches(docs.sparkSession, BATCH_ROWS):
         _, nodes, labels = _components(docs)
-    named = with_sets(docs, "_set")
     if labels is None:
-        return named.withColumnRenamed("_set", name)
-    ids = bounded(labels.select(F.col("node").alias("_node"), F.col("component").alias("_component")))
-    return named.join(ids, named["_set"] == ids["_node"], "left").withColumn(name, F.coalesce("_component", "_set")).drop(*{"_set", "_node", "_component"} - {name})
+        return with_sets(docs, name)
+    own, node, component = unused(docs, "_set", "_node", "_component")
+    named = with_sets(docs, own)
+    ids = bounded(labels.select(F.col("node").alias(node), F.col("component").alias(component)))
+    return named.join(ids, named[own] == ids[node], "left").withColumn(name, F.coalesce(component, own)).drop(own, node, component)
 
 
 def with_sets(docs: DataFrame, name: str) -> DataFrame:

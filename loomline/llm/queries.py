@@ -64,8 +64,7 @@ def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    return packing.pack_documents(jaccard.with_clusters(docs, "_cluster"), cluster="_cluster")
+    return packing.pack_near_copies_apart(documents(spark, sf_dir))
 
 
 def op11_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

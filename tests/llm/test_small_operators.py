@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import struct
 import zlib
 from collections import Counter
@@ -304,8 +305,44 @@ def test_near_copies_share_no_bin(spark, odd_docs, no_docs, tmp_path):
     assert len(bins) == 30 == len(set(bins.values())) and len(clusters) == 1
     assert len({r["cluster"] for r in rows if r["doc_id"] >= 100}) == 30 and len(rows) == 63
     for docs in (odd_docs, no_docs):
-        packed = packing.pack_documents(jaccard.with_clusters(docs, "_cluster"), cluster="_cluster")
-        assert packed.filter("piece = 0").count() == docs.count()
+        for packed in (packing.pack_near_copies_apart(docs), packing.pack_documents(jaccard.with_clusters(docs.drop("_cluster"), "_cluster"), cluster="_cluster")):
+            assert packed.filter("piece = 0").count() == docs.count()
+
+
+def test_clusters_of_a_group_equal_brute_force(spark):
+    """Bins hold no two linked documents, and the clusters of each group are the components of all its pairs."""
+    rnd = random.Random(6)
+    rows = []
+    for k in range(40):
+        words = [f"v{rnd.randint(0, 5000)}" for _ in range(rnd.randint(3, 120))]
+        for c in range(rnd.randint(1, 12)):
+            changed = [w if rnd.random() > 0.02 else f"z{rnd.randint(0, 5000)}" for w in words]
+            rows.append((len(rows), " ".join(changed[: len(changed) - c % 3]), f"s{len(rows)}"))
+    rows += [(len(rows) + k, " ".join(f"long{i}" for i in range(400)), f"l{k}") for k in range(3)]
+    packed = packing.pack_near_copies_apart(spark.createDataFrame(rows, "doc_id long, text string, source string"), 150, 60).collect()
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = {i: shingles(t) for i, t, _ in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) > 0
+    by_group, by_bin = {}, {}
+    for r in packed:
+        if r["length"] < 150:
+            by_group.setdefault(r["bin"] >> 32, []).append(r)
+        by_bin.setdefault(r["bin"], []).append(r["doc_id"])
+    assert len(by_group) > 3 and not any(alike(a, b) for held in by_bin.values() for k, a in enumerate(held) for b in held[:k])
+    for held in by_group.values():
+        ids = sorted({r["doc_id"] for r in held})
+        label = {i: i for i in ids}
+        for _ in ids:
+            for a in ids:
+                for b in ids:
+                    if label[a] != label[b] and alike(a, b):
+                        label[a] = label[b] = min(label[a], label[b])
+        cluster = {r["doc_id"]: r["cluster"] for r in held}
+        assert all((cluster[a] == cluster[b]) == (label[a] == label[b]) for a in ids for b in ids)
 
 
 # toxicity
