@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import jaccard, langid, packing, toxicity
-from loomline.llm.common import bounded, documents, materialise
+from loomline.llm.common import bounded, documents, materialise, unused
 
 #: The stages train and pack; SQL can't express them. The tests hold them against brute force.
 ORACLE_SQL = None
@@ -20,13 +20,13 @@ TOXIC_FROM = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; those that no model explains, or without letters, go."""
+    """Documents of a known language; those that no model explains, or without letters, go, and so do null texts. Rows are judged one by one, so repeated ones fare alike; other columns stay, and an empty table stays empty."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     return langid.keep_identified(docs, langid.train(docs, fold != 0))
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't take for toxic."""
+    """Documents that the classifier doesn't take for toxic. Null and empty texts are scored like any other and repeated rows fare alike; other columns stay, and an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_below(docs, toxicity.train(docs, labels, toxicity.fold(F.col("doc_id"), 4) != 2), TOXIC_FROM)
 
@@ -34,24 +34,28 @@ def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id.
 
-    Rows without an id can't be told apart by one and stay; of rows that share
-    an id, those of equal text stay once, and only the linked ones go.
+    Texts that are null or without words are linked with nothing and stay. Rows without
+    an id can't be told apart by one and stay; of rows that share an id, those of equal
+    text stay once, and only the linked ones go. An empty table stays empty. Other
+    columns are kept as they are, whatever their names.
     """
-    linked = materialise(jaccard.link_components(docs, "_set"))
-    gone_sets = materialise(linked.filter("n_shingles > 0 AND doc_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("_set").alias("_gone")).distinct())
-    twice = materialise(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")))
-    among = lambda df, ids, how: df.join(bounded(ids), df["doc_id"] == ids["_id"], how)
+    row_id, own, gone_set = unused(docs, "_id", "_set", "_gone")
+    linked = materialise(jaccard.link_components(docs, "set"))
+    goes = "n_shingles > 0 AND doc_id IS NOT NULL AND NOT component_id <=> doc_id"
+    gone_sets = materialise(linked.filter(goes).select(F.col("doc_id").alias(row_id), F.col("set").alias(gone_set)).distinct())
+    twice = materialise(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(row_id)))
+    among = lambda df, ids, how: df.join(bounded(ids), df["doc_id"] == ids[row_id], how)
     if twice.isEmpty():
         return among(docs, gone_sets, "left_anti")
     # ids of several rows: an id and a set name the rows to drop; here alone the sets are computed again
-    shared = jaccard.with_sets(among(docs, twice, "left_semi"), "_set")
+    shared = jaccard.with_sets(among(docs, twice, "left_semi"), own)
     gone = bounded(gone_sets)
-    shared = shared.join(gone, (shared["doc_id"] == gone["_id"]) & (shared["_set"] == gone["_gone"]), "left_anti").drop("_set").dropDuplicates(["doc_id", "text"])
+    shared = shared.join(gone, (shared["doc_id"] == gone[row_id]) & (shared[own] == gone[gone_set]), "left_anti").drop(own).dropDuplicates(["doc_id", "text"])
     return among(among(docs, twice, "left_anti"), gone_sets, "left_anti").unionByName(shared)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing of what is left."""
+    """The packing of what is left: each row's pieces, also of null texts (one of length 0) and of rows without an id or a source; other columns are not carried, and an empty table gives none."""
     return packing.pack_documents(docs)
 
 
