@@ -16,7 +16,7 @@ adds that space itself, so a stretch that begins otherwise is given to it behind
 letter, whose token is then left out.
 
 Counts of id pairs over the corpus reach each document block by block. A block is some
-documents of one task with at most BLOCK_PLACES stretches (or one longer document): its
+documents of one task with about BLOCK_PLACES stretches: its
 distinct pairs are rows of a table that is summed up by pair, joined with the sums and
 brought back together by block, where they become scores of stretches and then of
 documents; documents themselves are not shuffled pair by pair. A pair that every block
@@ -99,7 +99,8 @@ class Sides:
         marks = "".join(c for c in MARKS if c not in joined)
         if marks:
             rules.append(f"(?<={LETTER})(?=[{re.escape(marks)}])")
-        return re.compile("|".join(rules))
+        # what stands behind is looked at only where a cut may be
+        return re.compile(f"(?=[ \n{re.escape(marks)}])(?:{'|'.join(rules)})")
 
     def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """The ids of A and B for stretches; None where B doesn't spell the stretch. A, byte-level and without a normalizer, always does."""
@@ -129,6 +130,8 @@ def expand_links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np
 
 
 Known = tuple[int, int, int, str, list[int]]
+#: In the place of stretches that B doesn't spell.
+UNSPELT: Known = (0, 0, 0, "", [])
 
 
 class Aligner:
@@ -212,7 +215,7 @@ def align_blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
         places: list[int] = []
         stops: list[int] = []
         number: dict[str, int] = {}
-        own: list[Known] = []
+        own = [UNSPELT]
 
         def block() -> pa.RecordBatch:
             sizes = np.array([len(x[4]) for x in own], np.int64)
@@ -230,22 +233,25 @@ def align_blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
             for k in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(k, AT_ONCE)
                 cut = [aligner.cut(t) if t else [] for t in part.column(1).to_pylist()]
-                aligner.learn(set(chain.from_iterable(cut)))
-                known = aligner.known
+                distinct = set(chain.from_iterable(cut))
+                aligner.learn(distinct)
+                for t in distinct.difference(number):
+                    found = aligner.known[t]
+                    number[t] = len(own) if found else 0
+                    if found:
+                        own.append(found)
+                texts = [x[3] for x in own]
                 for doc_id, stretches in zip(part.column(0).to_pylist(), cut, strict=True):
-                    found = [known[t] for t in stretches]
-                    if not found or None in found:
+                    at = [number[t] for t in stretches]
+                    if not at or 0 in at:
                         rows.append((doc_id, ""))
                     else:
-                        for t in set(stretches).difference(number):
-                            number[t] = len(own)
-                            own.append(known[t])
-                        places += [number[t] for t in stretches]
-                        rows.append((doc_id, hashlib.sha256(";".join([x[3] for x in found]).encode()).hexdigest()))
+                        places += at
+                        rows.append((doc_id, hashlib.sha256(";".join([texts[i] for i in at]).encode()).hexdigest()))
                     stops.append(len(places))
-                    if len(places) > BLOCK_PLACES:
-                        yield block()
-                        rows, places, stops, number, own = [], [], [], {}, []
+                if len(places) > BLOCK_PLACES:
+                    yield block()
+                    rows, places, stops, number, own = [], [], [], {}, [UNSPELT]
         if rows:
             yield block()
         gc.enable()
@@ -269,7 +275,7 @@ def scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every document of the blocks."""
     each = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
     met = each.join(counts.select("pair", "n", "best"), "pair")
-    # the distinct pairs of BLOCK_PLACES stretches, or of one document
+    # the distinct pairs of about BLOCK_PLACES stretches
     back = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "n", "best"))).alias("x")).select("block", F.col("x.n").alias("n"), F.col("x.best").alias("best"))
     joined = blocks.drop("pairs", "totals").join(back, "block", "left")
 
