@@ -128,12 +128,15 @@ class Classifier:
 
 
 def _sample(docs: DataFrame, confirmed: DataFrame, learn: Column, max_positive: int, max_unlabelled: int) -> DataFrame:
-    """kind (1 confirmed, 0 unlabelled) and text of the texts to fit; equal texts of a kind once."""
+    """kind (1 confirmed, 0 unlabelled) and text of the texts to fit, at most max_positive and max_unlabelled of them, however many rows an id has; equal texts of a kind once."""
     by_hash = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = by_hash(confirmed.select("doc_id").distinct(), max_positive).withColumn("kind", F.lit(1))
     ids = ids.unionByName(by_hash(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct(), max_unlabelled).withColumn("kind", F.lit(0)))
     # ids has at most max_positive + max_unlabelled rows
-    return materialise(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", "text").dropDuplicates())
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", "text").dropDuplicates()
+    named = materialise(found.withColumn("name", F.xxhash64("text")))
+    first = [named.filter(F.col("kind") == kind).select("kind", "name").distinct().orderBy("name").limit(n) for kind, n in ((1, max_positive), (0, max_unlabelled))]
+    return materialise(named.join(F.broadcast(first[0].unionByName(first[1])), ["kind", "name"]).select("kind", "text"))
 
 
 def _chosen(sample: DataFrame, n_features: int, least: int) -> list[str]:

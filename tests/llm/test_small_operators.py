@@ -355,6 +355,15 @@ def test_pu_risk_learns_from_positives_and_unlabelled_only():
     assert (clean[800:] @ w + b < 0).mean() > 0.95 and (toxic @ w + b > 0).mean() > 0.9
 
 
+def test_the_sample_is_bounded_in_rows_where_ids_repeat(spark):
+    docs = spark.range(40_000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    learn, confirmed = F.col("doc_id") >= 0, spark.createDataFrame([(0,), (1,)], "doc_id long")
+    counts = {r["kind"]: r["count"] for r in toxicity._sample(docs, confirmed, learn, 300, 600).groupBy("kind").count().collect()}
+    assert counts == {1: 300, 0: 600}
+    few = docs.limit(50).withColumn("doc_id", F.monotonically_increasing_id())
+    assert toxicity._sample(few, confirmed, learn, 300, 600).filter("kind = 0").count() == 50
+
+
 @pytest.mark.parametrize(("prior", "shift"), [(0.2, 1.0), (0.7, 2.0)])
 def test_pu_fit_equals_steps_along_numeric_gradients(prior, shift):
     rnd = np.random.default_rng(5)
