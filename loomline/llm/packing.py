@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import SPACES, materialise
@@ -108,6 +108,10 @@ def cluster_sets(names: list[int], sketches: np.ndarray, sets: list[np.ndarray])
     return {names[k]: least[find(i)] for i, k in enumerate(order)}
 
 
+def _words() -> Column:
+    return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACES}]+"))
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, n (words), cluster (a name of the text's set), sketch and set of every document."""
 
@@ -120,28 +124,29 @@ def _measured(docs: DataFrame) -> DataFrame:
                 made = [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([sketch(s, SKETCH_LONGS).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], names=["doc_id", "source", "n", "cluster", "sketch", "set"])
 
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACES}]+"))
-    return docs.select("doc_id", "source", words.alias("n"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, source string, n int, cluster long, sketch binary, set binary")
+    return docs.select("doc_id", "source", _words().alias("n"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, source string, n int, cluster long, sketch binary, set binary")
 
 
 def pack_near_copies_apart(docs: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE) -> DataFrame:
     """pack_documents with the clusters of near copies that lie in one group; `cluster` is the least name of a component's sets."""
-    measured = _measured(docs)
-    count = F.greatest(F.ceil(F.col("n") / capacity).cast("int"), F.lit(1))
-    cut = measured.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
+    count = lambda n: F.greatest(F.ceil(n / capacity).cast("int"), F.lit(1))
+    # sets are as large as texts, so they are written once, to be dealt out; the pieces are counted beforehand
+    n_pieces = docs.agg(F.coalesce(F.sum(count(_words())), F.lit(0))).first()[0]
+    cut = _measured(docs).withColumn("piece", F.explode(F.sequence(F.lit(0), count(F.col("n")) - 1)))
     length = F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int")
     full = length == capacity  # shares its bin with pieces of no words only, so its set stays behind
     held = cut.withColumn("length", length).withColumns({c: F.when(~full, F.col(c)) for c in ("sketch", "set")})
-    return _packed(materialise(held.drop("n")), capacity, group_size)
+    return _packed(held.drop("n"), n_pieces, capacity, group_size)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, cluster: str | None = None) -> DataFrame:
     """doc_id, piece, length, source, cluster, bin (global), start (offset in the bin) and residual (of the closed bin)."""
-    return _packed(materialise(pieces(docs, capacity, cluster)), capacity, group_size)
+    cut = materialise(pieces(docs, capacity, cluster))
+    return _packed(cut, cut.count(), capacity, group_size)
 
 
-def _packed(cut: DataFrame, capacity: int, group_size: int) -> DataFrame:
-    groups = max(1, -(-cut.count() // group_size))
+def _packed(cut: DataFrame, n_pieces: int, capacity: int, group_size: int) -> DataFrame:
+    groups = max(1, -(-n_pieces // group_size))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source"), F.lit(groups)))
 
     def clustered(items: pa.Table) -> pa.Table:
