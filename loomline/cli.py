@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from loomline.plans import analyze, api, brief
 from loomline.session import local_session
 from loomline.sources.config import load_config
+from loomline.sources.providers import embedder_of
 from loomline.sources.store import Store
 
 
@@ -46,7 +48,10 @@ def main(argv: list[str] | None = None) -> int:
     store, now = Store(local_session(), args.store), datetime.now(timezone.utc)
     if args.command == "analyze":
         use = None if args.dry_run else models_of(args.models)
-        done = analyze.analyze(store, args.transcripts, now, load_config(), use, args.label, args.force, args.project, args.session, args.dry_run, args.spot_checks)
+        config = load_config()
+        if use is not None and use.embedder is None:
+            use = replace(use, embedder=embedder_of(config))
+        done = analyze.analyze(store, args.transcripts, now, config, use, args.label, args.force, args.project, args.session, args.dry_run, args.spot_checks)
         print(json.dumps(done.__dict__))
         if args.briefs and not args.dry_run:
             for day in [args.date] if args.date else sorted({now.date().isoformat(), *done.dates}):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from loomline.functions.columns import ratio_or_null, theme
 from loomline.operators.insights import with_episodes
 from loomline.operators.scope import EVERYTHING, Days, Scope, trailing
-from loomline.sources.scratch import written
 
 FLAGGED = 5
 EXAMPLES = 3
@@ -21,53 +20,55 @@ def _unnecessary() -> Column:
 
 
 def _breakdown(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, ratio and longest burst by keys, or of all rows."""
+    """Counts, ratio and longest burst by keys, or of all rows, in one read of the rows."""
     c = F.col("classification")
-    counted = rows.groupBy(*keys).agg(
-        F.count_if(_unnecessary()).alias("directive_unnecessary"),
-        F.count_if((c == "directive") & F.coalesce("directive_necessary", F.lit(False))).alias("directive_necessary_count"),
-        F.count_if(c == "deliberative").alias("deliberative"),
-        F.count_if(c == "corrective").alias("corrective"),
-        F.count_if(c == "acknowledgment").alias("acknowledgment"),
-    )
-    bursts = longest_burst(rows, keys)
-    joined = counted.join(bursts, keys, "left") if keys else counted.withColumn("_row", F.lit(1)).join(bursts.withColumn("_row", F.lit(1)), "_row")
+    counters = {
+        "directive_unnecessary": _unnecessary(),
+        "directive_necessary_count": (c == "directive") & F.coalesce("directive_necessary", F.lit(False)),
+        "deliberative": c == "deliberative",
+        "corrective": c == "corrective",
+        "acknowledgment": c == "acknowledgment",
+    }
     good = F.col("deliberative") + F.col("corrective")
     directive = F.col("directive_unnecessary") + F.col("directive_necessary_count")
-    return joined.select(
+    return longest_burst(rows, keys, counters).select(
         *keys,
         directive.alias("directive"),
         F.col("directive_necessary_count").alias("directive_necessary"),
         "directive_unnecessary", "deliberative", "corrective", "acknowledgment",
         (directive + good).alias("total"),
         ratio_or_null(good, F.col("directive_unnecessary")).alias("engagement_ratio"),
-        F.coalesce("longest_directive_burst", F.lit(0)).cast("long").alias("longest_directive_burst"),
+        F.col("longest_directive_burst").cast("long").alias("longest_directive_burst"),
     )
 
 
-def longest_burst(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Keys and longest_directive_burst, the most unnecessary directives in a row, by keys or over one global order.
+def longest_burst(rows: DataFrame, keys: list[str] | None = None, counters: dict[str, Column] | None = None) -> DataFrame:
+    """Keys and longest_directive_burst, the most unnecessary directives in a row, by keys or over one global order; and how many rows meet each counter's condition.
 
     Rows are dealt by ranges of the full order, so that neither the whole scope nor
     a day that holds most rows meets in one task. Each range gives, for each key in
     it, its length and its leading, trailing and longest run; these few rows are
     then joined end to end.
     """
-    keys = keys or []
-    ranged = written(rows.select(*keys, *[c for c in ORDER if c not in keys], _unnecessary().alias("_u")).repartitionByRange(*keys, *ORDER).withColumn("_b", F.spark_partition_id()))
+    keys, counters = keys or [], counters or {}
+    flags = [F.coalesce(condition.cast("int"), F.lit(0)).alias("_" + name) for name, condition in counters.items()]
+    added = [F.sum("_" + name).alias("_" + name) for name in counters]
+    # one use of the ranges, in one job, so that they need not be written
+    ranged = rows.select(*keys, *[c for c in ORDER if c not in keys], _unnecessary().alias("_u"), *flags).repartitionByRange(*keys, *ORDER).withColumn("_b", F.spark_partition_id())
     at = Window.partitionBy("_b", *keys).orderBy(*ORDER)
     numbered = ranged.withColumn("_n", F.row_number().over(at)).withColumn("_island", F.sum(F.when(F.col("_u"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("_b", *keys, "_island").agg(F.count_if("_u").alias("n"), F.count("*").alias("rows"), F.min(F.when(F.col("_u"), F.col("_n"))).alias("first"), F.max(F.when(F.col("_u"), F.col("_n"))).alias("last"))
+    runs = numbered.groupBy("_b", *keys, "_island").agg(F.count_if("_u").alias("n"), F.count("*").alias("rows"), F.min(F.when(F.col("_u"), F.col("_n"))).alias("first"), F.max(F.when(F.col("_u"), F.col("_n"))).alias("last"), *added)
     size = F.sum("rows")
     edges = runs.groupBy("_b", *keys).agg(
         size.alias("size"),
         F.coalesce(F.max(F.when(F.col("first") == 1, F.col("n"))), F.lit(0)).alias("lead"),
         F.max_by(F.struct("last", "n"), F.col("last")).alias("_last"),
         F.coalesce(F.max("n"), F.lit(0)).alias("most"),
+        *added,
     )
     edges = edges.withColumn("trail", F.coalesce(F.when(F.col("_last.last") == F.col("size"), F.col("_last.n")), F.lit(0))).drop("_last")
     # at most as many rows as there are ranges, and one more for each key
-    listed = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "size", "lead", "trail", "most"))).alias("s"))
+    listed = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "size", "lead", "trail", "most"))).alias("s"), *added)
     start = F.struct(F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("best"))
 
     def join(acc: Column, x: Column) -> Column:
@@ -75,7 +76,7 @@ def longest_burst(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
         opened = F.when(x["lead"] == x["size"], whole).otherwise(x["trail"])
         return F.struct(opened.alias("open"), F.greatest(acc["best"], x["most"], whole).alias("best"))
 
-    return listed.select(*keys, F.aggregate("s", start, join)["best"].alias("longest_directive_burst"))
+    return listed.select(*keys, F.aggregate("s", start, join)["best"].alias("longest_directive_burst"), *[F.coalesce("_" + name, F.lit(0)).alias(name) for name in counters])
 
 
 def engagement_breakdown(turns: DataFrame, episodes: DataFrame, days: Days, scope: Scope = EVERYTHING) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.columns import ratio
+from loomline.operators.paging import page
 from loomline.operators.scope import EVERYTHING, Days, Scope, trailing
 from loomline.schema import CATEGORIES, EFFORT_CLASSES
 
@@ -35,7 +36,7 @@ def top_insights(insights: DataFrame, episodes: DataFrame, days: Days, limit: in
     """The most significant insights, a page of them; ties by id."""
     rows = with_episodes(insights, episodes).filter(days.condition() & scope.condition())
     rows = rows.filter(F.col("category").isin(*CATEGORIES) & F.col("effort_class").isin(*EFFORT_CLASSES))
-    return rows.orderBy(F.desc("significance_score"), "id").offset(offset).limit(limit)
+    return page(rows, [F.desc("significance_score"), F.col("id")], offset, limit)
 
 
 def cross_project(insights: DataFrame, episodes: DataFrame, days: Days, scope: Scope = EVERYTHING) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.columns import is_temp_path
+from loomline.operators import paging
 
 SORTS = ("mtime", "title", "analyzed")
 MAX_PAGE = 100
@@ -35,7 +36,7 @@ def page_of(listing: DataFrame, sort_by: str = "mtime", descending: bool = True,
     page_size = min(page_size, MAX_PAGE)
     key = F.coalesce(F.col(sort_by).cast("string") if sort_by == "mtime" else F.col(sort_by), F.lit(False) if sort_by == "analyzed" else F.lit(""))
     order = [key.desc() if descending else key.asc(), F.col("session_id")]
-    rows = listing.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
+    rows = paging.page(listing, order, (page - 1) * page_size, page_size)
     totals = listing.agg(F.count("*").alias("total")).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)))
     return rows, totals
 

@@ -1,4 +1,4 @@
-"""Model-backed steps. Models are injected callables.
+"""Model-backed steps. Models are injected callables, asked through `asking.ask`.
 
 A model gets a list of dicts and answers with a list of dicts. Failures stay
 inside the episode, batch or run they happen in.
@@ -7,15 +7,16 @@ inside the episode, batch or run they happen in.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.asking import FULL, Asking, ask, read_answers
 from loomline.operators.turns import first_classification, prefilter
 from loomline.schema import CATEGORIES, EFFORT_CLASSES, ENGAGEMENT_CLASSES
+from loomline.sources.scratch import written
 
 Model = Callable[[list[dict]], list[dict]]
 
@@ -23,6 +24,8 @@ SCORING_BATCH = 40
 FEWEST_LINES = 20
 FEWEST_PAIRS = 4
 CANDIDATE = "episode_key string, pos int, category string, text string, evidence_ref string, evidence_snippet string"
+#: What a scoring model is told of a candidate.
+CONTENT = ("category", "text", "evidence_ref", "evidence_snippet")
 TURN = "episode_id long, human_line_number int, classification string, directive_necessary boolean, reason string, emit_pos int"
 DERIVED = "label string, insight_type string, text string, evidence_insight_ids array<long>"
 
@@ -56,84 +59,74 @@ def _text(x: object) -> str | None:
     return x if isinstance(x, str) else None
 
 
-def generate_candidates(lines: DataFrame, model: Model) -> DataFrame:
+def generate_candidates(lines: DataFrame, model: Model, how: Asking = Asking()) -> DataFrame:
     """Candidates of each episode (episode_key, line_number, type, text); a bad item is left out, a failed episode has none."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        key = group["episode_key"].iloc[0]
-        asked = group.sort_values("line_number")[["line_number", "type", "text"]].to_dict("records")
-        try:
-            answer = bisect(model, asked, FEWEST_LINES)
-            answer = answer if isinstance(answer, list) else []
-        except Exception:  # noqa: BLE001  an episode that fails is passed over
-            answer = []
-        good = [a for a in answer if isinstance(a, dict) and _among(a.get("category"), CATEGORIES) and isinstance(a.get("text"), str)]
-        rows = [(key, i, a["category"], a["text"], _text(a.get("evidence_ref")), _text(a.get("evidence_snippet"))) for i, a in enumerate(good)]
-        return pd.DataFrame(rows, columns=["episode_key", "pos", "category", "text", "evidence_ref", "evidence_snippet"])
+    def read(answer: object) -> list[tuple]:
+        good = [a for a in answer if isinstance(a, dict) and _among(a.get("category"), CATEGORIES) and isinstance(a.get("text"), str)] if isinstance(answer, list) else []
+        return [(i, a["category"], a["text"], _text(a.get("evidence_ref")), _text(a.get("evidence_snippet"))) for i, a in enumerate(good)]
 
-    return lines.select("episode_key", "line_number", "type", "text").groupBy("episode_key").applyInPandas(run, CANDIDATE)
+    asked = F.sort_array(F.collect_list(F.struct("line_number", "type", "text")))
+    questions = lines.groupBy("episode_key").agg(F.to_json(asked, FULL).alias("question"))
+    answered = ask(questions, lambda items: bisect(model, items, FEWEST_LINES), "candidates", how)
+    return read_answers(answered, ["episode_key"], CANDIDATE.removeprefix("episode_key string, "), read)
 
 
 def scoring_batches(candidates: DataFrame, day: str = "batch_day") -> DataFrame:
-    """Adds `batch`; the candidates of a (session, day) in order, 40 a batch."""
-    place = F.row_number().over(Window.partitionBy(day).orderBy("episode_key", "pos"))
-    return candidates.withColumn("batch", F.concat_ws("/", F.col(day), F.floor((place - 1) / SCORING_BATCH).cast("string")))
+    """Adds `batch` and `index`, the place in it; the candidates of a (session, day) in order, 40 a batch."""
+    place = F.row_number().over(Window.partitionBy(day).orderBy("episode_key", "pos")) - 1
+    return candidates.withColumn("_place", place).withColumns({"batch": F.concat_ws("/", F.col(day), F.floor(F.col("_place") / SCORING_BATCH).cast("string")), "index": (F.col("_place") % SCORING_BATCH).cast("int")}).drop("_place")
 
 
-def score_candidates(batched: DataFrame, model: Model) -> DataFrame:
+def score_candidates(batched: DataFrame, model: Model, how: Asking = Asking(3)) -> DataFrame:
     """Candidates with significance and effort class; any invalid answer fails its batch, and only that.
 
+    An answer is invalid if its index is no place in the batch or comes twice, if its
+    significance is no finite number, or if its effort class is unknown. The model gets
+    what the candidates say (CONTENT), in order, and neither keys nor numbers of a run.
     recurrence_of is always null here; links come from vectors.
     """
-    types = {f.name: f.dataType.simpleString() for f in batched.schema.fields}
-    schema = ", ".join(f"`{k}` {v}" for k, v in types.items()) + ", significance_score double, effort_class string, recurrence_of long"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["episode_key", "pos"])
-        empty = group.iloc[:0].assign(significance_score=pd.Series(dtype=float), effort_class=pd.Series(dtype=str), recurrence_of=pd.Series(dtype="Int64"))
-        try:
-            answer = model(group.to_dict("records"))
-            kept = []
-            for a in answer:
-                score, effort, at = a["significance_score"], a["effort_class"], a["index"]
-                if effort not in EFFORT_CLASSES or not _number(score) or type(at) is not int or not 0 <= at < len(group):
-                    return empty
-                kept.append((at, float(score), effort))
-            if len({k[0] for k in kept}) < len(kept):
-                return empty
-        except Exception:  # noqa: BLE001  a failed batch yields nothing
-            return empty
-        out = group.iloc[[k[0] for k in kept]].copy()
-        return out.assign(significance_score=[k[1] for k in kept], effort_class=[k[2] for k in kept], recurrence_of=pd.array([pd.NA] * len(kept), dtype="Int64"))
-
-    return batched.groupBy("batch").applyInPandas(run, schema)
-
-
-def classify_turns(pairs: DataFrame, model: Model) -> DataFrame:
+    batched = written(batched)
+
+    def read(answer: object) -> list[tuple]:
+        size, given = answer
+        kept = []
+        for a in given if isinstance(given, list) else [None]:
+            if not isinstance(a, dict) or not _among(a.get("effort_class"), EFFORT_CLASSES) or not _number(a.get("significance_score")) or type(a.get("index")) is not int or not 0 <= a["index"] < size:
+                return []
+            kept.append((a["index"], float(a["significance_score"]), a["effort_class"]))
+        return kept if len({k[0] for k in kept}) == len(kept) else []
+
+    content = [c for c in CONTENT if c in batched.columns]
+    rows = F.sort_array(F.collect_list(F.struct("index", F.struct(*content).alias("c"))))
+    questions = batched.groupBy("batch").agg(F.to_json(F.transform(rows, lambda r: r["c"]), FULL).alias("question"))
+    answered = ask(questions, lambda items: (len(items), model(items)), "scores", how)
+    scores = read_answers(answered, ["batch"], "index int, significance_score double, effort_class string", read)
+    return batched.join(scores, ["batch", "index"]).withColumn("recurrence_of", F.lit(None).cast("long"))
+
+
+def classify_turns(pairs: DataFrame, model: Model, how: Asking = Asking()) -> DataFrame:
     """Engagement of each pair; acknowledgments are known without the model, the first answer per line stays."""
-    marked = prefilter(pairs)
+    marked = written(prefilter(pairs))
     acks = marked.filter("is_acknowledgment").select(
         "episode_id", "human_line_number", F.lit("acknowledgment").alias("classification"), F.lit(None).cast("boolean").alias("directive_necessary"), F.lit("").alias("reason"), F.lit(0).alias("emit_pos")
     )
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        key = int(group["episode_id"].iloc[0])
-        asked = group.sort_values("human_line_number").to_dict("records")
-        known = {a["human_line_number"] for a in asked}
-        try:
-            answer = bisect(model, asked, FEWEST_PAIRS)
-            answer = answer if isinstance(answer, list) else []
-        except Exception:  # noqa: BLE001  an episode that fails contributes nothing
-            answer = []
-        rows = [
-            (key, a["human_line_number"], a["classification"], a.get("directive_necessary"), str(a.get("reason") or ""), i)
-            for i, a in enumerate(answer)
+    def classify(items: list[dict]) -> list:
+        return [[p["human_line_number"] for p in items], bisect(model, items, FEWEST_PAIRS)]
+
+    def read(answer: object) -> list[tuple]:
+        known, given = answer
+        return [
+            (a["human_line_number"], a["classification"], a.get("directive_necessary"), str(a.get("reason") or ""), i)
+            for i, a in enumerate(given if isinstance(given, list) else [])
             if isinstance(a, dict) and _among(a.get("classification"), ENGAGEMENT_CLASSES) and _among(a.get("human_line_number"), known) and (a.get("directive_necessary") is None or isinstance(a["directive_necessary"], bool))
         ]
-        return pd.DataFrame(rows, columns=["episode_id", "human_line_number", "classification", "directive_necessary", "reason", "emit_pos"]).astype({"directive_necessary": object})
 
-    asked = marked.filter("NOT is_acknowledgment").groupBy("episode_id").applyInPandas(run, TURN)
-    return first_classification(acks.unionByName(asked)).drop("emit_pos")
+    content = ["human_line_number", *(c for c in marked.columns if c not in ("human_line_number", "episode_id", "is_acknowledgment"))]
+    questions = marked.filter("NOT is_acknowledgment").groupBy("episode_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*content))), FULL).alias("question"))
+    asked = read_answers(ask(questions, classify, "turns", how), ["episode_id"], TURN.removeprefix("episode_id long, "), read)
+    return first_classification(acks.unionByName(asked.withColumn("episode_id", F.col("episode_id").cast("long")))).drop("emit_pos")
 
 
 def derive_insights(items: DataFrame, model: Model) -> DataFrame:
@@ -168,15 +161,3 @@ def narrative(insights: list[dict], effort: dict, model: Callable[[list[dict], d
         return model(insights, effort) or None
     except Exception:  # noqa: BLE001  a brief goes without its narrative
         return None
-
-
-def mapped(rows: DataFrame, function: Callable[[dict], dict | None], schema: str, concurrency: int) -> DataFrame:
-    """A function over rows, at most `concurrency` calls at once; keep a position column to restore the order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            answers = [a for a in map(function, b.to_pylist()) if a is not None]
-            if answers:
-                yield pa.RecordBatch.from_pylist(answers)
-
-    return rows.coalesce(concurrency).mapInArrow(run, schema)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.columns import flag_is_true, local_date, token_estimate
@@ -56,37 +53,35 @@ def sessionize(lines: DataFrame, gap_minutes: float = GAP_MINUTES, keys: list[st
 def split_by_budget(lines: DataFrame, budget: int = TOKEN_BUDGET, keys: list[str] | None = None) -> DataFrame:
     """Adds `piece`; episodes over a token budget are halved by lines until each fits or is one line.
 
-    Only line numbers and lengths of the episodes that are too large go through
-    the grouped function, one episode a group; the rest stays in the JVM.
+    Only line numbers and running lengths of the episodes that are too large are
+    gathered, as one array an episode. All of its pieces are halved once a level, and
+    there are as many levels as halving its lines down to one takes.
     """
     keys = [*(keys or SESSION), "date", "part"]
-    size = F.sum("chars").over(Window.partitionBy(*keys))
-    sized = lines.withColumn("_tokens", token_estimate(size))
-    slim = sized.filter(F.col("_tokens") > budget).select(*keys, "line_number", "chars")
-
-    def halve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("line_number").reset_index(drop=True)
-        group["piece"] = budget_pieces(group["chars"].tolist(), budget)
-        return group.drop(columns=["chars"])
-
-    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "line_number"]) + ", piece int"
-    cut = slim.groupBy(*keys).applyInPandas(halve, schema)
-    return sized.drop("_tokens").join(cut, [*keys, "line_number"], "left").withColumn("piece", F.coalesce("piece", F.lit(0)))
-
-
-def budget_pieces(chars: list[int], budget: int) -> list[int]:
-    """The piece of each line, numbered in order."""
-
-    def halves(first: int, stop: int) -> Iterator[tuple[int, int]]:
-        if stop - first <= 1 or -(-sum(chars[first:stop]) // 4) <= budget:
-            yield first, stop
-        else:
-            middle = first + (stop - first) // 2
-            yield from halves(first, middle)
-            yield from halves(middle, stop)
-
-    return [k for k, (i, j) in enumerate(halves(0, len(chars))) for _ in range(i, j)]
+    whole = Window.partitionBy(*keys)
+    sized = lines.withColumn("_tokens", token_estimate(F.sum("chars").over(whole)))
+    upto = F.coalesce(F.sum("chars").over(whole.orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    large = sized.filter(F.col("_tokens") > budget).withColumn("_upto", upto)
+    held = large.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_number", "_upto"))).alias("_l"))
+
+    def before(k: Column) -> Column:
+        """The length of an episode's first k lines."""
+        return F.when(k > 0, F.get("_l", k - 1)["_upto"]).otherwise(0)
+
+    def piece(first: Column, stop: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), stop.cast("int").alias("stop"))
+
+    def halve(x: Column) -> Column:
+        first, stop = x["first"], x["stop"]
+        middle = first + F.floor((stop - first) / 2)
+        fits = (stop - first <= 1) | (token_estimate(before(stop) - before(first)) <= budget)
+        return F.when(fits, F.array(piece(first, stop))).otherwise(F.array(piece(first, middle), piece(middle, stop)))
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_l"))).cast("int"))
+    cut = F.aggregate(levels, F.array(piece(F.lit(0), F.size("_l"))), lambda found, _: F.flatten(F.transform(found, halve)))
+    pieces = held.select(*keys, "_l", F.posexplode(cut).alias("piece", "_x"))
+    placed = pieces.select(*keys, "piece", F.explode(F.slice("_l", F.col("_x.first") + 1, F.col("_x.stop") - F.col("_x.first"))).alias("_line")).select(*keys, F.col("_line.line_number").alias("line_number"), "piece")
+    return sized.drop("_tokens").join(placed, [*keys, "line_number"], "left").withColumn("piece", F.coalesce("piece", F.lit(0)))
 
 
 def episodes(pieces: DataFrame, keys: list[str] | None = None) -> DataFrame:

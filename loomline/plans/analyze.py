@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from loomline.functions.formatting import run_label
 from loomline.operators import models, sessionize, similarity, turns
+from loomline.operators.asking import Asking
+from loomline.operators.grams import postings
+from loomline.operators.insights import recent_embeddings
 from loomline.operators.scope import day_cutoff
 from loomline.sources.config import Config
 from loomline.sources.scratch import written
@@ -128,9 +131,12 @@ class _Run:
         stands = written(cursors(marks, self.stamp if whole else None))
         insights, vectors = _insights(store, lines, some.select(F.col("id").alias("episode_id"), *KEYS), self.use, self.config, self.now, self.stamp)
         pairs = turns.turn_pairs(lines, ["episode_id"])
-        engaged = written(store.next_ids("engagement_turns", models.classify_turns(pairs, self.use.classifier).withColumn("created_at", F.lit(self.stamp)), "episode_id", "human_line_number"))
+        engaged = written(store.next_ids("engagement_turns", models.classify_turns(pairs, self.use.classifier, _asking(store, self.config, self.config.engagement_calls)).withColumn("created_at", F.lit(self.stamp)), "episode_id", "human_line_number"))
         n = insights.count()
-        store.commit({}, {"sessions": stands, "episodes": some, "insights": insights, "insight_embeddings": vectors, "engagement_turns": engaged})
+        # the first commit that indexes texts indexes those before it as well
+        texts = insights.select("id", "text") if store.has("insight_grams") else store.read("insights").select("id", "text").unionByName(insights.select("id", "text"))
+        grams = postings(texts.withColumnRenamed("id", "insight_id"), "insight_id")
+        store.commit({}, {"sessions": stands, "insight_grams": grams, "episodes": some, "insights": insights, "insight_embeddings": vectors, "engagement_turns": engaged})
         self.insights += n
         try:
             if self.spot_checks:
@@ -142,25 +148,25 @@ class _Run:
 def _insights(store: Store, lines: DataFrame, ids: DataFrame, use: Models, config: Config, now: datetime, stamp: str) -> tuple[DataFrame, DataFrame]:
     """(insights, vectors) of a run's lines, with ids."""
     keyed = lines.withColumn("episode_key", F.col("episode_id").cast("string"))
-    candidates = models.generate_candidates(keyed, use.extractor)
+    candidates = models.generate_candidates(keyed, use.extractor, _asking(store, config, config.extract_calls))
     days = ids.select(F.col("episode_id").cast("string").alias("episode_key"), "episode_id", F.concat_ws("/", "project_dir", "session_id", "date").alias("batch_day"))
-    scored = models.score_candidates(models.scoring_batches(candidates.join(days, "episode_key")), use.scorer).drop("recurrence_of")
+    scored = models.score_candidates(models.scoring_batches(candidates.join(days, "episode_key")), use.scorer, _asking(store, config, config.score_calls)).drop("recurrence_of")
     if use.embedder is not None:
-        scored = models_embedded(scored, use.embedder)
+        scored = similarity.embed(scored, use.embedder, how=_asking(store, config, config.embedding_calls))
     else:
         scored = scored.withColumn("embedding", F.lit(None).cast("array<double>"))
     placed = written(store.next_ids("insights", scored, "episode_id", "pos").withColumn("pos", F.col("id")))
-    old = store.read("insights").select(F.col("id").alias("past_id"), "created_at").filter(F.col("created_at") >= day_cutoff(now, config.history_days))
-    past = old.join(store.read("insight_embeddings").select(F.col("insight_id").alias("past_id"), "embedding"), "past_id")
+    recent = recent_embeddings(store.read("insight_embeddings"), store.read("insights"), day_cutoff(now, config.history_days))
+    past = recent.select(F.col("insight_id").alias("past_id"), F.col("insight_created_at").alias("created_at"), "embedding")
     linked = similarity.apply_recurrence(placed, past, "batch_day", config.dedupe_threshold, config.recurrence_threshold, use.embedder is not None)
     linked = written(linked.withColumn("created_at", F.lit(stamp)).withColumn("verified_by_git", F.lit(None).cast("boolean")))
     vectors = linked.filter("embedding IS NOT NULL").select(F.col("id").alias("insight_id"), pack_vector("embedding").alias("embedding"), F.lit("injected").alias("model"), "created_at")
     return linked, vectors
 
 
-def models_embedded(scored: DataFrame, embedder: Callable) -> DataFrame:
-    """M7: the vectors of a run, computed once."""
-    return written(similarity.embed(scored, embedder))
+def _asking(store: Store, config: Config, calls: int) -> Asking:
+    """Answers are remembered in the store, by themselves: they stay when the commit that they are for fails."""
+    return Asking(calls, config.model_version, lambda: store.read("answers"), lambda found: store.commit({}, {"answers": found}))
 
 
 def derive_run(store: Store, project_dir: str, session_id: str, label: str, model: models.Model, now: datetime) -> int:

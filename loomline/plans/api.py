@@ -10,7 +10,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions import formatting
 from loomline.operators import engagement, insights, listing, search
+from loomline.operators.scope import Days, Scope
 from loomline.plans import analyze, brief
 from loomline.plans import requests as rq
 from loomline.sources import transcripts
@@ -23,6 +25,12 @@ def _ie(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t["insights"], t["episodes"]
 
 
+def _days(t: Tables, p: Mapping[str, str]) -> Days:
+    """The days of a request; the latest day with data is looked up for a preset only."""
+    latest = insights.insight_dates(*_ie(t)).first() if p.get("range") else None
+    return rq.parse_days(p, latest["date"] if latest else None)
+
+
 def _need(p: Mapping[str, str], *names: str) -> list[str]:
     missing = [n for n in names if not p.get(n)]
     if missing:
@@ -32,11 +40,13 @@ def _need(p: Mapping[str, str], *names: str) -> list[str]:
 
 ENDPOINTS: dict[str, Callable[[Tables, Mapping[str, str], str], DataFrame]] = {
     "dates": lambda t, p, now: insights.insight_dates(*_ie(t)),
-    "cross-project": lambda t, p, now: insights.cross_project(*_ie(t), rq.parse_days(p), rq.parse_scope(p)),
-    "engagement-breakdown": lambda t, p, now: engagement.breakdown_with_flags(t["engagement_turns"], t["episodes"], rq.parse_days(p), rq.parse_scope(p)),
+    "cross-project": lambda t, p, now: insights.cross_project(*_ie(t), _days(t, p), rq.parse_scope(p)),
+    "engagement-breakdown": lambda t, p, now: engagement.breakdown_with_flags(t["engagement_turns"], t["episodes"], _days(t, p), rq.parse_scope(p)),
     "engagement-breakdown-trend": lambda t, p, now: engagement.trend_with_flags(t["engagement_turns"], t["episodes"], now, rq.parse_positive(p.get("days"), 30), rq.parse_scope(p)),
+    "engagement-summary": lambda t, p, now: engagement_lines(t, _days(t, p), rq.parse_scope(p)),
     "labels": lambda t, p, now: insights.labels(*_ie(t)),
-    "search": lambda t, p, now: search.search(*_ie(t), p.get("q", ""), rq.parse_search_limit(p.get("limit"))),
+    "insights": lambda t, p, now: insights.resolve_insights(_ids(t["insights"], _need(p, "ids")[0]), *_ie(t)),
+    "search": lambda t, p, now: search.search(*_ie(t), p.get("q", ""), rq.parse_search_limit(p.get("limit")), t.get("insight_grams")),
     "projects": lambda t, p, now: insights.projects(*_ie(t)),
     "sessions": lambda t, p, now: insights.sessions(*_ie(t), p.get("project")),
     "session-runs": lambda t, p, now: insights.session_runs(*_ie(t), t["derived_insights"], *_need(p, "project", "session")),
@@ -49,6 +59,20 @@ ENDPOINTS: dict[str, Callable[[Tables, Mapping[str, str], str], DataFrame]] = {
 OF_FILES = ("session-projects", "sessions-all")
 
 
+def _ids(insights_table: DataFrame, text: str) -> DataFrame:
+    """The ids of a comma-separated list."""
+    return insights_table.sparkSession.createDataFrame([(rq.parse_positive(i, 0),) for i in text.split(",")], "id long")
+
+
+def engagement_lines(t: Tables, days: Days, scope: Scope) -> DataFrame:
+    """The lines of a breakdown and its commonest theme, as rows."""
+    flagged = engagement.flagged_directives(t["engagement_turns"], t["episodes"], days, scope)
+    top = engagement.directive_themes(flagged).first()
+    found = engagement.engagement_breakdown(t["engagement_turns"], t["episodes"], days, scope).first().asDict()
+    lines = formatting.engagement_summary(found, (top["theme"], top["count"]) if top else None)
+    return t["episodes"].sparkSession.createDataFrame(list(enumerate(lines)), "place int, line string")
+
+
 def _metadata(files: DataFrame) -> DataFrame:
     return transcripts.metadata_of(files.sparkSession, files)
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import columns as fn
-from loomline.operators import engagement, insights, listing, recurrence, search, sessionize, similarity, turns
+from loomline.operators import engagement, grams, insights, listing, recurrence, search, sessionize, similarity, turns
 from loomline.operators.scope import Days, Scope
 from loomline.plans import bindings as b
 from loomline.plans.bindings import sql
+from loomline.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -221,6 +222,14 @@ def t2_text(spark, sf):
     return b.table(spark, sf, "documents").filter(fn.like_folded(F.col("text"), "Rights RE_erved")).select("doc_id", "lang", "source")
 
 
+@register("t2_search_indexed", sql(f"SELECT {ITEM_SQL} FROM placed WHERE lower(text) LIKE '%tem 12_ o%'", "placed"))
+def t2_indexed(spark, sf):
+    """Insights by a pattern, through posting lists that are written first."""
+    i, e = _both(spark, sf)
+    index = written(grams.postings(i, "id"))
+    return insights.with_episodes(grams.matching(i, "id", "text", "Tem 12_ O", index, "id"), e).select(*_shown())
+
+
 @register(
     "t3_session_page",
     sql(

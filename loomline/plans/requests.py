@@ -6,9 +6,11 @@ import re
 from collections.abc import Mapping
 from datetime import date
 
+from loomline.functions.formatting import preset_range
 from loomline.operators.scope import Days, Scope
 
 MAX_SEARCH = 20
+PRESETS = ("today", "7d", "30d")
 
 
 def parse_date(text: str) -> str:
@@ -25,8 +27,12 @@ def parse_positive(text: str | None, default: int) -> int:
     return int(text)
 
 
-def parse_days(params: Mapping[str, str]) -> Days:
-    """Either end of a range asks for both and comes before a single day."""
+def parse_days(params: Mapping[str, str], latest: str | None = None) -> Days:
+    """A preset (today, 7d or 30d, up to the latest day with data) comes first; either end of a range asks for both and comes before a single day."""
+    if params.get("range"):
+        if params["range"] not in PRESETS or not latest:
+            raise ValueError(f"not a range: {params['range']!r}")
+        return Days(*preset_range(params["range"], latest))
     if params.get("fromDate") or params.get("toDate"):
         first, last = parse_date(params.get("fromDate", "")), parse_date(params.get("toDate", ""))
         if first > last:

@@ -17,9 +17,11 @@ TABLES: dict[str, str] = {
     "sessions": "project_dir string, session_id string, last_line int, last_run_at string, read_offset bigint, read_line int, islands array<struct<first:int,last:int>>",
     "episodes": "id bigint, date string, project_dir string, session_id string, start_line int, end_line int, label string",
     "insights": "id bigint, episode_id bigint, category string, text string, evidence_ref string, significance_score double, verified_by_git boolean, recurrence_of bigint, created_at string, effort_class string",
+    "insight_grams": "gram string, insight_id bigint",
     "insight_embeddings": "insight_id bigint, embedding array<float>, model string, created_at string",
     "derived_insights": "id bigint, project_dir string, session_id string, label string, insight_type string, text string, evidence_insight_ids array<bigint>, created_at string",
     "engagement_turns": "id bigint, episode_id bigint, human_line_number int, classification string, directive_necessary boolean, reason string, created_at string",
+    "answers": "kind string, name string, answer string",
     "jobs": "id string, kind string, status string, result string, error string, created_at string, updated_at string",
 }
 #: What a column added by a later version of a table holds in rows written before.

@@ -18,6 +18,15 @@ class Config:
     embedding_url: str | None = None
     embedding_path: str = "/v1/embeddings"
     embedding_headers: Mapping[str, str] | None = None
+    embedding_key: str | None = None
+    embedding_model: str = "text-embedding"
+    embedding_auth_header: str = "Authorization"
+    embedding_auth_scheme: str = "Bearer"
+    model_version: str = ""
+    extract_calls: int = 5
+    score_calls: int = 3
+    engagement_calls: int = 5
+    embedding_calls: int = 5
 
 
 def _positive(text: str) -> int | None:
@@ -49,6 +58,15 @@ _READERS: dict[str, Callable[[str], object]] = {
     "embedding_url": lambda t: t or None,
     "embedding_path": lambda t: t if t.startswith("/") else None,
     "embedding_headers": _headers,
+    "embedding_key": lambda t: t or None,
+    "embedding_model": lambda t: t or None,
+    "embedding_auth_header": lambda t: t or None,
+    "embedding_auth_scheme": lambda t: t,
+    "model_version": lambda t: t,
+    "extract_calls": _positive,
+    "score_calls": _positive,
+    "engagement_calls": _positive,
+    "embedding_calls": _positive,
 }
 
 

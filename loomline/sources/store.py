@@ -44,6 +44,10 @@ class Store:
         whole = max((k for k, r in enumerate(rows) if r["whole"]), default=0)
         return [r["commit"] for r in rows[whole:]]
 
+    def has(self, table: str) -> bool:
+        """Whether any commit has written it."""
+        return bool(self._shown(table))
+
     def read(self, table: str) -> DataFrame:
         """A table as of the last commit; missing columns hold their defaults."""
         shown = self._shown(table)
@@ -56,7 +60,8 @@ class Store:
         return conform(rows, table)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {t: self.read(t) for t in TABLES}
+        """All tables; the index of texts only if there is one, as an empty one would name nothing."""
+        return {t: self.read(t) for t in TABLES if t != "insight_grams" or self.has(t)}
 
     def commit(self, changed: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None) -> None:
         """Tables of `changed` become what is given; rows of `added` come to what their tables hold, in the place of rows of their key."""

@@ -1,8 +1,11 @@
 """Operators on the cases of FIXTURES.md, plain loops as oracles, and the oracle SQL of every registered query."""
 
+import http.server
 import json
 import os
 import random
+import threading
+import time
 from datetime import datetime, timezone
 
 import duckdb
@@ -14,12 +17,12 @@ from pyspark.sql import functions as F
 from loomline import cli
 from loomline.functions import columns as fn
 from loomline.functions import formatting as fmt
-from loomline.operators import engagement, insights, listing, models, recurrence, search, sessionize, similarity, turns
+from loomline.operators import asking, engagement, grams, insights, listing, models, paging, recurrence, search, sessionize, similarity, turns
 from loomline.operators.scope import Days, Scope, day_cutoff, instant_cutoff
 from loomline.plans import analyze, api, brief, library
 from loomline.plans import requests as rq
 from loomline.schema import struct
-from loomline.sources import config, line_ranges, store, transcripts
+from loomline.sources import config, line_ranges, providers, store, transcripts
 from tests import stand_ins
 
 SF = "/root/testdata/sf0.001"
@@ -138,12 +141,30 @@ def test_long_sessions_are_cut_into_stretches(spark, monkeypatch):
     assert parts(spark, rows) == whole and whole[-1] == 6
 
 
-def test_budget_halving():
-    chars = [1000] * 1000
-    found = sessionize.budget_pieces(chars, 100_000)
-    assert found == sorted(found) and len(set(found)) > 1
-    assert all(sum(c for c, p in zip(chars, found) if p == k) / 4 <= 100_000 for k in set(found))
-    assert sessionize.budget_pieces([10**9], 5) == [0] and sessionize.budget_pieces([4, 4], 2) == [0, 0]
+def halves(chars, budget):
+    """The piece of each line, by recursion."""
+
+    def cut(first, stop):
+        if stop - first <= 1 or -(-sum(chars[first:stop]) // 4) <= budget:
+            return [(first, stop)]
+        middle = first + (stop - first) // 2
+        return cut(first, middle) + cut(middle, stop)
+
+    return [k for k, (i, j) in enumerate(cut(0, len(chars))) for _ in range(i, j)]
+
+
+def test_budget_halving(spark):
+    rnd = random.Random(7)
+    found = {"even": [1000] * 1000, "one": [10**9], "fits": [4, 4], "none": [], "heavy": [1] * 50 + [10**6] + [1] * 77, **{f"r{k}": [rnd.choice([0, 5, 900, 40_000, 900_000]) for _ in range(rnd.randint(1, 130))] for k in range(12)}}
+    rows = [("p", name, "d", 0, 10 * i, n) for name, chars in found.items() for i, n in enumerate(chars)]
+    lines = spark.createDataFrame(rows, "project_dir string, session_id string, date string, part int, line_number int, chars long")
+    for budget in (2, 100_000):
+        got = {}
+        for r in sessionize.split_by_budget(lines, budget).orderBy("line_number").collect():
+            got.setdefault(r["session_id"], []).append(r["piece"])
+        assert got == {name: halves(chars, budget) for name, chars in found.items() if chars}
+    plan = sessionize.split_by_budget(lines, 2)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 # turns
@@ -704,6 +725,217 @@ def test_added_rows_come_to_their_table(spark, tmp_path):
     assert sorted((r["session_id"], r["last_line"]) for r in s.read("sessions").collect()) == [("a", 9), ("b", 4)]
 
 
+def test_known_questions_are_not_asked_again(spark, tmp_path, monkeypatch):
+    """Each call leaves a file; a run that fails, its retries and a forced run ask nothing twice, but for what was lost with its slice."""
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    now, calls = datetime(2026, 7, 18, tzinfo=timezone.utc), str(tmp_path / "calls")
+    os.makedirs(calls)
+    for name in ("one", "two", "three"):
+        write_session(root, "proj", name, [agent(f"What now {name}?", 1), of_day(14, f"Please refactor the storage layer of {name}"), of_day(15, f"And something more to do that day {name}")])
+
+    def counted(kind, model):
+        def call(items):
+            with open(f"{calls}/{kind}-{os.getpid()}-{time.time_ns()}", "x"):
+                return model(items)
+
+        return call
+
+    usual = {"extractor": stand_ins.extractor, "scorer": stand_ins.scorer, "classifier": stand_ins.classifier, "embedder": stand_ins.embedder}
+    told = stand_ins.all_of(**{k: counted(k, m) for k, m in usual.items()})
+    real = analyze.similarity.apply_recurrence
+
+    def breaks(items, *more):
+        if items.filter("text LIKE '%two%'").count():
+            raise RuntimeError("no links for two")
+        return real(items, *more)
+
+    monkeypatch.setattr(analyze.similarity, "apply_recurrence", breaks)
+    first = analyze.analyze(s, root, now, use=told, label="r1")
+    assert (first.failed, first.sessions) == (1, 2)
+    asked = lambda: {k: len([f for f in os.listdir(calls) if f.startswith(k)]) for k in usual}
+    # 6 episodes with a batch for each of their days, all asked in the first attempt; classifying came after what failed
+    before = asked()
+    assert before["extractor"] == before["scorer"] == before["embedder"] == 6
+    monkeypatch.setattr(analyze.similarity, "apply_recurrence", real)
+    assert analyze.analyze(s, root, now, use=told, label="r2").failed == 0
+    after = asked()
+    assert {k: after[k] for k in ("extractor", "scorer", "embedder")} == {k: before[k] for k in ("extractor", "scorer", "embedder")} and after["classifier"] > before["classifier"]
+    assert analyze.analyze(s, root, now, use=told, label="r3", force=True).episodes == 6 and asked() == after
+    newer = config.Config(model_version="2")
+    assert analyze.analyze(s, root, now, newer, told, label="r4", force=True).episodes == 6 and asked()["extractor"] == 12
+
+
+def test_calls_at_once_are_bounded_and_slices_are_kept(spark, tmp_path, monkeypatch):
+    log = str(tmp_path)
+
+    def slow(item):
+        begin = time.time()
+        time.sleep(0.05)
+        with open(f"{log}/{item['n']}", "w") as f:
+            f.write(f"{begin} {time.time()}")
+        if item["n"] == 13:
+            raise ValueError
+        return item["n"] * 2
+
+    questions = spark.createDataFrame([(i, json.dumps({"n": i % 40})) for i in range(60)], "pos int, question string").repartition(8)
+    got = {r["pos"]: r["answer"] for r in asking.ask(questions, slow, "k", asking.Asking(3)).collect()}
+    assert got == {i: None if i % 40 == 13 else str(i % 40 * 2) for i in range(60)}
+    spans = [tuple(map(float, open(f"{log}/{f}").read().split())) for f in os.listdir(log)]
+    assert len(spans) == 40 and max(sum(a <= t < b for a, b in spans) for t, _ in spans) <= 3
+
+    class Crash(BaseException):
+        pass
+
+    def crashes(item):
+        if item["n"] == 13:
+            raise Crash
+        return item["n"]
+
+    kept = []
+    monkeypatch.setattr(asking, "SLICE", 10)
+    with pytest.raises(Exception, match="Crash"):
+        asking.ask(questions, crashes, "k", asking.Asking(2, keep=lambda df: kept.extend(df.collect())))
+    assert 20 <= len(kept) < 40  # all slices but the one that crashed
+    odd = asking.ask(questions.limit(1).withColumn("question", F.lit(None).cast("string")), slow, "k", asking.Asking())
+    assert odd.first()["answer"] is None and asking.ask(questions.limit(0), slow, "k", asking.Asking()).count() == 0
+
+
+def test_invalid_scores_fail_their_batch(spark):
+    many = spark.createDataFrame([("e", i, "bug_fix", f"t{i}", "day") for i in range(2)], "episode_key string, pos int, category string, text string, batch_day string")
+    batched, right = models.scoring_batches(many), {"index": 0, "significance_score": 1.5, "effort_class": "toil"}
+    for odd in ([{**right, "significance_score": float("nan")}], [{**right, "significance_score": True}], [right, right], [{**right, "index": False}], [{**right, "index": 1.0}], [{**right, "index": 2}], [{**right, "index": "0"}], [right, None], None, "x", {}):
+        assert models.score_candidates(batched, lambda _, odd=odd: odd).count() == 0
+    got = models.score_candidates(batched, lambda _: [{**right, "index": 1}, right]).collect()
+    assert sorted((r["pos"], r["significance_score"], r["text"]) for r in got) == [(0, 1.5, "t0"), (1, 1.5, "t1")]
+
+
+def test_malformed_vectors_are_null(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(7)] + [(7, None)], "id int, text string")
+    odd = {"t0": [1, 2.5], "t1": ["no number"], "t2": [float("nan")], "t3": [True], "t4": None, "t5": [], "t6": "12"}
+    got = {r["id"]: r["embedding"] for r in similarity.embed(rows, lambda texts: [odd[t] for t in texts]).collect()}
+    assert got == {0: [1.0, 2.5], **dict.fromkeys(range(1, 8))}
+    assert similarity.embed(rows, lambda texts: texts * 2).filter("embedding IS NOT NULL").count() == 0
+
+
+def test_vectors_over_http(monkeypatch, caplog):
+    seen = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, body, self.headers["X-Key"], self.headers["X-More"]))
+            raw = {"good": b'{"data": [{"embedding": [1, 2]}]}', "odd": b'{"data": []}', "text": b"no json"}.get(body["input"])
+            self.send_response(200 if raw else 500)
+            self.end_headers()
+            self.wfile.write(raw or b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    c = config.load_config({"L_EMBEDDING_URL": f"http://127.0.0.1:{server.server_port}/", "L_EMBEDDING_PATH": "/v", "L_EMBEDDING_KEY": "k", "L_EMBEDDING_AUTH_HEADER": "X-Key", "L_EMBEDDING_AUTH_SCHEME": "Token", "L_EMBEDDING_HEADERS": '{"X-More": "m"}', "L_EMBEDDING_MODEL": "small"}, "L_")
+    embed = providers.embedder_of(c)
+    assert embed(["good", "odd", "text", "bad", "bad"]) == [[1, 2], None, None, None, None]
+    assert seen[0] == ("/v", {"model": "small", "input": "good"}, "Token k", "m")
+    assert len([r for r in caplog.records if "request" in r.getMessage()]) == 1  # told once
+    server.shutdown()
+    assert embed(["good"]) == [None] and providers.embedder_of(config.Config()) is None
+
+
+def clustered(n, of, batches, seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(of, 16))
+    return [(i, i * batches // n, i, float(i % 17), (centers[rng.integers(of)] + 0.12 * rng.normal(size=16)).tolist()) for i in range(n)]
+
+
+VECTORS = "id long, batch int, pos long, significance_score double, embedding array<double>"
+
+
+def test_deep_pages_sort_little(spark, monkeypatch):
+    monkeypatch.setattr(paging, "DEEP", 0)
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 5).alias("score"))  # hot ties, and nulls
+    order = [F.desc("score"), F.col("id")]
+    plain = [r["id"] for r in rows.orderBy(*order).collect()]
+    for offset in (0, 17, 10_000, 19_990, 30_000):
+        assert [r["id"] for r in paging.page(rows, order, offset, 20).collect()] == plain[offset : offset + 20]
+    held, before = paging._of_page(paging._ranged(rows, order), 10_000, 20)
+    assert held.count() < 500 and before <= 10_000
+    listed = rows.select(F.lit("p").alias("project_dir"), F.lpad(F.col("id").cast("string"), 6, "0").alias("session_id"), F.lit(None).cast("string").alias("title"))
+    assert [r["session_id"] for r in listing.page_of(listed, "title", True, 400, 20)[0].collect()] == [f"{i:06d}" for i in range(7980, 8000)]
+
+
+def test_search_by_trigrams_equals_a_scan(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices("abC é_%\\", k=rnd.randint(0, 12))) for _ in range(400)] + ["", None, "ab", "Needle in a haystack", "needle%in_a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = spark.createDataFrame(grams.postings(rows, "id").collect(), "gram string, id long")
+    for query in ("abc", "ABC", "a_c", "b%C a", "é", "", "needle in", "NEEDLE%A_", "abcabcabcabc", "a\\b", "c é%%ab"):
+        wanted = sorted(r["id"] for r in rows.filter(fn.like_folded(F.col("text"), query)).collect())
+        assert sorted(r["id"] for r in grams.matching(rows, "id", "text", query, index, "id").collect()) == wanted, query
+    # rows that LIKE looks at
+    assert grams.candidates(index, "id", "needle in").count() == 1 and grams.candidates(index, "id", "ab") is None
+    assert grams.candidates(index, "id", "abc").count() < 40
+
+
+def test_search_uses_the_index_of_the_store(spark, tmp_path):
+    root, s = str(tmp_path / "logs"), store.Store(spark, str(tmp_path / "store"))
+    now = datetime(2026, 7, 15, tzinfo=timezone.utc)
+    old = spark.createDataFrame([(1, 1, "bug_fix", "An older insight on storage", "", 1.0, None, None, "2026-07-01T00:00:00.000Z", "toil")], struct("insights"))
+    s.commit({}, {"insights": old, "episodes": spark.createDataFrame([(1, "2026-07-01", "proj", "zero", 1, 2, "")], struct("episodes"))})
+    write_session(root, "proj", "one", [agent("What now?", 1), user("Please refactor the storage layer now", 2)])
+    assert "insight_grams" not in s.tables() and api.ask("search", s.tables(), {"q": "storage"}, "2026-07-16").count() == 1
+    analyze.analyze(s, root, now, use=stand_ins.all_of(), label="r1")
+    found = api.ask("search", s.tables(), {"q": "STOR_GE"}, "2026-07-16").collect()
+    assert sorted(r["text"] for r in found) == ["An older insight on storage", "Please refactor the storage layer now"]
+    assert grams.candidates(s.read("insight_grams"), "insight_id", "storage layer").count() == 1
+
+
+def test_pruned_search_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "LITTLE", 0)
+    n = 4000
+    rows = clustered(n, 40, 10, 1)
+    df = spark.createDataFrame([*rows, (n, 9, 0, 0.0, None), (n + 1, 9, 0, 0.0, [0.0] * 16), (n + 2, 9, 0, 0.0, [])], VECTORS)
+    new, past = df.select(F.col("id").alias("new_id"), "batch", "embedding"), df.select(F.col("id").alias("past_id"), F.lit("x").alias("created_at"), "batch", "embedding")
+    unit = np.array([r[4] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    similar, batch = unit @ unit.T, np.array([r[1] for r in rows])
+    similar[~(batch[None, :] < batch[:, None])] = 0
+    best = np.round(similar, 12).argmax(1)
+    wanted = {i: int(best[i]) for i in range(n) if similar[i, best[i]] >= 0.9}
+    assert {r["new_id"]: r["past_id"] for r in similarity.nearest_earlier(new, past, 0.9, "batch").collect()} == wanted
+    assert similarity.pairs_compared(new, past, 0.9, "batch") < 0.3 * n * n * 0.45
+    assert similarity.nearest_earlier(new, past.limit(0), 0.9).count() == similarity.nearest_earlier(new.limit(0), past, 0.9).count() == 0
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [1.0])], "new_id long, embedding array<double>")
+    older = spark.createDataFrame([(7, "2026-01-01", [2.0, 0.0]), (8, "2026-01-02", [1.0, 0.0]), (9, "2026-01-03", [0.0, 1.0]), (10, "2026-01-04", None)], "past_id long, created_at string, embedding array<double>")
+    assert sorted((r["new_id"], r["past_id"]) for r in similarity.nearest_earlier(mixed, older, 0.9).collect()) == [(1, 8), (4, 8)]
+
+
+def test_leaders_in_rounds_equal_the_loop(spark):
+    """A batch of 100,000, of which 30,000 are one vector; and small batches and items without a vector beside it."""
+    n = 100_000
+    rows = clustered(n, 600, 1, 2)
+    rows = [(i, b, p, s, rows[7][4] if i % 10 < 3 else v) for i, b, p, s, v in rows]
+    rows = [(i, b, p, s, None if i % 1000 == 5 else v) for i, b, p, s, v in rows] + [(n + i, 5, -i, 1.0, [1.0, float(i)]) for i in range(3)] + [(n + 9, None, 0, 1.0, [1.0])]
+    loop = lambda some: [(some[k][0], place) for place, k in enumerate(similarity.leaders([r[2] for r in some], [r[3] for r in some], [r[4] for r in some], 0.95))]
+    wanted = sorted(loop(rows[:n]) + loop(rows[n : n + 3]) + loop(rows[n + 3 :]))
+    got = similarity.greedy_dedupe(spark.createDataFrame(rows, VECTORS).repartition(8), "batch", 0.95)
+    assert got.columns == ["id", "batch", "pos", "significance_score", "embedding", "place"]
+    assert sorted((r["id"], r["place"]) for r in got.select("id", "place").collect()) == wanted
+
+
+def test_leaders_over_several_rounds(spark, monkeypatch):
+    for name in ("LOCAL", "HEAD", "CHUNK"):
+        monkeypatch.setattr(similarity, name, {"LOCAL": 10, "HEAD": 40, "CHUNK": 8}[name])
+    rows = clustered(900, 150, 3, 3)
+    wanted = []
+    for batch in range(3):
+        some = [r for r in rows if r[1] == batch]
+        wanted += [(some[k][0], place) for place, k in enumerate(similarity.leaders([r[2] for r in some], [r[3] for r in some], [r[4] for r in some], 0.95))]
+    got = similarity.greedy_dedupe(spark.createDataFrame(rows, VECTORS), "batch", 0.95).collect()
+    assert sorted((r["id"], r["place"]) for r in got) == sorted(wanted)
+
+
 def test_malformed_answers_yield_nothing(spark):
     items = spark.createDataFrame([("r", 1, "bug_fix", "t", "c")], "label string, id long, category string, text string, created_at string")
     good = {"insight_type": "pattern", "text": "a", "evidence_insight_ids": [1]}
