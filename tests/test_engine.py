@@ -840,6 +840,7 @@ def test_vectors_over_http(monkeypatch, caplog):
     assert seen[0] == ("/v", {"model": "small", "input": "good"}, "Token k", "m")
     assert len([r for r in caplog.records if "request" in r.getMessage()]) == 1  # told once
     server.shutdown()
+    server.server_close()
     assert embed(["good"]) == [None] and providers.embedder_of(config.Config()) is None
 
 
