@@ -210,7 +210,7 @@ def transform_digests(docs: DataFrame, rates: Rates = Rates()) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
 
 
-#: DuckDB SQL of transform_digests with the default rates.
+#: DuckDB SQL of transform_digests with the default rates. Longs that may be null are doubles here, as pandas makes them of Spark's.
 ORACLE = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
 u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ws, [('0x' || h[8 * k + 1:8 * k + 8])::BIGINT for k in range(4)] AS hs FROM t),
@@ -220,6 +220,6 @@ p AS (SELECT doc_id, text, n::BIGINT AS n, CASE WHEN text = '' OR contains(text,
 o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', a, '<S>', c, '<M>', b) ELSE concat('<S>', c, '<P>', a, '<M>', b) END AS output FROM p),
 s AS (SELECT *, CASE form WHEN 'plain' THEN [output] WHEN 'psm' THEN [output[4:instr(output, '<S>') - 1], output[instr(output, '<M>') + 3:], output[instr(output, '<S>') + 3:instr(output, '<M>') - 1]]
         ELSE [output[instr(output, '<P>') + 3:instr(output, '<M>') - 1], output[instr(output, '<M>') + 3:], output[4:instr(output, '<P>') - 1]] END AS parts FROM o)
-SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END::DOUBLE AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::DOUBLE AS middle_chars,
     sha256(output) AS output_sha256, sha256(array_to_string(parts, '')) AS restored_sha256 FROM s
 """
