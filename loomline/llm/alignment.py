@@ -21,7 +21,8 @@ distinct pairs are rows of a table that is summed up by pair, joined with the su
 brought back together by block, where they become scores of stretches and then of
 documents; documents themselves are not shuffled pair by pair. A pair that every block
 holds has one row a block, and as the blocks are a written table, adaptive execution
-can split it.
+can split it. A block is written as small slices and brought together by one group,
+so that no step holds more than a block of a task at once.
 
 Defined results: a text that is null or empty, or whose tokens of either side do not
 spell a space and the text, has no tokens: its numbers are 0 and its groups are the
@@ -37,13 +38,13 @@ import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,15 +197,32 @@ def _aligner(byte_bpe: str, piece_model: str) -> Aligner:
     return Aligner(Sides(byte_bpe, piece_model))
 
 
-BLOCK = "block string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, stops binary, places binary, link_stops binary, links binary, pairs array<long>, totals array<long>"
+BLOCK = "block long, slice int, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, stops binary, places binary, link_stops binary, links binary, first int, pairs array<long>, totals array<long>"
+#: About as many bytes are in a slice of a block. Readers and writers of Parquet hold thousands of rows at once, so rows are small.
+SLICE_BYTES = 8192
+
+
+def slices(doc_ids: list[int | None], numbers: list[np.ndarray], groups: list[str], binaries: list[np.ndarray], pairs: np.ndarray, totals: np.ndarray) -> pa.RecordBatch:
+    """A block as rows of BLOCK: each of its columns is cut into as many slices, of equal length."""
+    count = -(-(120 * len(doc_ids) + sum(x.nbytes for x in binaries) + 16 * len(pairs)) // SLICE_BYTES) or 1
+    cuts = lambda n: np.arange(count + 1, dtype=np.int64) * n // count
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(cuts(len(x)), pa.int32()), x)
+    columns = [pa.array([int.from_bytes(os.urandom(8)) >> 1] * count), pa.array(range(count), pa.int32()), listed(pa.array(doc_ids, pa.int64()))]
+    columns += [*[listed(pa.array(x)) for x in numbers], listed(pa.array(groups, pa.string()))]
+    for x in binaries:
+        at = cuts(len(x)).tolist()
+        columns.append(pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()))
+    columns += [pa.array(cuts(len(pairs))[:-1], pa.int32()), listed(pa.array(pairs)), listed(pa.array(totals))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
 
 
 def align_blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
-    """Blocks of aligned documents, as a written table.
+    """Blocks of aligned documents, as a written table of slices.
 
-    `pairs` are the block's distinct pairs and `totals` how many links hold them. Stretch
+    Put together in order, `pairs` are the block's distinct pairs and `totals` how many links hold them. Stretch
     s of the block has the pairs at link_stops[s - 1] to link_stops[s] of `links`, and
-    document k the stretches at stops[k - 1] to stops[k] of `places`.
+    document k the stretches at stops[k - 1] to stops[k] of `places`. `first` is the place
+    of a slice's first pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +242,8 @@ def align_blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
             stretch, ends = np.array(places, np.int64), np.array(stops, np.int64)
             totals = np.bincount(at, np.repeat(np.bincount(stretch, minlength=len(own)), sizes), len(pairs)).astype(np.int64)
             numbers = [sums(np.array([x[k] for x in own], np.int64)[stretch], ends) for k in range(3)]
-            columns = [pa.array([uuid.uuid4().hex]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *[pa.array([x]) for x in numbers], pa.array([[r[1] for r in rows]])]
-            columns += [pa.array([x.tobytes()], pa.binary()) for x in (ends.astype("<i8"), stretch.astype("<i4"), np.cumsum(sizes).astype("<i8"), at.astype("<i4"))]
-            columns += [pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(x)) for x in (pairs, totals)]
-            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
+            binaries = [ends.astype("<i8"), stretch.astype("<i4"), np.cumsum(sizes).astype("<i8"), at.astype("<i4")]
+            return slices([r[0] for r in rows], numbers, [r[1] for r in rows], binaries, pairs, totals)
 
         for b in batches:
             for k in range(0, b.num_rows, AT_ONCE):
@@ -273,29 +289,24 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 def scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every document of the blocks."""
-    each = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
-    met = each.join(counts.select("pair", "n", "best"), "pair")
-    # the distinct pairs of about BLOCK_PLACES stretches
-    back = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "n", "best"))).alias("x")).select("block", F.col("x.n").alias("n"), F.col("x.best").alias("best"))
-    joined = blocks.drop("pairs", "totals").join(back, "block", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {name: b.column(name)[k] for name in b.schema.names}
-                number = lambda name, kind: np.frombuffer(row[name].as_py(), kind)
-                listed = lambda name: row[name].values.to_numpy(zero_copy_only=False) if row[name].is_valid else np.zeros(0, np.int64)
-                n, best = listed("n").astype(np.int64), listed("best").astype(np.int64)
-                stops, places, link_stops, links = number("stops", "<i8"), number("places", "<i4"), number("link_stops", "<i8"), number("links", "<i4")
-                # sums over the links of each stretch, then over the stretches of each document
-                score = lambda x: sums(sums(x, link_stops)[places], stops)
-                columns = {c: row[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
-                made = {"n_links": score(np.ones(len(links), np.int64)), "n_best": score(best[links]), "count_sum": score(n[links])}
-                columns |= {c: pa.array(x.astype(np.int64)) for c, x in made.items()}
-                names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
-
-    return joined.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    each = blocks.select("block", "first", F.posexplode("pairs").alias("place", "pair")).withColumn("place", F.col("first") + F.col("place"))
+    met = each.join(counts.select("pair", "n", "best"), "pair").select(F.col("block").alias("of"), "place", "n", "best")
+
+    def score_block(rows: pa.Table, back: pa.Table) -> pa.Table:
+        rows, back = rows.sort_by("slice"), back.sort_by("place")
+        number = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
+        n, best = back["n"].to_numpy(), back["best"].to_numpy().astype(np.int64)
+        stops, places, link_stops, links = number("stops", "<i8"), number("places", "<i4"), number("link_stops", "<i8"), number("links", "<i4")
+        # sums over the links of each stretch, then over the stretches of each document
+        score = lambda x: sums(sums(x, link_stops)[places], stops)
+        columns = {c: pc.list_flatten(rows[c]) for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
+        made = {"n_links": score(np.ones(len(links), np.int64)), "n_best": score(best[links]), "count_sum": score(n[links])}
+        columns |= {c: pa.array(x.astype(np.int64)) for c, x in made.items()}
+        return pa.table({c: columns[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")})
+
+    # a group is one block: about BLOCK_PLACES stretches and their distinct pairs
+    own = blocks.drop("first", "pairs", "totals").groupBy("block")
+    return own.cogroup(met.groupBy("of")).applyInArrow(score_block, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def align_documents(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:

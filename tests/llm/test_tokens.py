@@ -236,3 +236,17 @@ def test_alignment_query(spark):
     wanted = {w[0]: w for w in aligned_by_loops(short)}
     for doc_id, w in wanted.items():  # counts depend on all documents; the rest is each document's own
         assert found[doc_id][1:5] == w[1:5] and found[doc_id][7] == w[7] and found[doc_id][6] >= w[6]
+
+
+def test_alignment_writes_small_rows(spark):
+    """Readers hold thousands of rows at once, so no row is a whole block; the rows of a block make it up again."""
+    texts = [f"word{i % 700} stands{i % 31} by number {i}, {'ab ' * (i % 50)}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blocks = alignment.align_blocks(docs, BYTE_BPE, PIECES)
+    rows = blocks.toArrow()
+    assert rows.num_rows > 20 and rows.nbytes / rows.num_rows < 2 * alignment.SLICE_BYTES
+    assert max(rows.slice(k, 1).nbytes for k in range(rows.num_rows)) < 4 * alignment.SLICE_BYTES
+    got = {r["doc_id"]: r for r in alignment.scores(blocks, alignment.pair_counts(blocks)).collect()}
+    assert sorted(got) == list(range(3000))
+    links = sum(r["n_links"] for r in got.values())
+    assert links == alignment.pair_counts(blocks).selectExpr("sum(n)").first()[0] > 0
