@@ -4,9 +4,15 @@ Angles obey the triangle inequality: two vectors at least as similar as a thresh
 whose angle is therefore at most some limit, see every pivot under angles that differ
 by no more than that limit. Past vectors are dealt into boxes, by their nearest pivot
 and the angle to it, and a box knows the least and the greatest angle of its vectors to
-each pivot. A new vector goes to the boxes only that it may reach, and inside a box it
-is compared with the runs of neighbouring vectors only that it may reach. What is left
-out can't reach the threshold; nothing depends on chance but the work.
+each pivot. Neighbouring boxes make up shares of about equal size. A new vector goes to
+the shares only that have a box that it may reach; there it is held against those boxes
+only, and in a box against the runs of neighbouring vectors only that it may reach. What
+is left out can't reach the threshold; nothing depends on chance but the work.
+
+A vector is sent once to each share at most, and a past one once to each part of the new
+ones. Both are SHARES in number, however many vectors there are, until a share would have
+more than HELD numbers; so what is shuffled grows with the vectors, not with their square.
+The comparisons of vectors that rule out nothing remain those of all pairs.
 
 Pivots are picked from a sample of SAMPLE past vectors, each the farthest from those
 before it, so that clusters get pivots of their own. Boxes are at most CELLS x RINGS.
@@ -28,9 +34,12 @@ SAMPLE = 2048
 PIVOTS = 64
 CELLS = 64
 RINGS = 16
-#: Vectors of one side that meet in a task, and neighbours that are left out or compared together.
+#: Vectors of one side that are compared at once, and neighbours that are left out or compared together.
 BLOCK = 1024
 RUN = 64
+#: Shares of the past vectors and parts of the new ones, and numbers in one of them from which on there are more.
+SHARES = 8
+HELD = 8_000_000
 #: Radians that angles, which are kept as floats, may be off.
 SLACK = 1e-4
 
@@ -62,9 +71,9 @@ def choose_pivots(vectors: DataFrame, key: str, size: int, count: int) -> np.nda
 
 
 def _sized(df: DataFrame, key: str, size: int, exact: bool) -> DataFrame:
-    """Vectors of that size (exact) or their beginnings, as doubles; those without a direction have no similarity."""
+    """Vectors of that size (exact) or their beginnings, as doubles; those without a direction have no similarity, and without a batch none is lesser."""
     wanted = F.size("v") == size if exact else F.size("v") >= size
-    some = df.filter(F.col("v").isNotNull() & wanted).withColumn("v", F.transform(F.slice("v", 1, size), lambda x: x.cast("double")))
+    some = df.filter(F.col("v").isNotNull() & F.col("batch").isNotNull() & wanted).withColumn("v", F.transform(F.slice("v", 1, size), lambda x: x.cast("double")))
     return some.filter(F.exists("v", lambda x: x != 0))
 
 
@@ -109,6 +118,11 @@ def _search(new: DataFrame, past: DataFrame, threshold: float, size: int, schema
     boxes = marked.groupBy("box").agg(F.count("*").alias("n"), F.min("batch").alias("first"), *edges).orderBy("box").toPandas()
     names, first = boxes["box"].to_numpy(), boxes["first"].to_numpy()
     low, high = (boxes[[f"{side}{k}" for k in range(len(pivots))]].to_numpy() for side in ("low", "high"))
+    # a box lies in the shares that its rows, one box after the other, come to lie in
+    shares = _shares(n_past, size)
+    upto = boxes["n"].cumsum().to_numpy()
+    begin, end = (upto - boxes["n"].to_numpy()) * shares // n_past, (upto - 1) * shares // n_past
+    holds = (np.arange(shares) >= begin[:, None]) & (np.arange(shares) <= end[:, None])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,42 +131,85 @@ def _search(new: DataFrame, past: DataFrame, threshold: float, size: int, schema
                 seen = angles(matrix(part.column("v"), size), pivots)
                 batch = part.column("batch").to_numpy(zero_copy_only=False)
                 open_ = ((seen[:, None, :] >= low - limit) & (seen[:, None, :] <= high + limit)).all(2) & (batch[:, None] > first)
-                row, box = np.nonzero(open_)
-                seen_rows = pa.array(list(seen), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, seen_rows.take(pa.array(row)), pa.array(names[box])], names=[*part.schema.names, "seen", "box"])
-
-    wanted = written(new.mapInArrow(reach, "new_id long, v array<double>, batch long, seen array<float>, box long"))
-    asked = {r["box"]: r["count"] for r in wanted.groupBy("box").count().collect()}
-    held = {int(b): int(n) for b, n in zip(names, boxes["n"], strict=True)}
-    # blocks of either side: how many, by box
-    deal = new.sparkSession.createDataFrame([(b, -(-held[b] // BLOCK), -(-n // BLOCK)) for b, n in asked.items()], "box long, subs int, parts int")
-    slot = lambda df, key, own, other: df.join(F.broadcast(deal), "box").withColumn("_" + own, F.pmod(F.xxhash64(key), F.col(own)).cast("int")).withColumn("_" + other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("subs", "parts")
-    left, right = slot(wanted, "new_id", "parts", "subs"), slot(marked, "past_id", "subs", "parts")
+                asked = open_.astype(np.float32) @ holds.astype(np.float32) > 0
+                ends = np.append(0, np.cumsum(asked.sum(1)))
+                shares_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(asked)[1], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, shares_of], names=[*part.schema.names, "_shares"])
+
+    met = written(new.mapInArrow(reach, "new_id long, v array<double>, batch long, _shares array<long>"))
+    wanted = met.withColumn("_share", F.explode("_shares")).drop("_shares")
+    most = wanted.groupBy("_share").count().agg(F.max("count")).first()[0]
+    if not most:
+        return new.sparkSession.createDataFrame([], schema)
+    parts = _shares(most, size)
+    spans = new.sparkSession.createDataFrame(list(zip(names.tolist(), begin.tolist(), (end - begin + 1).tolist())), "box long, _begin long, _span long")
+    left = wanted.withColumn("_part", F.pmod(F.xxhash64("new_id"), F.lit(parts)))
+    right = marked.drop("seen").join(F.broadcast(spans), "box").withColumn("_share", F.col("_begin") + F.pmod(F.xxhash64("past_id"), F.col("_span"))).drop("_begin", "_span")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by([("created_at", "descending"), ("past_id", "ascending")])
         rows, compared = [], 0
         if a.num_rows and b.num_rows:
+            a = a.sort_by("batch")
+            b = b.sort_by([("created_at", "descending"), ("past_id", "ascending")])  # of equals the first counts
             x, y = unit(matrix(a["v"], size)), unit(matrix(b["v"], size))
-            seen_x, seen_y = matrix(a["seen"], len(pivots)), matrix(b["seen"], len(pivots))
+            best, at, top = np.zeros(len(x)), np.full(len(x), len(y)), np.zeros(len(x))  # a similarity of zero never counts
+            seen_x, seen_y = angles(x, pivots), angles(y, pivots)
             batch_x, batch_y = a["batch"].to_numpy(), b["batch"].to_numpy()
-            s = np.zeros((len(x), len(y)))
-            order = np.lexsort(np.argsort(seen_y, axis=1)[:, :4].T[::-1])  # neighbours have the same nearest pivots
-            for k in range(0, len(y), RUN):
-                run = order[k : k + RUN]
-                near = ((seen_x >= seen_y[run].min(0) - limit) & (seen_x <= seen_y[run].max(0) + limit)).all(1) & (batch_x > batch_y[run].min())
-                at = np.flatnonzero(near)
-                compared += len(at) * len(run)
-                s[np.ix_(at, run)] = x[at] @ y[run].T
-            s[~(batch_y[None, :] < batch_x[:, None])] = 0  # a similarity of zero never counts
-            best = np.round(s, 12).argmax(1)
-            top = s[np.arange(len(x)), best]
+            for own in _boxes(b["box"].to_numpy(), batch_y):
+                least, greatest, box_y, box_batch = seen_y[own].min(0), seen_y[own].max(0), y[own], batch_y[own]
+                runs = None
+                # new vectors are in order of their batches
+                for k in range(int(np.searchsorted(batch_x, box_batch[0], "right")), len(x), BLOCK):
+                    some = np.arange(k, min(k + BLOCK, len(x)))
+                    seen = seen_x[some]
+                    upto = int(np.searchsorted(box_batch, batch_x[some[-1]]))
+                    if (seen.min(0) >= greatest - limit).all() and (seen.max(0) <= least + limit).all():
+                        s = x[some] @ box_y[:upto].T  # no run can be left out
+                        compared += s.size
+                    else:
+                        some = some[((seen >= least - limit) & (seen <= greatest + limit)).all(1)]
+                        if not len(some):
+                            continue
+                        if runs is None:
+                            order = np.lexsort(np.argsort(seen_y[own], axis=1)[:, :4].T[::-1])  # neighbours have the same nearest pivots
+                            runs = [(r, seen_y[own[r]].min(0) - limit, seen_y[own[r]].max(0) + limit, box_batch[r].min()) for r in (order[i : i + RUN] for i in range(0, len(order), RUN))]
+                        s, upto, seen = np.zeros((len(some), len(own))), len(own), seen_x[some]
+                        for run, from_, to, early in runs:
+                            near = np.flatnonzero(((seen >= from_) & (seen <= to)).all(1) & (batch_x[some] > early))
+                            compared += len(near) * len(run)
+                            s[np.ix_(near, run)] = x[some[near]] @ box_y[run].T
+                    lesser = int(np.searchsorted(box_batch[:upto], batch_x[some[0]]))  # in batches before all of these
+                    s[:, lesser:][box_batch[None, lesser:upto] >= batch_x[some][:, None]] = 0
+                    # only rows that get to the best so far are looked at
+                    better = np.flatnonzero(s.max(1) >= np.maximum(best[some], threshold) - 1e-11)
+                    close = s[better]
+                    rounded = np.where(close >= threshold, np.round(close, 12), 0)
+                    peak = rounded.max(1)
+                    column = np.where(rounded == peak[:, None], own[:upto], len(y)).argmin(1)
+                    place, held = own[column], some[better]
+                    wins = np.flatnonzero((peak > best[held]) | (peak == best[held]) & (place < at[held]))
+                    won = held[wins]
+                    best[won], at[won], top[won] = peak[wins], place[wins], s[better[wins], column[wins]]
             good = np.flatnonzero((top >= threshold) & (top > 0))
-            rows = [a["new_id"].take(pa.array(good)), b["past_id"].take(pa.array(best[good])), pa.array(top[good]), b["created_at"].take(pa.array(best[good]))]
+            rows = [a["new_id"].take(pa.array(good)), b["past_id"].take(pa.array(at[good])), pa.array(top[good]), b["created_at"].take(pa.array(at[good]))]
         links = pa.table([*rows, pa.nulls(len(rows[0]), pa.int64())] if rows else [pa.array([], t) for t in kinds], names=columns)
         return pa.concat_tables([links, pa.table([*(pa.nulls(1, t) for t in kinds[:-1]), pa.array([compared], pa.int64())], names=columns)])
 
     columns = ["new_id", "past_id", "similarity", "created_at", "compared"]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64()]
-    keys = ["box", "_subs", "_parts"]
+    keys = ["_share", "_part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
+
+
+def _shares(rows: int, size: int) -> int:
+    """How many shares of `rows` vectors there are: one a BLOCK, SHARES at most, and more only if they would be too large for a task."""
+    return max(1, min(SHARES, -(-rows // BLOCK)), -(-rows * size // HELD))
+
+
+def _boxes(box: np.ndarray, batch: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each box's rows in order of their batches, BLOCK of them at most."""
+    order = np.lexsort((batch, box))
+    for own in np.split(order, np.flatnonzero(np.diff(box[order])) + 1):
+        for k in range(0, len(own), BLOCK):
+            yield own[k : k + BLOCK]

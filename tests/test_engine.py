@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomline import cli
 from loomline.functions import columns as fn
 from loomline.functions import formatting as fmt
-from loomline.operators import asking, engagement, grams, insights, listing, models, paging, recurrence, search, sessionize, similarity, turns
+from loomline.operators import asking, engagement, grams, insights, listing, models, paging, pruned, recurrence, search, sessionize, similarity, turns
 from loomline.operators.scope import Days, Scope, day_cutoff, instant_cutoff
 from loomline.plans import analyze, api, brief, library
 from loomline.plans import requests as rq
@@ -912,6 +912,28 @@ def test_pruned_search_equals_all_pairs(spark, monkeypatch):
     assert sorted((r["new_id"], r["past_id"]) for r in similarity.nearest_earlier(mixed, older, 0.9).collect()) == [(1, 8), (4, 8)]
 
 
+def test_pruned_search_deals_vectors_to_few_shares(spark, monkeypatch):
+    """Vectors that rule out nothing go to a fixed number of shares, however many they are; ties, limits and null batches are those of all pairs."""
+    monkeypatch.setattr(similarity, "LITTLE", 0)
+    n = 9000
+    rnd = np.random.default_rng(5)
+    vectors = rnd.normal(size=(n, 8)).round(1)
+    vectors[n // 2 :: 3] = vectors[0]  # a large group of copies
+    rows = [(i, None if i % 500 == 7 else i // 256, v) for i, v in enumerate(vectors.tolist())]
+    df = spark.createDataFrame(rows, "new_id long, batch long, embedding array<double>")
+    past = df.withColumnRenamed("new_id", "past_id").withColumn("created_at", F.lit("x"))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    batch = np.array([np.nan if b is None else b for _, b, _ in rows])
+    similar = unit @ unit.T
+    similar[~(batch[None, :] < batch[:, None]) | (similar < 0.35)] = 0
+    best = np.round(similar, 12).argmax(1)
+    wanted = {i: int(best[i]) for i in range(n) if similar[i, best[i]] > 0}
+    assert {r["new_id"]: r["past_id"] for r in similarity.nearest_earlier(df, past, 0.35, "batch").collect()} == wanted
+    placed = similarity._placed(df, "new_id", "batch", 1), similarity._placed(past, "past_id", "batch", 0, "created_at")
+    # one row for each share and part that met
+    assert pruned.search(*placed, 0.35).filter("compared IS NOT NULL").count() <= 64
+
+
 def test_leaders_in_rounds_equal_the_loop(spark):
     """A batch of 100,000, of which 30,000 are one vector; and small batches and items without a vector beside it."""
     n = 100_000
