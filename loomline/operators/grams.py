@@ -19,15 +19,25 @@ SIZE = 3
 
 
 def grams(text: Column) -> Column:
-    """The distinct trigrams of a text, ASCII letters lowered; none for null and shorter texts."""
-    folded = ascii_lower(text)
-    places = F.sequence(F.lit(1), F.length(text) - SIZE + 1)
-    return F.when(F.length(text) >= SIZE, F.array_distinct(F.transform(places, lambda i: F.substr(folded, i, F.lit(SIZE))))).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of a text, ASCII letters lowered; none for null and shorter texts.
+
+    A text is folded and taken apart once, so that the work grows with its length.
+    """
+    places = F.sequence(F.lit(0), F.length(text) - SIZE)
+    of = lambda chars: F.transform(places, lambda i: F.concat(*(chars[i + k] for k in range(SIZE))))
+    found = F.transform(F.array(F.split(ascii_lower(text), "")), of)[0]  # the lambda's argument is computed once a row
+    return F.when(F.length(text) >= SIZE, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def postings(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """gram and key, sorted by gram within tasks, so that a reader passes over row groups by their least and greatest gram."""
-    return rows.select(F.explode(grams(F.col(text))).alias("gram"), key).sortWithinPartitions("gram")
+    """gram and key, sorted by gram within tasks, so that a reader passes over row groups by their least and greatest gram.
+
+    The order of code points is that of UTF-8; as one number a gram is sorted without comparing strings.
+    """
+    place = F.lit(0).cast("long")
+    for k in range(1, SIZE + 1):
+        place = F.shiftleft(place, 21).bitwiseOR(F.ascii(F.substr("gram", F.lit(k), F.lit(1))).cast("long"))
+    return rows.select(F.explode(grams(F.col(text))).alias("gram"), key).sortWithinPartitions(place)
 
 
 def grams_of_query(query: str) -> list[str]:

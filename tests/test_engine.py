@@ -992,3 +992,18 @@ def test_what_changes_the_store(spark, tmp_path):
     assert api.briefs(str(tmp_path / "none")) == []
     with pytest.raises(SystemExit):
         cli.models_of(None)
+
+
+def test_grams_take_a_text_apart_once(spark):
+    """Folding the whole text for each of its trigrams took minutes for a text of this length."""
+    rnd = np.random.default_rng(3)
+    letters = ["A", "b", "Z", "é", "日", "😀", "İ", "%", " "]
+    long = "".join(letters[i] for i in rnd.integers(0, len(letters), 60_000))
+    texts = [long, None, "", "ab", "AbC", "😀A😀", "aaaa"]
+    fold = lambda s: "".join(c.lower() if c.isascii() else c for c in s or "")
+    wanted = sorted((g, i) for i, t in enumerate(texts) for f in [fold(t)] for g in {f[k : k + 3] for k in range(len(f) - 2)})
+    began = time.time()
+    got = [tuple(r) for r in grams.postings(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), "id").collect()]
+    assert time.time() - began < 40
+    assert sorted(got) == wanted
+    assert [g for g, _ in got] == [g for g, _ in wanted]
