@@ -934,6 +934,25 @@ def test_pruned_search_deals_vectors_to_few_shares(spark, monkeypatch):
     assert pruned.search(*placed, 0.35).filter("compared IS NOT NULL").count() <= 64
 
 
+def test_recurrence_query_deals_vectors_to_few_shares(spark, monkeypatch, tmp_path):
+    """e4_recurrence with more survivors than are sent to all tasks: links of all pairs, from a number of meetings that doesn't grow with the table."""
+    met, search = [], pruned.search
+    monkeypatch.setattr(pruned, "search", lambda *given: met.append(search(*given)) or met[-1])
+    n = 10_000
+    vectors = np.random.default_rng(8).normal(size=(n, 64)).astype(np.float32)
+    vectors[n // 2 :: 7] = vectors[3]
+    spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["recurrence_of"] for r in library.QUERIES["e4_recurrence"](spark, str(tmp_path)).collect()}
+    assert len(got) > similarity.LITTLE
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    kept, batch = np.array(sorted(got)), np.arange(n) // 256
+    similar = unit[kept] @ unit.T
+    similar[~(batch[None, :] < batch[kept][:, None]) | (similar < 0.35)] = 0
+    best = np.round(similar, 12).argmax(1)
+    assert got == {int(i): int(k) if similar[at, k] else None for at, (i, k) in enumerate(zip(kept, best))}
+    assert [m.filter("compared IS NOT NULL").count() <= 64 for m in met] == [True]
+
+
 def test_leaders_in_rounds_equal_the_loop(spark):
     """A batch of 100,000, of which 30,000 are one vector; and small batches and items without a vector beside it."""
     n = 100_000
