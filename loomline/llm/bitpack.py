@@ -26,15 +26,15 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,7 +47,11 @@ BLOCK = 4096
 SEGMENT_IDS = 1 << 20
 #: Segments that a task reads, about 2 MB each.
 READ_SEGMENTS = 16
-CACHE_WORDS = 1_000_000
+#: Words of a generation in a worker's store, and bytes of the longest chunks that are kept.
+CACHE_WORDS = 300_000
+LONG = 100
+#: Bytes of text that are encoded at once.
+SLICE = 4_000_000
 
 
 def vocabulary_size(tokenizer_path: str) -> int:
@@ -120,20 +124,31 @@ class Segment:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+def _runs(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of those sizes that make up ids, the runs `which`, one after the other, and where each begins; last where all end."""
+    stops = np.append(0, np.cumsum(sizes[which]))
+    shift = (np.cumsum(sizes) - sizes)[which] - stops[:-1]
+    kind = np.int32 if max(stops[-1], len(ids)) < 1 << 31 else np.int64
+    return ids[np.repeat(shift.astype(kind), sizes[which]) + np.arange(stops[-1], dtype=kind)], stops
+
+
 class WordEncoder:
-    """Encodes through the tokenizers library, each distinct chunk between ASCII white space once.
+    """Encodes through the tokenizers library, each distinct chunk between ASCII white space once a slice.
 
     The tokenizer drops white space and none of its rules looks across it, so the
     ids of a text are those of its chunks in turn. Most chunks are letters and
     perhaps marks behind them, which the tokenizer splits there anyway; of those
     the letters are lower-cased and go to the same model many at a time, without
     the normalizer, which leaves them as they are; each word's last token bears
-    the end-of-word suffix. All other chunks go through the whole tokenizer. The
-    store of known chunks is emptied when full; results don't depend on it.
+    the end-of-word suffix. Marks and all other chunks go through the whole tokenizer.
+
+    Letters are kept in two generations: when there are more than `limit`, they become
+    the earlier one, from which what comes up again is taken over. Chunks of over LONG
+    bytes are never kept. Results don't depend on it.
     """
 
     #: letters that normalization only lower-cases, and marks that never join them
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -148,8 +163,8 @@ class WordEncoder:
         vocabulary = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.limit = limit
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
@@ -162,43 +177,66 @@ class WordEncoder:
         raw = ids.tobytes()
         return [raw[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain: list[tuple[bytes, str, str]] = []
-        other: list[bytes] = []
-        for chunk in chunks:
-            found = self.PLAIN.fullmatch(chunk.decode())
-            if found:
-                plain.append((chunk, found[1].lower(), found[2]))
-            else:
-                other.append(chunk)
-        marks = list({m for _, _, m in plain}.difference(self.marks))
-        self.marks.update(zip(marks, self._whole(marks), strict=True))
-        letters = list({w for _, w, _ in plain})
-        by_word = dict(zip(letters, self._letters(letters), strict=True)) if letters else {}
-        for chunk, word, mark in plain:
-            self.known[chunk] = by_word[word] + self.marks[mark]
-        self.known.update(zip(other, self._whole([c.decode() for c in other]), strict=True))
+    def _recall(self, words: list[str]) -> list[bytes]:
+        """The ids of lower-cased letters, each given once."""
+        found = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if missing:
+            again = list(map(self.earlier.get, missing))
+            new = [w for w, ids in zip(missing, again, strict=True) if ids is None]
+            learnt = iter(self._letters(new) if new else [])
+            self.known.update((w, next(learnt) if ids is None else ids) for w, ids in zip(missing, again, strict=True))
+            found = list(map(self.known.__getitem__, words))
+        if len(self.known) > self.limit:
+            self.earlier, self.known = self.known, {}
+        return found
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8; null: none), one after the other, and where each text's end."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        chunks = words.flatten().dictionary_encode()
+        distinct = chunks.dictionary
+        apart = pc.extract_regex(pc.if_else(pc.less_equal(pc.binary_length(distinct), LONG), distinct, None), self.PLAIN)
+        letters = pc.utf8_lower(pc.struct_field(apart, "letters")).dictionary_encode()
+        marks = pc.struct_field(apart, "marks").dictionary_encode()
+        plain = letters.indices.is_valid().to_numpy(zero_copy_only=False)
+        strings = lambda a: a.to_numpy(zero_copy_only=False).tolist()
+        pieces = [*self._recall(strings(letters.dictionary)), *self._whole([*strings(marks.dictionary), *strings(distinct.filter(pa.array(~plain)))]), b""]
+        # a chunk is letters and marks, or one piece of its own and an empty one
+        n_letters, n_plain = len(letters.dictionary), len(letters.dictionary) + len(marks.dictionary)
+        index = lambda a: a.indices.fill_null(0).to_numpy().astype(np.int64)
+        first = np.where(plain, index(letters), n_plain + np.cumsum(~plain) - 1)
+        second = np.where(plain, n_letters + index(marks), len(pieces) - 1)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        ids, stops = _runs(np.frombuffer(b"".join(pieces), "<u4"), sizes, np.column_stack([first, second]).ravel())
+        ids, stops = _runs(ids, np.diff(stops[::2]), chunks.indices.to_numpy())
+        return ids, stops[words.offsets.to_numpy()[1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
-        split = [t.split() for t in texts]
-        all_chunks = set(chain.from_iterable(split))
-        new = all_chunks.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, all_chunks
-        self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        ids, ends = self.encode_flat(pa.array(texts, pa.binary()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One per Python worker, kept from task to task."""
+    return WordEncoder(path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and ids (the end id last) of rows (key, raw text), in groups."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder = WordEncoder(tokenizer_path)
-    end = np.array([end_id], "<u4").tobytes()
+    encoder = _encoder(tokenizer_path)
     for b in batches:
-        for k in range(0, b.num_rows, 2000):
-            part = b.slice(k, 2000)
-            yield part.column(0).to_pylist(), [x + end for x in encoder.encode([x or b"" for x in part.column(1).to_pylist()])]
+        upto = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            ids, ends = encoder.encode_flat(b.column(1).slice(i, j - i))
+            ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, j - i + 1)
+            yield b.column(0).slice(i, j - i).to_pylist(), np.split(ids, ends[:-1])
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -206,7 +244,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids in _encoded(batches, tokenizer_path, end_id):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
@@ -251,7 +289,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id:
         for some, encoded in _encoded(batches, tokenizer_path, end_id):
             for key, ids in zip(some, encoded, strict=True):
                 keys.append(key)
-                held.append(np.frombuffer(ids, "<u4"))
+                held.append(ids)
                 size += len(held[-1])
                 if size >= SEGMENT_IDS:
                     yield put()

@@ -1,3 +1,5 @@
+import random
+import shutil
 import zlib
 
 import numpy as np
@@ -69,6 +71,43 @@ def test_word_paths_equal_the_whole_tokenizer():
         assert np.frombuffer(e.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_worker_loads_the_tokenizer_once_and_asks_for_each_word_once(tmp_path, monkeypatch):
+    path = shutil.copy(PATH, tmp_path / "tokenizer.json")  # one that no other test has loaded
+    loads, asked = [], []
+
+    class Watching(bitpack.WordEncoder):
+        def __init__(self, *given):
+            loads.append(given)
+            super().__init__(*given)
+
+        def _letters(self, words):
+            asked.extend(words)
+            return super()._letters(words)
+
+    monkeypatch.setattr(bitpack, "WordEncoder", Watching)
+    rows = pa.record_batch([pa.array([1, 2]), pa.array([b"Alpha beta, (gamma)", b"alpha! BETA Alpha,"])], names=["doc_id", "raw"])
+    for _ in range(2):  # two tasks of a worker
+        got = [bytes(x) for _, ids in bitpack._encoded(iter([rows]), str(path), 1) for x in ids]
+    assert len(loads) == 1 and sorted(asked) == ["alpha", "beta"]
+    t = Tokenizer.from_file(PATH)
+    assert got == [np.array(t.encode(x.decode(), add_special_tokens=False).ids + [1], "<u4").tobytes() for x in rows.column(1).to_pylist()]
+
+
+def test_slices_long_chunks_and_generations_change_nothing(monkeypatch):
+    monkeypatch.setattr(bitpack, "SLICE", 40)
+    monkeypatch.setattr(bitpack, "LONG", 6)
+    rnd = random.Random(4)
+    words = ["alpha", "Beta,", "été", "ÉTÉ!", "longerword", "LONGERWORD...", "(x)", "12", "\u00a0a", "e\u0301", "H\u0331a", "<|endoftext|>", "漢字", "a"]
+    texts = [None if k % 9 == 4 else rnd.choice(["", " ", "\t\x0b"]) + "".join(w + rnd.choice([" ", "\n\n", "\x0c\r"]) for w in rnd.choices(words, k=k % 13)) for k in range(120)]
+    monkeypatch.setattr(bitpack, "_encoder", lambda path: bitpack.WordEncoder(path, 2))
+    rows = pa.record_batch([pa.array(range(len(texts))), pa.array([x if x is None else x.encode() for x in texts], pa.binary())], names=["doc_id", "raw"])
+    got = [(key, x.tolist()) for keys, ids in bitpack._encoded(iter([rows, rows.slice(7, 0), rows.slice(50, 9)]), PATH, 1) for key, x in zip(keys, ids, strict=True)]
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    wanted = [(k, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for k, x in enumerate(texts)]
+    assert got == wanted + wanted[50:59]
+
+
 def test_documents_are_read_from_storage_by_id(spark, odd_docs):
     assert bitpack.vocabulary_size(PATH) == 49408
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
